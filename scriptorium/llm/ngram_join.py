@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut, packed, q, small, unpacked
 from scriptorium.llm.components import components
+from scriptorium.llm.hashing import U64, mixed, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -34,14 +35,9 @@ STEP, TOLERANCE = 24, 1e-6
 BLOCK = 512
 #: Rows up to which a side is broadcast (16 to 40 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 400_000
-#: A worker forgets the hashes of words beyond this many; a cache without influence on results.
-REMEMBERED = 300_000
 #: Shingles laid side by side in one step of the exact check.
 IDS_AT_ONCE = 1_000_000
 
-_U64 = np.uint64
-
-
 def _odd(n: int) -> np.ndarray:
     """n odd multipliers from a fixed splitmix sequence."""
     out, x = [], 0x1234567
@@ -50,58 +46,38 @@ def _odd(n: int) -> np.ndarray:
         z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
         out.append((z ^ (z >> 31)) | 1)
-    return np.array(out, _U64)
+    return np.array(out, U64)
 
 
 MULTIPLIERS = _odd(BANDS * ROWS)
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U64(33))) * _U64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U64(33))) * _U64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U64(33))
-
-
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of fewer than k words, one shingle of all of them."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at U+0020 and U+0009 to U+000D only
-    if not words:
-        return np.empty(0, _U64)
-    hashes = np.fromiter(map(_words.__getitem__, words), _U64, len(words))
-    wide = min(k, len(words))
-    grams = np.full(len(words) - wide + 1, wide, _U64)
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    wide = min(k, len(hashes))
+    grams = np.full(len(hashes) - wide + 1, wide, U64)
     for i in range(wide):
-        grams = grams * _U64(0x9E3779B97F4A7C15) + hashes[i : len(words) - wide + 1 + i]
-    return np.unique(_mixed(grams))
+        grams = grams * U64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - wide + 1 + i]
+    return np.unique(mixed(grams))
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
     """MinHash values, 32 bits each."""
-    least = np.full(len(MULTIPLIERS), np.iinfo(_U64).max, _U64)
+    least = np.full(len(MULTIPLIERS), np.iinfo(U64).max, U64)
     for at in range(0, len(grams), 2048):
         np.minimum(least, (MULTIPLIERS[:, None] * grams[None, at : at + 2048]).min(axis=1), out=least)
-    return (least >> _U64(32)).astype(np.uint32)
+    return (least >> U64(32)).astype(np.uint32)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
-    rows = values.reshape(BANDS, ROWS).astype(_U64)
-    key = np.arange(1, BANDS + 1, dtype=_U64)
+    rows = values.reshape(BANDS, ROWS).astype(U64)
+    key = np.arange(1, BANDS + 1, dtype=U64)
     for r in range(ROWS):
-        key = _mixed(key * _U64(0x9E3779B97F4A7C15) + rows[:, r])
+        key = mixed(key * U64(0x9E3779B97F4A7C15) + rows[:, r])
     return key.view(np.int64)
 
 
@@ -189,7 +165,7 @@ def _compared(group: pd.DataFrame, threshold: float, tolerance: float) -> pd.Dat
     for (_, low, high), cell in group.groupby(["root", "low", "high"], sort=False):
         cell = cell.drop_duplicates("node").reset_index(drop=True)
         nodes, copies = cell["node"].to_numpy(), cell["copies"].to_numpy()
-        sets = [np.frombuffer(x, _U64) for x in cell["grams"]]
+        sets = [np.frombuffer(x, U64) for x in cell["grams"]]
         values = np.frombuffer(b"".join(cell["values"]), np.uint32).reshape(len(cell), -1)
         left = np.flatnonzero(cell["block"].to_numpy() == low)
         right = None if low == high else np.flatnonzero(cell["block"].to_numpy() == high)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, mixing, ngram_join, quality_rules
-from scriptorium.llm.common import load
+from scriptorium.llm import byte_bpe, chat_format, lm_scoring, mixing, ngram_join, quality_rules, site_quality, toxicity, url_filter, vector_search
+from scriptorium.llm.common import cut, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,16 @@ def vocabulary() -> dict[bytes, int]:
     return byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(load(spark, sf_dir, "documents"))
+
+
+@query
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(load(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
@@ -44,6 +54,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(load(spark, sf_dir, "pages"))
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,3 +70,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
+@query
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = cut(vector_search.pivot_table(load(spark, sf_dir, "embeddings")))
+    return vector_search.search(table, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_ids(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))

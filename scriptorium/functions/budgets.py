@@ -1,0 +1,60 @@
+"""Budgets of model calls and the classification of their errors, as Spark expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from scriptorium.functions.text import tokens
+
+#: Context sizes that a model's name tells, in the order in which they are looked for.
+WINDOWS = [("128k|131072", 131072), ("32k|32768", 32768), ("16k|16384", 16384), ("8k|8192", 8192), ("4k|4096", 4096)]
+DEFAULT_WINDOW, RAW_BUDGET, OUTPUT, CHUNK = 8192, 6000, 1500, 1500
+
+
+def context_window(model: Column) -> Column:
+    found = F.lit(DEFAULT_WINDOW)
+    for pattern, size in reversed(WINDOWS):
+        found = F.when(F.lower(model).rlike(pattern), F.lit(size)).otherwise(found)
+    return found
+
+
+def _part(window: Column, percent: int) -> Column:
+    return F.floor(window * percent / 100).cast("int")
+
+
+def limits(model: Column) -> Column:
+    """context, raw, reserve, sot and chunk tokens of a model."""
+    window = context_window(model)
+    raw = F.least(F.lit(RAW_BUDGET), _part(window, 35))
+    reserve = F.greatest(F.lit(1024), F.least(F.lit(OUTPUT), _part(window, 18)))
+    return F.struct(
+        window.alias("context_tokens"), raw.alias("raw_tokens"), reserve.alias("reserve_tokens"),
+        F.greatest(F.lit(800), window - raw - reserve - 800).alias("sot_tokens"),
+        F.greatest(F.lit(400), F.least(F.lit(CHUNK), raw)).alias("chunk_tokens"),
+    )
+
+
+def request(model: Column, *prompts: Column, reserved: int = 2048) -> Column:
+    """Whether a request fits; what is reserved for the answer counts on both sides."""
+    usable = _part(context_window(model), 80) - reserved
+    projected = sum((tokens(p) for p in prompts), F.lit(reserved))
+    return F.struct((projected < usable).alias("fits"), projected.alias("projected"), usable.alias("usable"), F.greatest(F.lit(0), projected - usable).alias("overflow"))
+
+
+def error_class(message: Column) -> Column:
+    m = F.lower(message)
+    has = lambda *words: [m.contains(w) for w in words]
+    memory, (context, exceed, length), (timeout, timed) = has("out of memory", "oom"), has("context", "exceed", "length"), has("timeout", "timed out")
+    return F.when(memory[0] | memory[1], "oom").when(context & (exceed | length), "context").when(timeout | timed, "recoverable").otherwise("fatal")
+
+
+def model_rank(model: Column) -> Column:
+    """Order of preference: instruct or chat models, others, vision, embedding."""
+    low = F.lower(model)
+    return F.when(low.rlike("embed|e5-"), 99).when(low.rlike("vl|vision|multimodal|mm-"), 10).when(low.rlike("instruct|chat"), 0).otherwise(5)
+
+
+def percent(done: Column, total: Column, most: int) -> Column:
+    """Share in whole percents, halves to even, `most` at most; 0 without a total."""
+    return F.when(total > 0, F.least(F.lit(most), F.bround(done / total * 100, 0).cast("int"))).otherwise(0)

@@ -1,0 +1,39 @@
+"""Reports: front matter, sections, prompts, and the merging of parts, as string columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def quoted(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("\\"), F.lit("/")), F.lit('"'), F.lit("'"))
+
+
+def front_matter(source: Column, title: Column, status: str = "gap_identified", labels: Column | None = None, references: Column | None = None) -> Column:
+    """A header between lines of dashes; up to 50 labels and 40 references are listed."""
+    listed = lambda name, xs, most: F.when(F.size(xs) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(F.slice(xs, 1, most), lambda x: F.concat(F.lit('  - "'), quoted(x), F.lit('"'))), "\n")))
+    parts = [F.lit("---"), F.lit("category: SPEC"), F.concat(F.lit("source_file: "), quoted(source)), F.lit(f"status: {status}"), F.concat(F.lit('title: "'), quoted(title), F.lit('"'))]
+    if labels is not None:
+        parts += [F.concat(F.lit("chunking_total: "), F.size(labels).cast("string")), F.concat(F.lit("chunking_mode: "), F.when(F.size(labels) > 1, "chunked").otherwise("single_part")), listed("chunking_labels", labels, 50)]
+    if references is not None:
+        parts.append(listed("sot_reference", references, 40))
+    return F.concat(F.concat_ws("\n", *parts, F.lit("---")), F.lit("\n"))
+
+
+def with_front_matter(body: Column, header: Column) -> Column:
+    bare = F.regexp_replace(body, r"^\s+", "")
+    return F.when(bare.startswith("---"), body).otherwise(F.concat(header, bare))
+
+
+def merged_parts(chunks: DataFrame, key: str, order: str, label: str, body: str) -> DataFrame:
+    """One report for each key: a head with the first eight labels, then the parts in order."""
+    lists = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(label).alias("label"), F.col(body).alias("body")))).alias("xs"))
+    labels = F.concat(F.array_join(F.transform(F.slice("xs", 1, 8), lambda x: x["label"]), ", "), F.when(F.size("xs") > 8, "…").otherwise(""))
+    head = F.concat(F.lit("# Gap analysis — `"), F.col(key).cast("string"), F.lit("`\n\n_Analisi pipeline: **"), F.size("xs").cast("string"), F.lit("** parte/i ("), labels, F.lit(")._\n"))
+    parts = F.array_join(F.transform("xs", lambda x: F.concat(F.lit("\n## Chunk: "), x["label"], F.lit("\n\n"), F.trim(x["body"]), F.lit("\n"))), "\n")
+    return lists.select(key, F.size("xs").alias("n_parts"), F.concat(head, F.lit("\n"), parts).alias("report"))
+
+
+def prompt(name: Column, context: Column, body: Column) -> Column:
+    return F.concat(F.lit("## File\n"), name, F.lit("\n\n## Context\n"), context, F.lit("\n\n## Text\n"), body)

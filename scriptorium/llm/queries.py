@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, chat_format, lm_scoring, mixing, ngram_join, quality_rules, site_quality, toxicity, url_filter, vector_search
 from scriptorium.llm.common import cut, load
+from scriptorium.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 #: The vocabulary file of the production encoder.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"

@@ -20,7 +20,7 @@ MOST_BYTES = 8 * 1024 * 1024
 def scan(spark: SparkSession, root: str, types=TYPES, most_bytes: int | None = None, skipped=SKIPPED) -> DataFrame:
     """path, rel, type, length, content of the files below a folder; sorting is left to the caller."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.substring("path", F.length(F.regexp_extract("path", F.lit(r"^.*?" + _quoted(root.rstrip("/")) + "/"), 0)) + 1, F.length("path"))
+    rel = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
     rows = files.select("path", rel.alias("rel"), file_type(F.col("path")).alias("type"), "length", "modificationTime", "content")
     rows = rows.where(F.col("type").isin(*types) & ~F.arrays_overlap(F.split("rel", "/"), F.array(*[F.lit(s) for s in skipped])))
     return rows if most_bytes is None else rows.where(F.col("length") <= most_bytes)

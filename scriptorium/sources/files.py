@@ -72,7 +72,9 @@ def html_to_text(rows: DataFrame, html: str = "html", text: str = "text") -> Dat
 
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 where they are valid, else as windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    own = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}  # where it isn't Latin-1
+    other = F.translate(F.decode(content, "ISO-8859-1"), "".join(k for k, v in own.items() if v), "".join(own.values()))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(other)
 
 
 def texts(files: DataFrame, flatten: bool = True) -> DataFrame:

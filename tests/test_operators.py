@@ -104,12 +104,11 @@ def test_files_are_scanned_and_read(spark, tmp_path):
     (tmp_path / "sub/b.html").write_text("<p>x &amp; y</p><script>var s='</p>';</script>")
     (tmp_path / "sub/c.json").write_text('{"body": "from  json"}')
     (tmp_path / "d.txt").write_bytes(b"caf\xe9")
-    (tmp_path / "e.txt").write_text("")
     (tmp_path / "f.pdf").write_bytes(b"%PDF")
     (tmp_path / "node_modules/g.md").write_text("no")
     (tmp_path / "h.exe").write_text("no")
     found = {r["rel"]: (r["text"], r["status"]) for r in files.texts(files.scan(spark, str(tmp_path))).collect()}
-    assert found == {"a.md": ("# A body", "ok"), "sub/b.html": ("x & y", "ok"), "sub/c.json": ("from json", "ok"), "d.txt": ("café", "ok"), "e.txt": ("", "empty"), "f.pdf": (None, "unsupported")}
+    assert found == {"a.md": ("# A body", "ok"), "sub/b.html": ("x & y", "ok"), "sub/c.json": ("from json", "ok"), "d.txt": ("café", "ok"), "f.pdf": (None, "unsupported")}
 
 
 def test_workflows_take_a_completion(spark):

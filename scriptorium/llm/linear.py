@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Rows worked on at once.
+ROWS = 500
+
 
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
     """(weights, intercept) that minimise the log-loss with an L2 penalty over x_j = scale_j for each j in a row.
@@ -11,17 +14,19 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     Limited-memory BFGS with a backtracking line search; the intercept isn't penalised. Deterministic for given rows.
     """
     n, d = len(rows), len(scale)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    columns = np.concatenate(rows).astype(np.int64) if n else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    values = scale[columns]
+    # a few rows at a time, so that beside the columns themselves only a bounded step is held
+    steps_of = [(np.concatenate(rows[at : at + ROWS]).astype(np.int32), np.array([len(r) for r in rows[at : at + ROWS]]), labels[at : at + ROWS]) for at in range(0, n, ROWS)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = np.bincount(owner, weights=values * w[columns], minlength=n) + w[d]
-        p = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
-        error = p - labels
-        grad = np.append(np.bincount(columns, weights=values * error[owner], minlength=d) + l2 * w[:d], error.sum())
-        return float(np.logaddexp(0, margin).sum() - (labels * margin).sum() + l2 / 2 * (w[:d] ** 2).sum()), grad
+        value, grad = l2 / 2 * float((w[:d] ** 2).sum()), np.append(l2 * w[:d], 0.0)
+        for columns, sizes, truth in steps_of:
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            margin = np.bincount(owner, weights=(scale * w[:d])[columns], minlength=len(sizes)) + w[d]
+            error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - truth
+            grad[:d] += np.bincount(columns, weights=error[owner], minlength=d) * scale
+            grad[d] += error.sum()
+            value += float(np.logaddexp(0, margin).sum() - (truth * margin).sum())
+        return value, grad
 
     w = np.zeros(d + 1)
     rate = np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3)

@@ -141,9 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["at", "label"])
 
     data = rows.coalesce(8).mapInArrow(vectors, "at binary, label double").collect()
-    data.sort(key=lambda r: (r["label"], bytes(r["at"])))  # sums of floats don't depend on the order of tasks
-    columns = [np.frombuffer(r["at"], np.int32) for r in data]
-    weights, intercept = fit_logistic(columns, np.array([r["label"] > 0 for r in data], float), ratio)
+    pairs = sorted((r["label"] > 0, bytes(r["at"])) for r in data)  # sums of floats don't depend on the order of tasks
+    del data
+    weights, intercept = fit_logistic([np.frombuffer(at, np.int32) for _, at in pairs], np.array([mark for mark, _ in pairs], float), ratio)
     return Model(ids, weights * ratio, intercept, grams, bits)
 
 

@@ -15,7 +15,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray,
     """
     n, d = len(rows), len(scale)
     # a few rows at a time, so that beside the columns themselves only a bounded step is held
-    steps_of = [(np.concatenate(rows[at : at + ROWS]).astype(np.int32), np.array([len(r) for r in rows[at : at + ROWS]]), labels[at : at + ROWS]) for at in range(0, n, ROWS)]
+    steps_of = [(np.concatenate(rows[at : at + ROWS]), np.array([len(r) for r in rows[at : at + ROWS]]), labels[at : at + ROWS]) for at in range(0, n, ROWS)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         value, grad = l2 / 2 * float((w[:d] ** 2).sum()), np.append(l2 * w[:d], 0.0)

@@ -49,6 +49,17 @@ def gram_ids(text: str | None, grams: tuple[int, ...] = GRAMS, bits: int = BITS)
                 yield (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(places: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Ascending places, and their differences, compressed."""
+    return places, pa.compress(np.diff(places, prepend=0).astype(np.uint32).tobytes(), codec="zstd", asbytes=True) if len(places) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    """Ascending places, in 16 bits where they fit."""
+    places = np.cumsum(np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint32), dtype=np.uint32) if n else np.empty(0, np.uint32)
+    return places.astype(np.uint16) if not n or places[-1] < 1 << 16 else places
+
+
 @dataclass
 class Model:
     """Weights by hashed n-gram (those of no feature are 0), the intercept, and how n-grams are made."""
@@ -137,13 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             found = []
             for text in batch.column(0).to_pylist():
                 places = [p[p >= 0] for p in (table[g] for g in gram_ids(text, grams, bits))]
-                found.append(np.unique(np.concatenate(places)).astype(np.int32).tobytes() if places else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["at", "label"])
+                found.append(_packed(np.unique(np.concatenate(places)) if places else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary()), batch.column(1)], names=["n", "at", "label"])
 
-    data = rows.coalesce(8).mapInArrow(vectors, "at binary, label double").collect()
-    pairs = sorted((r["label"] > 0, bytes(r["at"])) for r in data)  # sums of floats don't depend on the order of tasks
+    data = rows.coalesce(8).mapInArrow(vectors, "n int, at binary, label double").collect()
+    pairs = sorted((r["label"] > 0, r["n"], bytes(r["at"])) for r in data)  # sums of floats don't depend on the order of tasks
     del data
-    weights, intercept = fit_logistic([np.frombuffer(at, np.int32) for _, at in pairs], np.array([mark for mark, _ in pairs], float), ratio)
+    marks = np.array([mark for mark, _, _ in pairs], float)
+    weights, intercept = fit_logistic([_unpacked(at, n) for _, n, at in pairs], marks, ratio)
     return Model(ids, weights * ratio, intercept, grams, bits)
 
 

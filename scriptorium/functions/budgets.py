@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import tokens
+from scriptorium.functions.text import tokens, truncated_middle
 
 #: Context sizes that a model's name tells, in the order in which they are looked for.
 WINDOWS = [("128k|131072", 131072), ("32k|32768", 32768), ("16k|16384", 16384), ("8k|8192", 8192), ("4k|4096", 4096)]
@@ -58,3 +58,11 @@ def model_rank(model: Column) -> Column:
 def percent(done: Column, total: Column, most: int) -> Column:
     """Share in whole percents, halves to even, `most` at most; 0 without a total."""
     return F.when(total > 0, F.least(F.lit(most), F.bround(done / total * 100, 0).cast("int"))).otherwise(0)
+
+
+def fitted_prompt(model: Column, system: Column, user: Column, output: int, margin: int = 128) -> Column:
+    """The user's part of a prompt, cut in its middle if both parts don't fit beside the answer."""
+    x = limits(model)
+    room = x["context_tokens"] - x["reserve_tokens"] - output - margin
+    most = F.greatest(F.lit(256), room - tokens(system)) * 4
+    return F.when((tokens(F.concat(system, user)) <= room) | (room < 256), user).otherwise(truncated_middle(user, most, "prompt_utente"))

@@ -29,12 +29,12 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN).cast("int"))
 
 
-def truncated_middle(text: Column, most: int, label: str | Column) -> Column:
+def truncated_middle(text: Column, most: int | Column, label: str | Column) -> Column:
     """Head and tail of most // 2 code points each around a notice, if the text is longer than `most`."""
-    half = most // 2
+    half = F.floor(most / 2).cast("int") if isinstance(most, Column) else most // 2
     label = F.lit(label) if isinstance(label, str) else label
     notice = F.concat(F.lit("\n\n_[… "), label, F.lit(" troncato: "), (F.length(text) - most).cast("string"), F.lit(" caratteri omessi …]_\n\n"))
-    tail = F.right(text, F.lit(half)) if half else text
+    tail = text if isinstance(half, int) and not half else F.right(text, F.lit(half))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, half), notice, tail))
 
 
@@ -153,3 +153,53 @@ def first_string(raw: Column, keys=("content", "body", "text", "markdown")) -> C
 
 def file_type(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
+
+
+#: Languages by file type.
+LANGUAGES = {
+    ".py": "Python", ".pyw": "Python", ".js": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript",
+    ".jsx": "JavaScript", ".go": "Go", ".rs": "Rust", ".java": "Java", ".kt": "Kotlin", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift",
+    ".sh": "Shell", ".ps1": "PowerShell", ".sql": "SQL",
+}
+
+
+def language_of(path: Column) -> Column:
+    """The language that a path's type tells; else the type itself, and `testo` without one."""
+    kind = file_type(path)
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.nullif(F.ltrim(kind, F.lit(".")), F.lit("")), F.lit("testo"))
+
+
+def cross_refs(text: Column, headings: Column) -> Column:
+    """Those of some headings that a text names, in whatever case, but doesn't begin with."""
+    named = lambda h: F.contains(F.lower(text), F.lower(h)) & ~F.contains(F.substring(text, F.lit(1), F.length(h) + 2), h)
+    return F.filter(headings, lambda h: (h != "") & named(h))
+
+
+def windows(text: Column, most: int) -> Column:
+    """A text in pieces of `most` code points, or up to the last blank line beyond the first half of a piece.
+
+    A fold over its pieces, which are at most twice as many as the text has times `most` code points.
+    """
+    n = F.length(text)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(a: Column, _: Column) -> Column:
+        piece = F.substring(text, a["at"] + 1, F.lit(most))
+        before = most - F.instr(F.reverse(piece), "\n\n") - 1
+        early = (a["at"] + most < n) & (before > most // 2) & (before < most - 1)
+        size = F.when(early, before).otherwise(most)
+        return F.when(a["at"] >= n, a).otherwise(F.struct((a["at"] + size).alias("at"), F.array_append(a["parts"], F.substring(piece, F.lit(1), size)).alias("parts")))
+
+    steps = F.sequence(F.lit(1), F.ceil(n * 2 / most).cast("int") + 1)
+    return F.when(n <= most, F.array(text)).otherwise(F.aggregate(steps, start, step, lambda a: a["parts"]))
+
+
+def answer_text(raw: Column) -> Column:
+    """The text of a model's reply in JSON: its message blocks, else the first string of some keys; empty if there is none."""
+    strip = lambda x: F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
+    value = F.try_parse_json(raw)
+    blocks = F.filter(F.from_json(raw, "output array<struct<type string, content string>>")["output"], lambda b: b["type"] == "message")
+    joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
+    keys = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in ("response", "content", "text", "output")]
+    return F.coalesce(*map(strip, [joined, *keys]), F.lit(""))

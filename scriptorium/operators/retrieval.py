@@ -92,3 +92,11 @@ def context_bundle(parts: Column, most: int, least_part: int = 2000, least_rest:
         )
 
     return F.aggregate(parts, start, step, lambda a: F.struct(a["texts"].alias("texts"), a["total"].alias("total"), a["done"].alias("cut_off")))
+
+
+def document_keys(rows: DataFrame, fields: list[Column]) -> DataFrame:
+    """Distinct keys by which a store knows its documents: each filled field, and the last part of it."""
+    clean = F.transform(F.array(*[f.cast("string") for f in fields]), lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
+    last = lambda x: F.element_at(F.split(F.regexp_replace(x, r"(/\.?)+$", ""), "/"), -1)
+    filled = F.filter(clean, lambda x: x != "")
+    return rows.select(F.explode(F.array_union(filled, F.transform(filled, last))).alias("key")).distinct()

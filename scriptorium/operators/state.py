@@ -59,3 +59,13 @@ def rolling_facts(facts: DataFrame, key: str, order: list[str], kept=("high", "m
 def merged_buckets(old: Column, new: Column) -> Column:
     """Old items, then new ones that aren't there yet."""
     return F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
+
+
+def resume_index(status: Column, done: Column) -> Column:
+    """The chunk to go on with: what a file in processing has done, else the first."""
+    return F.when(status == "processing", done).otherwise(0)
+
+
+def failed(state: DataFrame, is_failed: Column, error: Column) -> DataFrame:
+    """State with some rows marked as failed, and the first 500 code points of their error."""
+    return state.withColumn("error", F.when(is_failed, F.substring(error, 1, 500))).withColumn("status", F.when(is_failed, "failed").otherwise(F.col("status")))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scriptorium.functions.text import normalised
+from scriptorium.functions.text import char_shingles, normalised
 
 #: Permutations, code points of a shingle, and the likeness from which texts are duplicates.
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.95
@@ -102,6 +105,25 @@ def near_pairs(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return banded_pairs(signatures(representatives(docs).select("id", "norm")), threshold)
 
 
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of two texts that lies in their matching blocks."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def text_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity, jaccard, overlap, ratio, best) of candidate pairs (a, b, similarity); texts: (id, norm).
+
+    jaccard and overlap compare the sets of character shingles; best is the largest of all four.
+    """
+    left, right = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"text_{i}"), char_shingles(F.col("norm")).alias(f"set_{i}")) for i in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    m, n, common = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
+    share = lambda whole: F.when((m == 0) & (n == 0), 1.0).when((m == 0) | (n == 0), 0.0).otherwise(common / whole)
+    found = both.select("a", "b", "similarity", share(F.greatest(F.lit(1), m + n - common)).alias("jaccard"), share(F.greatest(F.lit(1), F.least(m, n))).alias("overlap"), sequence_ratio("text_a", "text_b").alias("ratio"))
+    return found.withColumn("best", F.greatest("similarity", "jaccard", "overlap", "ratio"))
+
+
 def greedy_first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept): a node is dropped if it is linked with a kept node of a smaller id. nodes: id; edges: a < b.
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -30,6 +31,20 @@ def test_signatures_and_pairs_match_brute_force(spark):
     assert pairs and {(r["a"], r["b"]) for r in dedup.banded_pairs(signed).collect()} == pairs
 
 
+def test_text_similarity_matches_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60))).strip() or "x" for _ in range(8)] + ["", "abcde", "abcdef"]
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)} if len(t) > 5 else ({t} if t else set())
+    rows = spark.createDataFrame(list(enumerate(" ".join(t.split()) for t in texts)), "id long, norm string")
+    norm = [" ".join(t.split()) for t in texts]
+    pairs = spark.createDataFrame([(a, b, 0.25) for a in range(len(texts)) for b in range(a + 1, len(texts))], "a long, b long, similarity double")
+    for r in dedup.text_similarity(pairs, rows).collect():
+        x, y = grams(norm[r["a"]]), grams(norm[r["b"]])
+        jaccard, overlap = (len(x & y) / len(x | y), len(x & y) / min(len(x), len(y))) if x and y else (0.0, 0.0)
+        ratio = SequenceMatcher(None, norm[r["a"]], norm[r["b"]]).ratio()
+        assert (r["jaccard"], r["overlap"], r["ratio"], r["best"]) == (jaccard, overlap, ratio, max(0.25, jaccard, overlap, ratio))
+
+
 def test_greedy_keeps_both_ends_of_a_chain(spark):
     nodes = spark.range(1, 8).withColumnRenamed("id", "id")
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (4, 6), (5, 6)], "a long, b long")

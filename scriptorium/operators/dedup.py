@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,12 @@ from scriptorium.functions.text import char_shingles, normalised
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.95
 #: A worker forgets the hashes of shingles beyond this many; a cache without influence on results.
 REMEMBERED = 250_000
+#: Texts from which the rarity of shingles is estimated, its buckets, and bits of the map of probed shingles: all only a matter of speed.
+SAMPLED, RARITY, MAP_BITS = 4_000, 1 << 20, 26
+#: Lengths of runs with their number of buckets in a sketch, and texts of one block of sketches.
+SKETCH, BLOCK = ((1, 64), (3, 192), (5, 256)), 2048
+#: Lengths of runs that are counted exactly before two texts are aligned.
+RUNS = (1, 3, 5, 8)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -89,8 +96,12 @@ def banded_pairs(signed: DataFrame, threshold: float = SIMILAR, permutations: in
     keyed = keyed.join(shared, "band")
     pairs = keyed.select("band", F.col("id").alias("a")).join(keyed.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b").distinct()
     left, right = rows.select(F.col("id").alias("a"), F.col("signature").alias("x")), rows.select(F.col("id").alias("b"), F.col("signature").alias("y"))
-    same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (same / permutations).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", agreement("x", "y", permutations).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def agreement(x: str, y: str, permutations: int = PERMUTATIONS) -> Column:
+    """Share of the places in which two signatures agree."""
+    return F.aggregate(F.zip_with(x, y, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / permutations
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,25 +116,200 @@ def near_pairs(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return banded_pairs(signatures(representatives(docs).select("id", "norm")), threshold)
 
 
+def run_hashes(text: str, q: int) -> np.ndarray:
+    """A 64-bit hash of each run of q code points, in their order; a shorter text is its only one."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    wide = min(q, len(points))
+    if not wide:
+        return points
+    out = np.full(len(points) - wide + 1, wide, np.uint64)
+    for i in range(wide):
+        out = (out ^ points[i : len(points) - wide + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def least_common(q: int, m: int | np.ndarray, n: int | np.ndarray, threshold: float) -> np.ndarray:
+    """Runs of q that texts of m and n code points have in common at least if their sequence ratio is `threshold`.
+
+    Matching blocks are a common subsequence of threshold * (m + n) / 2 or more; each code point of one text outside it
+    ends q runs at most, each of the other one q - 1.
+    """
+    matched = np.ceil(threshold * (m + n) / 2 - 1e-9)
+    return (m - q + 1) - q * (m - matched) - (q - 1) * (n - matched)
+
+
+def overlap_candidates(texts: DataFrame, threshold: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
+    """(a, b) with a < b: all pairs whose sets of shingles overlap by `threshold` or more (so also by Jaccard), and others.
+
+    |A| - ceil(threshold * |A|) + 1 shingles of the smaller set are looked up in the whole larger one. Any choice of them
+    finds all pairs; rare ones, by a sample, find few others. Rows: (id, norm).
+    """
+    context, kind = texts.sparkSession.sparkContext, texts.schema["id"].dataType.simpleString()
+    texts = texts.select("id", "norm").where("norm <> ''")
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array((np.unique(run_hashes(text, k)) % np.uint64(RARITY)).astype(np.int32))], names=["bucket"])
+
+    counts = texts.orderBy(F.xxhash64("id")).limit(SAMPLED).mapInArrow(sampled, "bucket int").groupBy("bucket").agg(F.count("*").cast("int").alias("n")).toPandas()
+    frequent = np.zeros(RARITY, np.int32)
+    frequent[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    frequency = context.broadcast(frequent)
+
+    def rows_of(chosen: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    grams = np.unique(run_hashes(batch.column(1)[at].as_py(), k))
+                    some = chosen(grams)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(some), batch.schema[0].type), pa.array(np.full(len(some), len(grams), np.int32)), pa.array(some.view(np.int64))], names=["id", "n", "gram"])
+
+        return texts.mapInArrow(run, f"id {kind}, n int, gram long")
+
+    def rarest(grams: np.ndarray) -> np.ndarray:
+        order = np.lexsort((grams, frequency.value[(grams % np.uint64(RARITY)).astype(np.int64)]))
+        return grams[order[: len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1]]
+
+    probes = saved(rows_of(rarest))
+    place = F.shiftrightunsigned("gram", 64 - MAP_BITS)
+    words = probes.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - MAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    probed = context.broadcast(bits.view(np.uint64))
+
+    def asked(grams: np.ndarray) -> np.ndarray:
+        at = grams >> np.uint64(64 - MAP_BITS)
+        return grams[(probed.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+
+    whole = rows_of(asked).select(F.col("id").alias("other"), F.col("n").alias("m"), "gram")
+    found = probes.join(whole, "gram").where("n < m or (n = m and id < other)")
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _sketched_pairs(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Pairs between the two sides of a cell (inside the only one) that lengths and sketches don't rule out."""
+    ids, sizes = cell["id"].to_numpy(), cell["n"].to_numpy().astype(np.int64)
+    sketches = np.frombuffer(b"".join(cell["sketch"]), np.uint32).reshape(len(cell), -1)
+    high = cell["side"].to_numpy()
+    left, right = np.flatnonzero(high == 0), np.flatnonzero(high == 1)
+    out_a, out_b = [], []
+    for at, i in enumerate(left):
+        rest = right if len(right) or cell["across"].iloc[0] else left[at + 1 :]
+        rest = rest[2 * np.minimum(sizes[rest], sizes[i]) >= threshold * (sizes[rest] + sizes[i]) - 1e-9]
+        start = 0
+        for q, wide in SKETCH:
+            if not len(rest):
+                break
+            common = np.minimum(sketches[rest, start : start + wide], sketches[i, start : start + wide]).sum(axis=1, dtype=np.int64)
+            rest, start = rest[common >= least_common(q, sizes[i], sizes[rest], threshold) - 1e-9], start + wide
+        out_a.append(np.minimum(ids[i], ids[rest])), out_b.append(np.maximum(ids[i], ids[rest]))
+    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}) if out_a else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+
+def ratio_candidates(texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b) with a < b: all pairs of texts whose sequence ratio is `threshold` or more, and others.
+
+    Lengths of such pairs differ little, so texts are compared with those of their own and of the next level of lengths,
+    in blocks, by counts of hashed runs that bound the matching blocks from above. Rows: (id, norm).
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    step = -math.log(threshold / (2 - threshold)) * 1.0001
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, levels, sketches = [], [], []
+            for text in batch.column(1).to_pylist():
+                sizes.append(len(text)), levels.append(int(math.log(len(text)) / step))
+                sketches.append(np.concatenate([np.bincount((run_hashes(text, q) % np.uint64(wide)).astype(np.int64), minlength=wide) for q, wide in SKETCH]).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(levels, pa.int32()), pa.array(sketches, pa.binary())], names=["id", "n", "level", "sketch"])
+
+    rows = saved(texts.select("id", "norm").where("norm <> ''").mapInArrow(run, f"id {kind}, n int, level int, sketch binary"))
+    blocks = rows.groupBy("level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(F.broadcast(blocks), "level").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    following = F.broadcast(blocks.select((F.col("level") - 1).alias("level"), F.col("blocks").alias("more")))
+    previous = F.broadcast(blocks.select((F.col("level") + 1).alias("level"), F.col("blocks").alias("more")))
+    inside = own.withColumn("other", each(F.col("blocks"))).select("id", "n", "sketch", F.col("level").alias("low"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") != F.col("other")).alias("across"), F.lit(False).alias("next"))
+    lower = own.join(following, "level").withColumn("other", each(F.col("more"))).select("id", "n", "sketch", F.col("level").alias("low"), F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("across"), F.lit(True).alias("next"))
+    upper = own.join(previous, "level").withColumn("other", each(F.col("more"))).select("id", "n", "sketch", (F.col("level") - 1).alias("low"), F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), F.lit(True).alias("across"), F.lit(True).alias("next"))
+    return inside.unionByName(lower).unionByName(upper).groupBy("low", "next", "i", "j").applyInPandas(lambda g: _sketched_pairs(g, threshold), f"a {kind}, b {kind}")
+
+
+def possible(threshold: float, k: int = SHINGLE) -> Callable[..., Column]:
+    """A check of two texts that is true if they overlap by `threshold`, or if counts of runs don't rule out such a ratio."""
+
+    @F.pandas_udf(T.BooleanType())
+    def check(a: pd.Series, b: pd.Series) -> pd.Series:
+        def alike(x: str, y: str) -> bool:
+            m, n = len(x), len(y)
+            if 2 * min(m, n) >= threshold * (m + n) - 1e-9 and all(bag(x, y, q) >= least_common(q, m, n, threshold) - 1e-9 for q in RUNS):
+                return True
+            s, t = np.unique(run_hashes(x, k)), np.unique(run_hashes(y, k))
+            return len(np.intersect1d(s, t, assume_unique=True)) >= threshold * min(len(s), len(t)) - 1e-9
+
+        def bag(x: str, y: str, q: int) -> int:
+            (s, m), (t, n) = (np.unique(run_hashes(z, q), return_counts=True) for z in (x, y))
+            _, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+            return int(np.minimum(m[i], n[j]).sum())
+
+        return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    return check
+
+
+def candidate_pairs(texts: DataFrame, threshold: float = SIMILAR, ratio: bool = True) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs that reach `threshold` by signature, Jaccard, overlap or (with `ratio`)
+    sequence ratio, and a few others; similarity is the signatures'. Rows: (id, norm), each norm once."""
+    signed = saved(signatures(texts.select("id", "norm")))
+    more = overlap_candidates(texts, threshold)
+    if ratio:
+        more = more.unionByName(ratio_candidates(texts, threshold)).distinct()
+    left, right = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"text_{i}")) for i in "ab")
+    more = saved(more.join(left, "a").join(right, "b").where(possible(threshold)("text_a", "text_b")).select("a", "b"))
+    pairs = banded_pairs(signed, threshold).select("a", "b").unionByName(more).distinct()
+    x, y = signed.toDF("a", "x"), signed.toDF("b", "y")
+    return saved(pairs.join(x, "a").join(y, "b").select("a", "b", agreement("x", "y").alias("similarity")))
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of two texts that lies in their matching blocks."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Share of two texts that lies in their matching blocks; null for null texts."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def text_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def text_similarity(pairs: DataFrame, texts: DataFrame, enough: float | None = None) -> DataFrame:
     """(a, b, similarity, jaccard, overlap, ratio, best) of candidate pairs (a, b, similarity); texts: (id, norm).
 
-    jaccard and overlap compare the sets of character shingles; best is the largest of all four.
+    jaccard and overlap compare the sets of character shingles; best is the largest of all four. The ratio depends on
+    the order of a and b; where the others reach `enough`, it is left null.
     """
     left, right = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"text_{i}"), char_shingles(F.col("norm")).alias(f"set_{i}")) for i in "ab")
     both = pairs.join(left, "a").join(right, "b")
     m, n, common = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
     share = lambda whole: F.when((m == 0) & (n == 0), 1.0).when((m == 0) | (n == 0), 0.0).otherwise(common / whole)
-    found = both.select("a", "b", "similarity", share(F.greatest(F.lit(1), m + n - common)).alias("jaccard"), share(F.greatest(F.lit(1), F.least(m, n))).alias("overlap"), sequence_ratio("text_a", "text_b").alias("ratio"))
+    found = both.select("a", "b", "similarity", share(F.greatest(F.lit(1), m + n - common)).alias("jaccard"), share(F.greatest(F.lit(1), F.least(m, n))).alias("overlap"), "text_a", "text_b")
+    open_ = F.lit(True) if enough is None else F.greatest("similarity", "jaccard", "overlap") < enough
+    found = found.select("a", "b", "similarity", "jaccard", "overlap", sequence_ratio(F.when(open_, F.col("text_a")), F.when(open_, F.col("text_b"))).alias("ratio"))
     return found.withColumn("best", F.greatest("similarity", "jaccard", "overlap", "ratio"))
 
 
+def shingle_similar(texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity, jaccard, overlap) of all pairs of which one of the three is `threshold` or more."""
+    left, right = (texts.select(F.col("id").alias(i), char_shingles(F.col("norm")).alias(x)) for i, x in ("ax", "by"))
+    both = candidate_pairs(texts, threshold, ratio=False).join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = both.select("a", "b", "similarity", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"), (common / F.least(F.size("x"), F.size("y"))).alias("overlap"))
+    return found.where(F.greatest("similarity", "jaccard", "overlap") >= threshold).select("a", "b", "similarity", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
+
+
+def similar_edges(texts: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b) with a < b: all pairs whose text_similarity is `threshold` or more, the later text compared with the earlier."""
+    later = candidate_pairs(texts, threshold).select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
+    return text_similarity(later, texts, threshold).where(F.col("best") >= threshold).select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
 def greedy_first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept): a node is dropped if it is linked with a kept node of a smaller id. nodes: id; edges: a < b.
 

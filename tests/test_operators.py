@@ -1,6 +1,7 @@
 import hashlib
 import random
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -147,3 +148,49 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     ingest.ingest(spark, source, target, progress)
     found = sorted(map(tuple, spark.read.parquet(target).collect()))
     assert found == sorted(map(tuple, ingest.measured(spark.read.parquet(source)).collect())) and len(found) == 4
+
+
+signed = lru_cache(signature)
+
+
+def alike(a, b):
+    """The four measures of two normalised texts, each in its plain form."""
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)} if len(t) > 5 else ({t} if t else set())
+    x, y, s, t = grams(a), grams(b), signed(a), signed(b)
+    jaccard, overlap = (len(x & y) / len(x | y), len(x & y) / min(len(x), len(y))) if x and y else (0.0, 0.0)
+    return sum(p == q for p, q in zip(s, t)) / 128, jaccard, overlap, SequenceMatcher(None, a, b).ratio()
+
+
+def likely_texts():
+    """Texts that are alike by one measure only, by several, and by none."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [text(n) for n in (3, 6, 12, 30, 60, 150)]
+    changed = lambda t, every: "".join("#" if i % every == every - 1 else c for i, c in enumerate(t))
+    out = base + [b[len(b) // 4 : len(b) // 2].strip() for b in base] + [changed(b, 25) for b in base] + [b + " " + text(2) for b in base] + [b + " end" for b in base] + ["", "abc", "abcd", "abcde", "abcdef"]
+    rng.shuffle(out)
+    return list(dict.fromkeys(out))
+
+
+def test_pairs_and_edges_of_all_measures_match_brute_force(spark):
+    texts = likely_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    both = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    measures = {(a, b): alike(texts[a], texts[b]) for a, b in both}
+    expected = {p for p, m in measures.items() if max(m) >= 0.95}
+    only = lambda i: any(m[i] >= 0.95 > max(m[:i] + m[i + 1 :]) for m in measures.values())
+    assert only(2) and only(3)
+    found = dedup.text_similarity(dedup.candidate_pairs(rows), rows).where("best >= 0.95").collect()
+    assert {(r["a"], r["b"]) for r in found} == expected
+    assert all((r["similarity"], r["jaccard"], r["overlap"], r["ratio"]) == measures[r["a"], r["b"]] for r in found)
+    assert {(r["a"], r["b"]) for r in dedup.shingle_similar(rows).collect()} == {p for p, m in measures.items() if max(m[:3]) >= 0.95}
+    assert {(r["a"], r["b"]) for r in dedup.similar_edges(rows).collect()} == {(a, b) for a, b in both if max(alike(texts[b], texts[a])) >= 0.95}
+
+
+def test_blocks_of_one_length_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 3)
+    texts = [f"{w} {i:02d} and the same tail of words for all of them" for i in range(10) for w in ("one", "two")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    found = {(r["a"], r["b"]) for r in dedup.ratio_candidates(rows).collect()}
+    assert found >= {(a, b) for a in range(20) for b in range(a + 1, 20) if SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.95}

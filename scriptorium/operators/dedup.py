@@ -111,9 +111,15 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return keyed.join(counts.select(F.col("first"), "n"), F.col("id") == F.col("first")).select("id", "n", "norm")
 
 
-def near_pairs(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity) between the representatives of normalised texts; copies don't come as pairs."""
-    return banded_pairs(signatures(representatives(docs).select("id", "norm")), threshold)
+def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, rep): each row with the smallest id of its normalised text. Digests are joined, not texts."""
+    keyed = saved(docs.select(F.col(doc_id).alias("id"), F.md5(normalised(F.col(text)).cast("binary")).alias("k")))
+    return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("rep")), "k").select("id", "rep")
+
+
+def near_pairs(docs: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) between the representatives of normalised texts, and the membership (id, rep) of all rows."""
+    return banded_pairs(signatures(representatives(docs).select("id", "norm")), threshold), membership(docs)
 
 
 def run_hashes(text: str, q: int) -> np.ndarray:
@@ -333,6 +339,25 @@ def best_match(pairs: DataFrame, exact_from: float = 0.999) -> DataFrame:
     return best.select("candidate", F.col("x.entry").alias("entry"), (-F.col("x.s")).alias("similarity"), (-F.col("x.s") >= exact_from).alias("exact"))
 
 
+def best_entries(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(candidate, entry, similarity, exact): for each even id the most similar odd one, ties to the smaller.
+
+    A text stands for its rows by its smallest odd id, which its own even rows find with similarity 1. pairs: (a, b,
+    similarity) of representatives; members: (id, rep).
+    """
+    odd = members.where("id % 2 <> 0").groupBy("rep").agg(F.min("id").alias("entry"))
+    ways = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    ways = ways.unionByName(odd.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
+    best = best_match(ways.join(odd.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("candidate"), "entry", "similarity"))
+    even = members.where("id % 2 = 0")
+    return even.join(best, F.col("rep") == F.col("candidate")).select(F.col("id").alias("candidate"), "entry", "similarity", "exact")
+
+
+def with_copies(state: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, kept) of representatives, and with kept = false each other row of their texts."""
+    return state.select("id", "kept").unionByName(members.where("id <> rep").select("id", F.lit(False).alias("kept")))
+
+
 def delta(current: DataFrame, known: DataFrame, key: str = "key", digest: str = "md5") -> DataFrame:
     """Each key of either table with its status: new, changed, same or stale."""
     a, b = current.select(key, F.col(digest).alias("now")), known.select(key, F.col(digest).alias("was"))

@@ -6,7 +6,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from scriptorium.operators import chunking, dedup, retrieval, state
-from scriptorium.plans import workflows
+from scriptorium.plans import dedup_queries, workflows
 from scriptorium.sources import files
 from scriptorium.streaming import ingest
 
@@ -194,3 +194,38 @@ def test_blocks_of_one_length_lose_no_pair(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
     found = {(r["a"], r["b"]) for r in dedup.ratio_candidates(rows).collect()}
     assert found >= {(a, b) for a in range(20) for b in range(a + 1, 20) if SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.95}
+
+
+def test_queries_of_near_pairs_match_brute_force_with_copies(spark, tmp_path):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(n)).strip() for n in (40, 90, 200)]
+    base = [" ".join(b.split()) for b in base]
+    family = [*base, base[2] + " x", base[1][10:60].strip(), base[2][:-1]]
+    texts = {i: family[k] for i, k in enumerate([3, 1, 0, 2, 2, 0, 0, 2, 1, 4, 3, 1, 0, 5])} | {20: "", 21: None, 22: "  ", 23: base[0].upper(), 31: "odd and alone", 40: "even and alone"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = {i: (t or "").strip().lower() for i, t in texts.items()}
+    sign = lambda a, b: sum(p == q for p, q in zip(signed(norm[a]), signed(norm[b]))) / 128
+    whole = lambda a, b: 1.0 if norm[a] == norm[b] else max(alike(norm[a], norm[b]))
+
+    found = dedup_queries.minhash_pairs(spark, str(tmp_path)).collect()
+    rep = {i: min(j for j in norm if norm[j] == norm[i]) for i in norm}
+    assert {(r["b"], r["a"]) for r in found if r["copy"]} == {(i, r) for i, r in rep.items() if i != r}
+    linked = {(r["a"], r["b"]) for r in found if not r["copy"]}
+    assert len(found) == len(linked) + sum(i != r for i, r in rep.items())
+    assert all((rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in linked) == (sign(a, b) >= 0.95) for a in norm for b in norm if a < b)
+
+    expected = {}
+    for c in (i for i in norm if i % 2 == 0):
+        likely = [(-sign(c, e), e) for e in norm if e % 2 and sign(c, e) >= 0.95]
+        if likely:
+            s, e = min(likely)
+            expected[c] = (e, -s, -s >= 0.999)
+    got = dedup_queries.best_similar_entry(spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) and {r["candidate"]: (r["entry"], r["similarity"], r["exact"]) for r in got} == expected
+
+    kept = []
+    for i in sorted(norm):
+        if not any(whole(i, k) >= 0.95 for k in kept):
+            kept.append(i)
+    got = dedup_queries.greedy_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(norm) and {r["id"]: r["kept"] for r in got} == {i: i in kept for i in norm}

@@ -8,6 +8,8 @@ blocked hosts is distrusted. What no rule judges is blocked if its host has more
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 #: Rules are compiled into the plan, so there may be so many at most.
 MOST_RULES = 2_000
 DAMPING = 0.85
-#: Rounds at most, and the change of all ranks together below which propagation ends.
-ROUNDS, TOLERANCE = 30, 1e-6
+#: The change of all ranks together below which propagation ends, once no round reaches another host.
+TOLERANCE = 1e-6
 #: Shares of trust and distrust from which a host's verdict counts: distrust / (trust + distrust) above this blocks.
 BLOCK_ABOVE = 0.5
 #: Hosts up to this number are broadcast to the pages (some 60 bytes each); more are joined by shuffle.
@@ -62,26 +64,29 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.select("src", host_of(to).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank over edges (src, dst, n), with the seeds (host, mass; all masses sum to 1).
 
     What hosts without links would pass on goes back to the seeds, so ranks sum to 1. A round is one join on the linking
-    host and one sum for each linked one, written to the checkpoint folder.
+    host and one sum for each linked one, written to the checkpoint folder. Rounds go on until ranks change by less than
+    the tolerance, which takes log(tolerance / 2) / log(damping) of them and one more at most, and until all hosts that
+    links lead to are reached, however far; `rounds` ends them earlier.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
     rank = seeds = cut(seeds.select("host", F.col("mass").alias("rank")))
     if seeds.isEmpty() or shares.isEmpty():
         return rank
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         flow = shares.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("rank"))
         flow = cut(flow.select(F.col("dst").alias("host"), "rank"))
         back = 1 - (flow.agg(F.sum("rank").alias("m")).first()["m"] or 0.0)
         after = cut(flow.unionByName(seeds.select("host", (F.col("rank") * back).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")))
-        both = after.unionByName(rank.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
-        change = both.agg(F.sum(F.abs("change")).alias("c")).first()["c"]
+        both = after.withColumn("known", F.lit(0)).unionByName(rank.select("host", (-F.col("rank")).alias("rank"), F.lit(1).alias("known")))
+        both = both.groupBy("host").agg(F.sum("rank").alias("change"), F.max("known").alias("known"))
+        moved = both.agg(F.sum(F.abs("change")).alias("change"), F.count_if(F.col("known") == 0).alias("new")).first()
         rank = after
-        if change < tolerance:
+        if moved["change"] < tolerance and not moved["new"]:
             break
     return rank
 

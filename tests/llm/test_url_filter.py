@@ -64,3 +64,14 @@ def test_links_spread_trust_and_distrust(spark):
     found = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages + [(7, "http://bad.net/fr/1", "")], "page_id long, url string, html string")).selectExpr("row.page_id", "verdict", "trust", "distrust").collect()}
     assert {i: found[i]["verdict"] for i in range(1, 7)} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "block"}
     assert found[2]["trust"] > 0 == found[5]["trust"]
+
+
+def test_distrust_goes_along_a_chain_of_32_hosts(spark):
+    hosts = ["bad.net", *(f"h{i}.org" for i in range(1, 33))]
+    edges = [*zip(hosts, hosts[1:]), *((a, f"x.{a}") for a in hosts[:-1])]
+    table = spark.createDataFrame([(b, a, 1.0) for a, b in edges], "src string, dst string, n double")
+    judged = spark.createDataFrame([("bad.net", "block")], "host string, verdict string")
+    found = {r["host"]: r for r in url_filter.host_verdicts(judged, table).collect()}
+    expected = power([(a, b, 1.0) for a, b in edges], {"bad.net": 1.0})
+    assert set(found) == set(expected) and all(r["host_verdict"] == "block" for r in found.values())
+    assert all(r["distrust"] == pytest.approx(expected[h], abs=1e-5) for h, r in found.items())

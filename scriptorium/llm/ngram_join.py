@@ -207,6 +207,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = W
     Null and empty texts have no shingles: they are linked with nothing and are classes of their own. Fewer words than
     k make one shingle. Rows with the same id are documents of their own. Long texts count whole.
     """
+    return _joined(docs, text, doc_id, k, threshold, tolerance, block).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _joined(docs: DataFrame, text: str, doc_id: str, k: int, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """join() with the digest of each row's shingle set (key) and, where it has links, a number of its class (root)."""
     rows = docs.select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     described = cut(rows.mapInArrow(lambda b: _described(b, k), f"doc_id {id_type}, key binary, node long, bands array<long>"))
@@ -232,29 +237,49 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = W
     hubs = components(compared.select(F.col("node").alias("u"), F.col("hub").alias("v")))
     classed = hubs.join(links, "node").join(light, "node").select("root", "node", "links", "rep")
     classes = classed.groupBy("root").agg(F.min("rep").alias("class"))
-    near = classed.join(classes, "root").select("node", "class", "links")
+    near = classed.join(classes, "root").select("node", "root", "class", "links")
     told = copies.select("key", "node", "rep", "copies").join(near, "node", "left").where("copies > 1 or links is not null")
-    told = told.select(F.col("key").alias("of"), F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), (F.col("copies") - 1).alias("n_copies"))
+    told = told.select(F.col("key").alias("of"), F.coalesce("root", "node").alias("root"), F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), (F.col("copies") - 1).alias("n_copies"))
     return described.join(small(cut(told), BROADCAST_ROWS), F.col("key") == F.col("of"), "left").select(
         "doc_id",
         F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"),
+        "key",
+        "root",
     )
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, in their own columns, without all but the one of the smallest id of each class.
+def _key_of(k: int):
+    """The digest of a text's shingle set, as join() takes it; null without shingles."""
+
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        grams = (shingles(t, k) for t in texts)
+        return pd.Series([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], dtype=object)
+
+    return key
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """The rows of `docs`, in their own columns, without all but one of each class: one of its smallest id.
 
-    Of rows with that same id, one of each text stays; rows without an id stay if they are alone.
+    An id that no other row has tells its row. Rows of repeated ids and without an id are told by their shingle sets
+    too, so each is judged by its own class; of rows with the class's smallest id, one of the least set stays.
     """
-    name = how.get("doc_id", "doc_id")
-    classes = cut(join(docs, **how))
-    gone = classes.where("n_links > 0 and not (doc_id <=> class_id)").select(F.col("doc_id").alias("gone")).distinct()
-    twice = classes.where("doc_id <=> class_id and n_copies > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
-    rows = packed(docs).withColumn("_id", F.col("row").getField(name))
-    kept = rows.join(small(gone, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("gone")), "left_anti")
-    few = small(twice, BROADCAST_ROWS)
-    single = kept.join(few, F.col("_id").eqNullSafe(F.col("twice")), "left_anti")
-    again = kept.join(few, F.col("_id").eqNullSafe(F.col("twice")), "left_semi").dropDuplicates(["row"])
-    return single.select("row").unionByName(again.select("row")).select(*unpacked(docs, docs.columns))
+    classes = cut(_joined(docs, text, doc_id, k, threshold, tolerance, block))
+    linked = classes.where("n_links > 0")
+    shared = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_links").alias("most")).where("most > 0 and (n > 1 or doc_id is null)")
+    shared = small(cut(shared.select(F.col("doc_id").alias("shared"))), BROADCAST_ROWS)
+    gone = linked.where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("gone")).distinct()
+    rows = packed(docs).withColumn("_id", F.col("row").getField(doc_id))
+    single = rows.join(shared, F.col("_id").eqNullSafe(F.col("shared")), "left_anti").join(small(gone, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("gone")), "left_anti")
+
+    known = linked.join(shared, F.col("doc_id").eqNullSafe(F.col("shared")), "left_semi")
+    least = known.where("doc_id <=> class_id").groupBy("root").agg(F.min("key").alias("stays"))
+    marks = known.groupBy("doc_id", "class_id", "root", "key").agg(F.count("*").alias("n")).join(least, "root", "left")
+    marks = cut(marks.select(F.col("doc_id").alias("of"), "key", F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("stays")), F.lit(False)).alias("stays")))
+    again = rows.join(shared, F.col("_id").eqNullSafe(F.col("shared")), "left_semi").withColumn("_key", _key_of(k)(F.col("row").getField(text).cast("string")))
+    told = again.join(small(marks, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("of")) & (F.col("_key") == F.col("key")), "left")
+    firsts = told.where("stays").groupBy("_id", "_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return single.select("row").unionByName(told.where("stays is null").select("row")).unionByName(firsts.select("row")).select(*unpacked(docs, docs.columns))

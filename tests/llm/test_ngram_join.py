@@ -79,6 +79,23 @@ def test_one_of_each_keeps_columns_and_single_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, expected))
 
 
+def test_one_of_each_judges_rows_of_null_and_repeated_ids_by_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c, d = ([t, t + " more"] for t in (" ".join(f"{n}{rng.randrange(10**6)}" for _ in range(60)) for n in "abcd"))
+    alone = [" ".join(f"z{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [
+        (3, a[0]), (7, a[1]), (7, alone[0]), (8, a[0] + " and"),  # one row of 7 is near 3
+        (2, b[0]), (2, b[1]), (9, b[0]),  # near copies that share the smallest id
+        (1, c[0]), (None, c[1]), (None, alone[1]), (None, None), (None, d[0]), (None, d[1]), (None, d[0]),
+        (5, alone[2]), (5, alone[2]), (5, alone[3]), (5, None), (5, None),
+    ]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sure = [(3, a[0]), (7, alone[0]), (1, c[0]), (None, alone[1]), (None, None), (5, alone[2]), (5, alone[3]), (5, None), (5, None)]
+    assert not Counter(sure) - Counter(kept)
+    rest = list((Counter(kept) - Counter(sure)).elements())
+    assert len(rest) == 2 and {i for i, _ in rest} == {2, None} and all(t in (b if i else d) for i, t in rest)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(docs).count() == 0 and ngram_join.one_of_each(docs).count() == 0

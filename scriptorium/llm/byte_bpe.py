@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from scriptorium.llm.common import q
 
 #: A worker forgets what it remembers of pre-tokens beyond this many; a pure cache, without influence on results.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer pre-tokens are encoded anew each time.
 LONGEST_REMEMBERED = 48
 #: Pre-tokens in hand at once, so that memory does not grow with the length of a text.

@@ -34,11 +34,15 @@ def unpacked(df: DataFrame, names: list[str], row: str = "row") -> list[Column]:
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and go on from there: short lineage that survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, notebooks) one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session whose executors are this machine's
+    own threads (tests, notebooks) gets a temporary one; a cluster, where no such folder is shared, is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

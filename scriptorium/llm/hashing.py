@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A worker forgets the hashes of words beyond this many; a cache without influence on results.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 U64 = np.uint64
 

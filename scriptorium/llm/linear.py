@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 import numpy as np
 
 #: Rows worked on at once.
 ROWS = 500
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: Iterable[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
     """(weights, intercept) that minimise the log-loss with an L2 penalty over x_j = scale_j for each j in a row.
 
     Limited-memory BFGS with a backtracking line search; the intercept isn't penalised. Deterministic for given rows.
     """
-    n, d = len(rows), len(scale)
+    n, d = len(labels), len(scale)
     # a few rows at a time, so that beside the columns themselves only a bounded step is held
-    steps_of = [(np.concatenate(rows[at : at + ROWS]), np.array([len(r) for r in rows[at : at + ROWS]]), labels[at : at + ROWS]) for at in range(0, n, ROWS)]
+    left, steps_of = iter(rows), []
+    for at in range(0, n, ROWS):
+        some = list(islice(left, ROWS))
+        steps_of.append((np.concatenate(some), np.array([len(r) for r in some]), labels[at : at + ROWS]))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         value, grad = l2 / 2 * float((w[:d] ** 2).sum()), np.append(l2 * w[:d], 0.0)

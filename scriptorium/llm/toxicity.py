@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import held_out, packed, q, unpacked
+from scriptorium.llm.common import cut, held_out, packed, q, unpacked
 from scriptorium.llm.linear import fit_logistic
 
 #: Labelled rows that training reads at most; the bound of the sample, whatever the corpus.
@@ -27,8 +27,8 @@ GRAMS, BITS = (3, 4, 5), 20
 #: Features: those of the largest |log-count ratio| that at least so many training texts hold.
 FEATURES, LEAST_TEXTS = 40_000, 3
 THRESHOLD = 0.3
-#: Code points worked on at once.
-STEP = 400_000
+#: Code points worked on at once, texts taken out of a batch at once, and tasks over the bounded sample.
+STEP, TEXTS, TASKS = 400_000, 128, 8
 
 _BLANKS = re.compile(r"\s+")
 
@@ -85,24 +85,36 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAINING_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(text, label) of at most `most` labelled rows, never of held-out ones.
 
-    Of several labels of one id the largest counts; null labels and ids are left out. The ids are chosen by their hash,
-    so the bounded list of them is broadcast and no text is shuffled.
+    Of several labels of one id the largest counts, of several rows of one id the least text, found on the map side
+    first; null labels and ids are left out. The ids are chosen by their hash and broadcast, `most` of them at most; the
+    documents are filtered where they lie, by all tasks.
     """
     known = labels.where(q(label).isNotNull() & q("doc_id").isNotNull() & ~held_out(q("doc_id"))).groupBy(q("doc_id").alias("known")).agg(F.max(q(label)).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("known"), "known").limit(most)
     texts = docs.select(q(doc_id).alias("id"), q(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("id") == F.col("known")).select("text", "label")
+    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("known"))
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column of a batch, a few at a time as Python strings."""
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, grams: tuple[int, ...] = GRAMS, bits: int = BITS, features: int = FEATURES) -> Model:
-    """The model learnt from the labelled rows of `docs` that aren't held out; without any, it scores all texts alike."""
+    """The model learnt from the labelled rows of `docs` that aren't held out; without any, it scores all texts alike.
+
+    The sample is written to the checkpoint folder once, `most` rows at most, and read by a few tasks from there; null
+    texts count as empty. Of the sample, the driver gets one compressed vector of feature places for each row.
+    """
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, label, most)
+    rows = cut(training_rows(docs, labels, label, most)).coalesce(TASKS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, totals = np.zeros((2, 1 << bits), np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, mark in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
                 found = list(gram_ids(text, grams, bits))
                 totals[int(mark > 0)] += 1
                 if found:
@@ -127,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             totals[:] = 0
 
     sums = pa.schema([("ids", pa.list_(pa.int64())), ("clean", pa.list_(pa.int64())), ("marked", pa.list_(pa.int64())), ("n_clean", pa.int64()), ("n_marked", pa.int64())])
-    partial = rows.coalesce(8).mapInArrow(counted, "at long, clean array<int>, marked array<int>, n_clean long, n_marked long")
-    total = partial.repartition(8, "at").mapInArrow(summed, "ids array<long>, clean array<long>, marked array<long>, n_clean long, n_marked long").collect()
+    partial = rows.mapInArrow(counted, "at long, clean array<int>, marked array<int>, n_clean long, n_marked long")
+    total = partial.repartition(TASKS, "at").mapInArrow(summed, "ids array<long>, clean array<long>, marked array<long>, n_clean long, n_marked long").collect()
     n = np.array([sum(r["n_clean"] for r in total), sum(r["n_marked"] for r in total)], float)
     if not n.all():
         rate = float((n[1] + 1) / (n.sum() + 2))
@@ -146,42 +158,61 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         table[shared.value] = np.arange(len(shared.value), dtype=np.int32)
         for batch in batches:
             found = []
-            for text in batch.column(0).to_pylist():
+            for text in _texts(batch.column(0)):
                 places = [p[p >= 0] for p in (table[g] for g in gram_ids(text, grams, bits))]
                 found.append(_packed(np.unique(np.concatenate(places)) if places else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary()), batch.column(1)], names=["n", "at", "label"])
 
-    data = rows.coalesce(8).mapInArrow(vectors, "n int, at binary, label double").collect()
-    pairs = sorted((r["label"] > 0, r["n"], bytes(r["at"])) for r in data)  # sums of floats don't depend on the order of tasks
+    data = rows.mapInArrow(vectors, "n int, at binary, label double").toArrow()
+    marks, sizes, places = data["label"].to_numpy() > 0, data["n"].to_numpy(), data["at"].to_pylist()
     del data
-    marks = np.array([mark for mark, _, _ in pairs], float)
-    weights, intercept = fit_logistic([_unpacked(at, n) for _, n, at in pairs], marks, ratio)
+    order = sorted(range(len(places)), key=lambda i: (marks[i], sizes[i], places[i]))  # sums of floats don't depend on the order of tasks
+    weights, intercept = fit_logistic((_unpacked(places[i], int(sizes[i])) for i in order), marks[order].astype(float), ratio)
     return Model(ids, weights * ratio, intercept, grams, bits)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`row` (the whole input row as a struct) and its score, from 0 to 1, for each row; null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = packed(docs).withColumn("_text", F.col("row").getField(text).cast("string"))
+def scores(model: Model, spark: SparkSession, text: Column) -> Column:
+    """The score of each text, from 0 to 1; null and empty texts get that of an empty text.
+
+    Only texts go to the workers and only numbers come back, so a row's other columns never leave the executor's JVM.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = shared.value.scorer()
         for batch in batches:
-            scores = pa.array([of(x) for x in batch.column("_text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), scores], names=["row", "score"])
+            yield pa.array(map(of, _texts(batch)), pa.float64())
+
+    return run.asNondeterministic()(text.cast("string"))  # so that no plan runs it twice
 
-    schema = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`row` (the whole input row as a struct, whatever its columns' names) and its score, for each row of `docs`.
+
+    Null texts count as empty; very long ones are read whole, in steps; repeated rows get equal scores; an empty table
+    gives an empty table. Nothing is shuffled.
+    """
+    rows = packed(docs)
+    return rows.select("row", scores(model, docs.sparkSession, F.col("row").getField(text)).alias("score"))
 
 
 def scored_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of `docs`, with a model learnt from `labels`."""
+    """doc_id, held_out, score and predicted for each row of `docs`, with a model learnt from `labels`.
+
+    Rows of one id, and rows without an id (never held out), are scored one by one; other columns aren't looked at; an
+    empty table gives an empty table; without any usable label all texts get one score.
+    """
     slim = docs.select("doc_id", "text")
     found = score(slim, train(docs, labels)).select(F.col("row.doc_id").alias("doc_id"), "score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of `docs`, in their own columns, that aren't predicted toxic."""
+    """The rows of `docs`, in their own columns, that aren't predicted toxic.
+
+    Null and empty texts stay or go with the score of an empty text; repeated rows stay or go together, whatever their
+    ids; further columns, of whatever name, stay as they are; an empty table gives an empty table.
+    """
     found = score(docs, model or train(docs, labels))
     return found.where(F.col("score") < THRESHOLD).select(*unpacked(docs, docs.columns))

@@ -52,3 +52,30 @@ def test_steps_of_a_long_text_give_its_grams(monkeypatch):
     whole = set(np.concatenate(list(toxicity.gram_ids(text))).tolist())
     monkeypatch.setattr(toxicity, "STEP", 37)
     assert set(np.concatenate(list(toxicity.gram_ids(text))).tolist()) == whole
+
+
+def test_features_and_weights_match_a_plain_version(spark):
+    import numpy as np
+
+    rows = corpus(spark, 240)
+    model = toxicity.train(rows.drop("toxic"), rows.select("doc_id", "toxic"), grams=(3,), bits=16)
+    learnt = [r for r in rows.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    sets = [set(np.concatenate(list(toxicity.gram_ids(r["text"], (3,), 16))).tolist()) for r in learnt]
+    marks = np.array([r["toxic"] for r in learnt], float)
+    ids = sorted(g for g in set().union(*sets) if sum(g in s for s in sets) >= toxicity.LEAST_TEXTS)
+    assert model.ids.tolist() == ids
+    held = np.array([[g in s for g in ids] for s in sets], float)
+    ratio = np.log((marks @ held + 1) / (marks.sum() + 2)) - np.log(((1 - marks) @ held + 1) / ((1 - marks).sum() + 2))
+    x, w = held * ratio, model.weights / ratio
+    error = 1 / (1 + np.exp(-(x @ w + model.intercept))) - marks
+    assert np.abs(x.T @ error + w).max() < 0.05 and abs(error.sum()) < 0.05  # the loss is least there
+
+
+def test_rows_of_one_id_count_once_in_training(spark):
+    rows = corpus(spark, 80)
+    docs, labels = rows.drop("toxic"), rows.select("doc_id", "toxic")
+    many = docs.unionByName(spark.range(5000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("zz more text of one id "), "id").alias("text")))
+    sample = toxicity.training_rows(many, labels, "toxic", 50)
+    assert sample.count() == 50
+    assert {r["text"] for r in toxicity.training_rows(many, labels, "toxic").collect()} == {r["text"] for r in toxicity.training_rows(docs, labels, "toxic").collect()}
+    assert toxicity.scored_ids(many, labels).count() == many.count()

@@ -3,7 +3,7 @@
 The document's own evidence is the probability that a linear classifier gives it. Sites and paths are described by sums
 of these probabilities. Beta priors are fitted by moments from level to level: a site shrinks toward the global rate, a
 path toward its site, the more the fewer documents they have. The posterior odds of a document are its own odds times
-the odds of its path against the global ones.
+the odds of its path, without that document, against the global ones.
 """
 
 from __future__ import annotations
@@ -47,29 +47,36 @@ def _weight(level: DataFrame, mean: Column) -> float:
 
 
 def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """(site, path, site_rate, path_rate) for each path of rows (site, path, p), and the global rate.
+    """A row for each path of rows (site, path, p), and the global rate.
 
-    One row for each path and task is shuffled; null sites and paths are groups of their own.
+    Columns: site, path; n and good (sum of p) of the path and of its site (site_n, site_good); the weights of the two
+    priors (weight, site_weight); site_rate and path_rate. One row for each path and task is shuffled; null sites and
+    paths are groups of their own.
     """
     paths = cut(evidence.groupBy("site", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("good")))
     all_rows = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = (all_rows["good"] or 0.0) / all_rows["n"] if all_rows["n"] else 0.5
     sites = cut(paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     k = _weight(sites, F.lit(rate))
-    shrunk = sites.select(F.col("site").alias("of"), ((F.col("good") + k * rate) / (F.col("n") + k)).alias("site_rate"))
+    shrunk = sites.select(F.col("site").alias("of"), F.col("n").alias("site_n"), F.col("good").alias("site_good"), F.lit(k).alias("site_weight"), ((F.col("good") + k * rate) / (F.col("n") + k)).alias("site_rate"))
     joined = cut(paths.join(small(shrunk, BROADCAST_PATHS), F.col("site").eqNullSafe(F.col("of"))).drop("of"))
     k = _weight(joined, F.col("site_rate"))
-    return joined.select("site", "path", "site_rate", ((F.col("good") + k * F.col("site_rate")) / (F.col("n") + k)).alias("path_rate")), rate
+    return joined.select("*", F.lit(k).alias("weight"), ((F.col("good") + k * F.col("site_rate")) / (F.col("n") + k)).alias("path_rate")), rate
 
 
 def judge(scored: DataFrame) -> DataFrame:
-    """Rows of (row, site, path, p) with site_rate, path_rate, quality (0 to 1) and kept.
+    """Rows of (row, site, path, p) with evidence (p), site_rate, path_rate, quality (0 to 1) and kept.
 
+    The rates that judge a document are those of the other documents of its site and path: its own evidence counts once.
     `scored` is read twice, once for the sums and once for the verdicts: what is dear to make should be written before.
     """
     rates, rate = posteriors(scored)
-    rates = rates.select(F.col("site").alias("of_site"), F.col("path").alias("of_path"), "site_rate", "path_rate")
+    rates = rates.drop("site_rate", "path_rate").withColumnsRenamed({"site": "of_site", "path": "of_path"})
     joined = scored.join(small(rates, BROADCAST_PATHS), F.col("site").eqNullSafe(F.col("of_site")) & F.col("path").eqNullSafe(F.col("of_path")))
+    site = (F.col("site_good") - F.col("p") + F.col("site_weight") * rate) / (F.col("site_n") - 1 + F.col("site_weight"))
+    joined = joined.withColumn("site_rate", site)
+    path = (F.col("good") - F.col("p") + F.col("weight") * F.col("site_rate")) / (F.col("n") - 1 + F.col("weight"))
+    joined = joined.withColumn("path_rate", path)
     odds = _odds(F.col("p")) + _odds(F.col("path_rate")) - _odds(F.lit(rate))
     quality = 1 / (1 + F.exp(-odds))
     return joined.select("row", F.col("p").alias("evidence"), "site_rate", "path_rate", quality.alias("quality"), (quality >= THRESHOLD).alias("kept"))

@@ -1,9 +1,10 @@
 import math
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import site_quality
+from scriptorium.llm import site_quality, toxicity
 from tests.llm.cases import documents
 
 
@@ -39,10 +40,38 @@ def test_posteriors_match_brute_force(spark):
     tiny = found.where("site = 'tiny'").first()
     assert 0.05 < tiny["site_rate"]  # one poor document doesn't make a poor site
     judged = site_quality.judge(scored).collect()
-    logit = lambda p: math.log(p / (1 - p))
+    assert len(judged) == len(rows)
     for r in judged:
         assert 0 < r["quality"] < 1 and r["kept"] == (r["quality"] >= 0.5)
         assert math.isclose(logit(r["quality"]), logit(r["evidence"]) + logit(r["path_rate"]) - logit(rate), rel_tol=1e-6, abs_tol=1e-9)
+    alone = [r for r in judged if math.isclose(r["evidence"], 0.01)]
+    assert [r["path_rate"] for r in alone] == [pytest.approx(rate)]  # a lone page is judged by the global rate
+
+
+def logit(p):
+    return math.log(p / (1 - p))
+
+
+def test_verdicts_match_brute_force(spark):
+    docs = documents(spark)
+    labels = docs.where("text is not null and doc_id < 60").selectExpr("doc_id", "cast(length(text) > 200 as int) as quality")
+    score = toxicity.train(docs, labels, "quality").scorer()
+    rows = [(r["doc_id"], r["source"], r["lang"], score(r["text"])) for r in docs.collect()]
+    _, rate, _ = brute([r[1:] for r in rows])
+    sites, paths = defaultdict(list), defaultdict(list)
+    for _, s, h, p in rows:
+        sites[s].append(p)
+        paths[s, h].append(p)
+    posterior, _ = site_quality.posteriors(spark.createDataFrame([r[1:] for r in rows], "site string, path string, p double"))
+    k = posterior.select("site_weight", "weight").first()
+    expected = []
+    for d, s, h, p in rows:
+        site = (sum(sites[s]) - p + k[0] * rate) / (len(sites[s]) - 1 + k[0])
+        path = (sum(paths[s, h]) - p + k[1] * site) / (len(paths[s, h]) - 1 + k[1])
+        odds = sum(x * logit(min(max(y, 1e-4), 1 - 1e-4)) for x, y in ((1, p), (1, path), (-1, rate)))
+        expected.append((d, pytest.approx(p), pytest.approx(site), pytest.approx(path), pytest.approx(1 / (1 + math.exp(-odds)))))
+    found = site_quality.verdicts(docs, labels).select("doc_id", "evidence", "site_rate", "path_rate", "quality").collect()
+    assert sorted((tuple(r) for r in found), key=lambda r: (r[0], r[1])) == sorted(expected, key=lambda r: r[0])
 
 
 def test_awkward_rows_and_accuracy(spark):

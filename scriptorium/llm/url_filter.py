@@ -9,6 +9,8 @@ blocked hosts is distrusted. What no rule judges is blocked if its host has more
 from __future__ import annotations
 
 import itertools
+import json
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,6 @@ from scriptorium.llm.common import cut, packed, q, small
 
 #: (host, path, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Rules are compiled into the plan, so there may be so many at most.
-MOST_RULES = 2_000
 DAMPING = 0.85
 #: The change of all ranks together below which propagation ends, once no round reaches another host.
 TOLERANCE = 1e-6
@@ -46,15 +46,20 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest rule that fits, as a struct of rule and verdict; null if none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are compiled into a plan")
-    longest = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for own, start, verdict in reversed(longest):
-        fits = ((host == own) | host.endswith("." + own)) & path.startswith(start)
-        found = F.when(fits, F.struct(F.lit(own + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
-    return found
+    """The longest rule that fits, as a struct of rule and verdict; null if none does; of equally long ones the first by name.
+
+    The rules are one constant table of slots by their hosts' checksums. A host asks the slot of each of its suffixes,
+    up to as many labels as any rule has, so the cost of a page doesn't grow with the number of rules.
+    """
+    size = max(1, 2 * len(rules))
+    slots: list[list[dict]] = [[] for _ in range(size)]
+    for own, start, verdict in sorted(set(map(tuple, rules))):
+        slots[zlib.crc32(own.encode()) % size].append({"short": -len(own + start), "host": own, "path": start, "verdict": verdict})
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<short:int,host:string,path:string,verdict:string>>>")
+    deepest = max((r[0].count(".") + 1 for r in rules), default=1)
+    suffixes = F.array(*[F.substring_index(host, ".", -n) for n in range(1, deepest + 1)])
+    asked = F.flatten(F.transform(F.array_distinct(suffixes), lambda s: F.filter(F.get(table, (F.crc32(s.cast("binary")) % size).cast("int")), lambda r: (r["host"] == s) & path.startswith(r["path"]))))
+    return F.transform(F.array(F.array_min(asked)), lambda r: F.when(r.isNotNull(), F.struct(F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"))))[0]
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

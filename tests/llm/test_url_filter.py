@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import url_filter
 
@@ -31,6 +32,15 @@ def test_rules_match_brute_force(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_thousands_of_rules_match_brute_force(spark):
+    rules = [(f"h{i % 900}.org", f"/{'ab'[i % 2] * (i % 5)}", ("allow", "block")[i % 2]) for i in range(3000)] + [("org", "/", "block"), ("", "/", "allow"), ("b.h1.org", "/a", "block")]
+    urls = [f"http://{s}h{i}.org/{p}" for i in range(0, 1000, 7) for s in ("", "b.", "c.b.") for p in ("", "aaa", "bbbbb/x")] + ["http:///x", "http://.h1.org/a", "http://org"]
+    table = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    for r in table.select("*", url_filter.rule_of(F.col("host"), F.col("path"), rules).alias("found")).collect():
+        fits = [(-len(h + p), h, p, v) for h, p, v in rules if (r["host"] == h or h and r["host"].endswith("." + h)) and r["path"].startswith(p)]
+        assert (tuple(r["found"]) if r["found"] else None) == ((min(fits)[1] + min(fits)[2], min(fits)[3]) if fits else None), r["url"]
+
+
 def power(edges, seeds, rounds=200, damping=0.85):
     out = {}
     for s, _, n in edges:

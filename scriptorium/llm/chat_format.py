@@ -11,12 +11,16 @@ Control strings inside texts and roles get one more backslash behind their first
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import q
 
 LEARNT = "assistant"
+#: A binary value has fewer than 2^31 bytes: texts of more code points, and malformed ones, are cut by counting.
+MOST_WIDE = 500_000_000
 _NAMES = r"/?(?:s>|INST\]|ROLE\]|TURN\])"
 
 
@@ -56,9 +60,34 @@ def chat(rows: DataFrame, learnt: str = LEARNT, **names: str) -> DataFrame:
     return formatted(turns(rows, **names), learnt)
 
 
+def _bound(value: Column, work: Callable[[Column], Column]) -> Column:
+    """work(value), with the value computed once."""
+    return F.transform(F.array(value), work)[0]
+
+
+def starts_of(lengths: Column) -> Column:
+    """What comes before each place of an array of lengths, in all.
+
+    Sums run over stretches of some square root of the size, then over the stretches: an array that grows at its end is
+    copied at each step, so one run over n lengths would take n * n.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def run(x: Column) -> Column:
+        step = lambda a, n: F.struct((a["all"] + n).alias("all"), F.concat(a["starts"], F.array(a["all"])).alias("starts"))
+        return F.aggregate(x, F.struct(F.lit(0).cast("bigint").alias("all"), empty.alias("starts")), step)
+
+    def of(all_lengths: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(all_lengths))).cast("int")
+        stretches = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_lengths) - 1) / w).cast("int")), lambda i: run(F.slice(all_lengths, i * w + 1, w)))
+        joined = lambda parts: F.flatten(F.zip_with(parts, run(F.transform(parts, lambda x: x["all"]))["starts"], lambda x, at: F.transform(x["starts"], lambda s: s + at)))
+        return F.when(F.size(all_lengths) > 0, _bound(wide, lambda w: _bound(stretches(w), joined))).otherwise(empty)
+
+    return _bound(lengths, of)
+
+
 def formatted(rows: DataFrame, learnt: str = LEARNT) -> DataFrame:
     """conv_id, formatted and loss_spans from conv_id and sorted turns."""
-    zero = F.lit(0)
 
     def blocks(all_turns: Column) -> Column:
         """Runs of one role: their first places, then a slice from each to the next."""
@@ -81,25 +110,29 @@ def formatted(rows: DataFrame, learnt: str = LEARNT) -> DataFrame:
         return F.concat(F.array(F.struct(head.alias("s"), F.lit(False).alias("on"))), bodies, F.array(F.struct(tail.alias("s"), F.lit(False).alias("on"))))
 
     def spans(all_pieces: Column) -> Column:
-        start = F.struct(zero.cast("int").alias("at"), F.array().cast("array<struct<begin:int,length:int>>").alias("spans"))
-        step = lambda a, x: F.struct(
-            (a["at"] + F.length(x["s"])).alias("at"),
-            F.when(x["on"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("begin"), F.length(x["s"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        )
-        return F.aggregate(all_pieces, start, step, lambda a: a["spans"])
+        lengths = F.transform(all_pieces, lambda x: F.length(x["s"]).cast("long"))
+        each = F.zip_with(F.zip_with(all_pieces, lengths, lambda x, n: F.struct(x["on"].alias("on"), n.alias("length"))), starts_of(lengths), lambda x, at: F.struct(x["on"].alias("on"), F.struct(at.alias("begin"), x["length"].alias("length")).alias("span")))
+        return F.transform(F.filter(each, lambda x: x["on"]), lambda x: x["span"])
 
     made = F.transform(F.transform(F.array(F.col("turns")), lambda t: F.flatten(F.transform(blocks(t), pieces))), lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["s"]), "").alias("formatted"), spans(p).alias("loss_spans")))
     return rows.select("conv_id", F.inline(made))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id and the turns (role, text) in order, and the text under the loss mask, all from the formatted text alone."""
-    body = lambda b: F.regexp_replace(F.regexp_replace(b, r"(?s)^<s>\[ROLE\].*?\[/ROLE\](?:\[INST\])?", ""), r"\[/INST\]$", "")
-    role = lambda b: unescaped(F.regexp_extract(b, r"(?s)^<s>\[ROLE\](.*?)\[/ROLE\]", 1))
-    turns_of = lambda b: F.transform(F.split(body(b), r"\[TURN\]"), lambda x: F.struct(role(b).alias("role"), unescaped(x).alias("text")))
+    """conv_id and the turns (role, text) in order, and the text under the loss mask, all from the formatted text alone.
+
+    Spans are cut out of the text in an encoding of four bytes for each code point, where each is found at once.
+    """
+    head = r"(?s)^<s>\[ROLE\](.*?)\[/ROLE\](?:\[INST\])?"
+    body = lambda b: F.regexp_replace(F.regexp_replace(b, head, ""), r"\[/INST\]$", "")
+    texts = lambda b, role: F.transform(F.split(body(b), r"\[TURN\]"), lambda x: F.struct(role.alias("role"), unescaped(x).alias("text")))
+    turns_of = lambda b: _bound(unescaped(F.regexp_extract(b, head, 1)), lambda role: texts(b, role))
     blocks = lambda f: F.filter(F.split(f, "</s>"), lambda b: b != "")
-    loss = lambda f: F.array_join(F.transform(F.col("loss_spans"), lambda s: unescaped(F.substring(f, s["begin"] + 1, s["length"]))), "")
-    return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks(F.col("formatted")), turns_of)).alias("turns"), loss(F.col("formatted")).alias("loss_text"))
+    wide = lambda f: F.transform(F.col("loss_spans"), lambda s: F.decode(F.substring(f, (4 * s["begin"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32"))
+    plain = lambda f: F.transform(F.col("loss_spans"), lambda s: F.substring(f, (s["begin"] + 1).cast("int"), s["length"].cast("int")))
+    short = F.is_valid_utf8(F.col("formatted")) & (F.length("formatted") < MOST_WIDE)
+    cut_out = F.when(short, _bound(F.encode(F.col("formatted"), "UTF-32"), wide)).otherwise(plain(F.col("formatted")))
+    return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks(F.col("formatted")), turns_of)).alias("turns"), F.array_join(F.transform(cut_out, unescaped), "").alias("loss_text"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

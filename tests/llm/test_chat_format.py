@@ -53,3 +53,11 @@ def test_empty_table_and_long_conversation(spark):
     assert chat_format.digests(chat_format.chat(rows.limit(0))).count() == 0
     many = spark.range(3000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
     assert chat_format.digests(chat_format.chat(many)).first()["n_turns"] == 3000
+
+
+def test_starts_are_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([(i * 7) % 11 for i in range(n)],) for n in (0, 1, 2, 3, 4, 5, 16, 17, 100, 1001)]
+    for r in spark.createDataFrame(rows, "x array<long>").select("x", chat_format.starts_of(F.col("x")).alias("s")).collect():
+        assert r["s"] == [sum(r["x"][:i]) for i in range(len(r["x"]))]

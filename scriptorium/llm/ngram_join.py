@@ -5,8 +5,9 @@
 3. Inside a component, pairs are compared hash by hash: the matches among the first n MinHash values give a posterior
    (uniform prior, so a beta distribution) of the pair's likeness, and the pair is dropped as soon as the probability
    of reaching the threshold falls below a tolerance. What remains is verified exactly on the shingle sets.
-4. A large component is dealt out in blocks, and each pair of blocks is a task of its own; a task returns for each text
-   the number of its links and one edge to the least text of its local class, never the pairs.
+4. A large component is dealt out in blocks, and each pair of blocks is a task of its own, which gets those texts that
+   share a band with the other block; a task returns for each text the number of its links and one edge to the least
+   text of its local class, never the pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ STEP, TOLERANCE = 24, 1e-6
 BLOCK = 512
 #: Rows up to which a side is broadcast (16 to 40 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 400_000
+#: Bands of large components up to this number are broadcast, each with its at most a few blocks.
+BROADCAST_BANDS = 50_000
 #: Shingles laid side by side in one step of the exact check.
 IDS_AT_ONCE = 1_000_000
 
@@ -199,6 +202,21 @@ def _candidates(copies: DataFrame) -> DataFrame:
     return components(bands.join(small(shared, BROADCAST_ROWS), "band").select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
+def _dealt(copies: DataFrame, members: DataFrame) -> DataFrame:
+    """`members` with their own block and each other block that has a text with which they share a band.
+
+    So a text is sent to as many tasks as blocks hold candidates for it, however large its component is: once in a
+    component of one block, and in a long chain of weakly alike texts hardly more often than it has candidates.
+    """
+    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = placed.where("blocks > 1")
+    bands = cut(copies.select("node", F.explode("bands").alias("band")).join(large.select("node", "root", "block"), "node"))
+    seen = cut(bands.groupBy("band").agg(F.sort_array(F.collect_set("block")).alias("others")))
+    others = bands.join(small(seen, BROADCAST_BANDS), "band").select("node", F.explode("others").alias("other")).distinct()
+    dealt = large.join(others, "node").select(*placed.columns, "other")
+    return placed.where("blocks = 1").withColumn("other", F.col("block")).unionByName(dealt)
+
+
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """One row for each row of `docs`: doc_id, class_id, n_links and n_copies.
 
@@ -226,8 +244,7 @@ def _joined(docs: DataFrame, text: str, doc_id: str, k: int, threshold: float, t
     wanted = members.select(F.col("rep").alias("wanted")).distinct()
     texts = rows.join(small(wanted, BROADCAST_ROWS), rows["doc_id"].eqNullSafe(F.col("wanted")), "left_semi").select("text")
     sets = texts.mapInArrow(lambda b: _gathered(b, k), "node long, grams binary, values binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _dealt(copies, members)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", low, high))
     tasks = dealt.select("node", "copies", "root", "block", low.alias("low"), high.alias("high"), cell.alias("cell")).join(sets, "node")

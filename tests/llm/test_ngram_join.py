@@ -70,6 +70,19 @@ def test_blocks_of_a_large_component_lose_nothing(spark, block):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == brute(rows)
 
 
+def test_a_chain_of_texts_that_share_boilerplate_is_not_compared_whole(spark):
+    rng, chain = random.Random(11), []
+    words = [f"c{rng.randrange(10**6)}" for _ in range(100 + 30 * 60)]
+    chain = [" ".join(words[30 * i : 30 * i + 100]) for i in range(60)]  # each shares 70 words with the next, none is a near copy
+    rows = list(enumerate(chain + [chain[5] + " more", chain[5] + " else", chain[40] + " end"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(docs, block=4).collect()) == brute(rows)
+    members = spark.createDataFrame([(i, 0, 15) for i in range(60)], "node long, root long, blocks int")
+    bands = spark.createDataFrame([(i, [i, i + 1]) for i in range(60)], "node long, bands array<long>")
+    sent = ngram_join._dealt(bands, members)
+    assert sent.count() <= 60 * 3 and sent.where("block = other").count() == 60  # not 60 x 15
+
+
 def test_one_of_each_keeps_columns_and_single_rows(spark):
     rows = planted() + [(500, "the same row twice over and over"), (500, "the same row twice over and over"), (501, None), (None, "alone")]
     docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, class_id string")

@@ -104,8 +104,9 @@ def _asked(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterat
                 numbers[r].append(len(own))
                 hashes[r].append(squeezed(np.diff(own, prepend=U64(0))))
                 counts[r].append(squeezed(c[cuts[r] : cuts[r + 1]]))
+        used = [r for r in range(ranges) if any(numbers[r])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([slab] * ranges, pa.int64()), pa.array(range(ranges), pa.int32()), pa.array(numbers, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary()))],
+            [pa.array([slab] * len(used), pa.int64()), pa.array(used, pa.int32()), *(pa.array([x[r] for r in used], pa.list_(t)) for x, t in ((numbers, pa.int32()), (hashes, pa.binary()), (counts, pa.binary())))],
             names=["slab", "range", "numbers", "hashes", "counts"],
         )
 

@@ -37,7 +37,9 @@ def test_scores_match_brute_force(spark, monkeypatch):
     assert all((r["word_score"] is None) == (r["n_words"] == 0) for r in found)
 
 
-def test_many_slabs_and_another_order(spark):
+def test_many_slabs_and_another_order(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RANGE", 10)
+    monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 3)
     rows = [(i, f"a b c w{i % 7} d e w{i % 3}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).checkpoint()
     for order in (1, 2, 4):

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All white space of Unicode, with the four information separators.
 WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -203,3 +209,90 @@ def answer_text(raw: Column) -> Column:
     joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
     keys = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in ("response", "content", "text", "output")]
     return F.coalesce(*map(strip, [joined, *keys]), F.lit(""))
+
+
+#: What a reply that isn't JSON becomes: one fact of low confidence with its first 400 code points.
+REPLY = "facts array<struct<claim string, confidence string, section string>>, entities array<string>, gaps_vs_sot array<string>, open_questions array<string>"
+
+
+def parsed_reply(raw: Column, chunk: Column) -> Column:
+    """A model's JSON reply, fenced or not, as a struct; a reply that doesn't parse is kept as a fact of low confidence."""
+    bare = F.trim(raw)
+    inner = F.trim(F.get(F.split(bare, "```"), F.lit(1)))
+    inner = F.when(F.startswith(inner, F.lit("json")), F.trim(F.substring(inner, 5, 1 << 30))).otherwise(inner)
+    text = F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare)
+    good = F.try_parse_json(text).isNotNull()
+    claim = F.struct(F.substring(text, 1, 400).alias("claim"), F.lit("low").alias("confidence"), F.lit("?").alias("section"))
+    value, none = F.from_json(F.when(good, text), REPLY), F.array().cast("array<string>")
+    return F.struct(
+        F.when(good, value["facts"]).otherwise(F.array(claim)).alias("facts"), *[F.when(good, value[k]).otherwise(none).alias(k) for k in ("entities", "gaps_vs_sot", "open_questions")],
+        (~good).alias("parse_error"), F.when(~good, chunk).alias("chunk_index"),
+    )
+
+
+def condensed_part(analysis: Column) -> Column:
+    """What stands under the heading CONDENSATO, up to the next heading, if it has more than 30 code points; else null."""
+    after = F.regexp_extract(analysis, r"(?s)## CONDENSATO\s*(.*)", 1)
+    part = F.regexp_replace(F.get(F.split(after, "##"), F.lit(0)), r"^\s+|\s+$", "")
+    return F.when(F.contains(analysis, F.lit("## CONDENSATO")) & (F.length(part) > 30), part)
+
+
+def front_matter_list(text: Column, key: str) -> Column:
+    """The items of a list in a front matter: lines of dashes below its key, or one value behind it."""
+    head = F.concat(F.regexp_extract(text, r"(?s)^\s*---\n(.*?)\n---\s*\n", 1), F.lit("\n"))
+    below = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*\n)+)", 1)
+    items = F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]*-[ \t]+([^\n]*)$"), 1)
+    inline = F.trim(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*([^\n]*)$", 1))
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
+    return F.filter(F.transform(F.when(F.size(items) > 0, items).otherwise(F.array(inline)), bare), lambda x: x != "")
+
+
+#: Names whose values are secret (compared with - for _, so those with _ never match), and bounds of a payload.
+SECRET_KEYS = ["authorization", "api_key", "api-key", "apikey", "x-api-key", "token", "access_token", "refresh_token", "password", "secret", "bearer"]
+MOST_DEPTH, MOST_ITEMS = 12, 200
+
+
+@F.arrow_udf(T.StringType())
+def redacted_json(raw: pa.Array) -> pa.Array:
+    """JSON payloads with secret values masked at any depth, long lists and strings cut; what isn't JSON counts as a string."""
+
+    def masked(text: str) -> str:
+        if re.match(r"(?i)bearer\s+\S+", text.strip()) or (len(text) > 24 and re.fullmatch(r"[A-Za-z0-9_\-]{20,}", text)):
+            return "[REDACTED]"
+        return text if len(text) <= 48_000 else f"{text[:48_000]}... [truncated, {len(text)} chars total]"
+
+    def walk(x, depth: int):
+        if depth > MOST_DEPTH:
+            return "[max depth]"
+        if isinstance(x, dict):
+            secret = lambda k: k in SECRET_KEYS or "api-key" in k or "apikey" in k or "secret" in k
+            return {k: "[REDACTED]" if secret(k.lower().replace("_", "-")) else walk(v, depth + 1) for k, v in x.items()}
+        if isinstance(x, list):
+            return [walk(v, depth + 1) for v in x[:MOST_ITEMS]]
+        return masked(x) if isinstance(x, str) else x
+
+    out = []
+    for text in raw.to_pylist():
+        try:
+            out.append(None if text is None else json.dumps(walk(json.loads(text), 0), ensure_ascii=False))
+        except ValueError:
+            out.append(masked(text))
+    return pa.array(out, pa.string())
+
+
+def bpe_counter(ranks_file: str, pattern: str, spark) -> Callable[[Column], Column]:
+    """A function from a text column to its number of tokens under a vocabulary of ranks, read by the driver and broadcast."""
+    import base64
+
+    with open(ranks_file, "rb") as lines:
+        shared = spark.sparkContext.broadcast({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+
+    @F.arrow_udf(T.IntegerType())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import tiktoken
+
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        for batch in batches:
+            yield pa.array([None if x is None else len(own.encode_ordinary(x)) for x in batch.to_pylist()], pa.int32())
+
+    return count

@@ -13,28 +13,29 @@ BLANK_LINE = r"\n\s*\n"
 
 
 def greedy_groups(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
-    """For each item the number of its group: it joins the group before it if joins(size so far, size) holds.
+    """The places (from 0) at which groups begin: an item joins the group before it if joins(state, size) holds.
 
-    The state is (group, total, last); `joins` gets it and the item's size; sizes of a group are added up.
+    The state has total and last, the sizes of the group so far and of its last item. Sizes are made once; the fold
+    grows by one number for each group.
     """
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"), F.array().cast("array<int>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        n = size(x).cast("long")
-        same = (a["g"] >= 0) & joins(a, n)
-        g = F.when(same, a["g"]).otherwise(a["g"] + 1)
-        return F.struct(g.alias("g"), F.when(same, a["total"] + n).otherwise(n).alias("total"), n.alias("last"), F.array_append(a["out"], g).alias("out"))
+    def step(a: Column, n: Column) -> Column:
+        same = (a["i"] > 0) & joins(a, n)
+        return F.struct((a["i"] + 1).alias("i"), F.when(same, a["total"] + n).otherwise(n).alias("total"), n.alias("last"), F.when(same, a["out"]).otherwise(F.array_append(a["out"], a["i"])).alias("out"))
 
-    return F.aggregate(items, start, step, lambda a: a["out"])
+    return F.aggregate(F.transform(items, lambda x: size(x).cast("long")), start, step, lambda a: a["out"])
 
 
-def _grouped(items: Column, groups: Column, glue: str) -> Column:
+def slices(items: Column, starts: Column) -> Column:
+    """The items of each group, from where it begins to where the next does."""
+    to = lambda s, xs: F.transform(s, lambda at, k: F.slice(xs, at + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - at))
+    return F.transform(F.array(F.struct(starts.alias("s"), items.alias("xs"))), lambda b: to(b["s"], b["xs"]))[0]
+
+
+def _grouped(items: Column, starts: Column, glue: str) -> Column:
     """The items of each group, joined."""
-    pairs = F.arrays_zip(items.alias("x"), groups.alias("g"))
-    return F.transform(
-        F.array(pairs),
-        lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["g"])), lambda g: F.array_join(F.transform(F.filter(p, lambda x: x["g"] == g), lambda x: x["x"]), glue)),
-    )[0]
+    return F.transform(slices(items, starts), lambda xs: F.array_join(xs, glue))
 
 
 def sentences(text: Column) -> Column:
@@ -76,10 +77,9 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def _folded(rows: DataFrame, key: str, order: str, joins: Callable[[Column, Column], Column], label: Callable[[Column], Column]) -> DataFrame:
     """Neighbouring rows of a key (its sections, so as many as a document holds) joined by a fold over their lengths."""
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "title", "text"))).alias("xs"))
-    groups = greedy_groups(F.transform("xs", lambda x: x["text"]), lambda t: F.length(t) + 2, joins)
-    zipped = lists.select(key, F.explode(F.arrays_zip(F.col("xs").alias("x"), groups.alias("g"))).alias("z")).select(key, F.col("z.x").alias("x"), F.col("z.g").alias("g"))
-    again = zipped.groupBy(key, "g").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return again.select(key, F.col("g").alias(order), label(F.col("xs")).alias("title"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("text"))
+    starts = greedy_groups(F.col("xs"), lambda x: F.length(x["text"]) + 2, joins)
+    again = lists.select(key, F.posexplode(slices(F.col("xs"), starts)).alias(order, "xs"))
+    return again.select(key, order, label(F.col("xs")).alias("title"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def _tokens_of(chars: Column) -> Column:
@@ -136,15 +136,14 @@ def table_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def heading_path(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, level, title, h1 and h2 in force, for each heading of level one to three."""
-    heads = lines(docs, key, text).where(F.col("content").rlike(r"^#{1,3}\s+\S")).select(
+    """key, line, level, title, h1 and h2 in force, for each heading of level one to three outside of code fences."""
+    open_fences = F.sum(F.trim("content").startswith("```").cast("int")).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    heads = lines(docs, key, text).withColumn("open", open_fences).where((F.col("open") % 2 == 0) & F.col("content").rlike(r"^#{1,3}\s+\S")).select(
         key, "line", F.length(F.regexp_extract("content", "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract("content", r"^#+\s+(.*)$", 1)).alias("title"))
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.withColumn("h1_line", F.max(F.when(F.col("level") == 1, F.col("line"))).over(order))
     h1 = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(order)
-    h2 = F.max_by(F.when(F.col("level") == 2, F.col("title")), F.when(F.col("level") == 2, F.col("line"))).over(order)
-    h2_line = F.max(F.when(F.col("level") == 2, F.col("line"))).over(order)
-    return heads.select(key, "line", "level", "title", F.coalesce(h1, F.lit("")).alias("h1"), F.when(h2_line > F.coalesce("h1_line", F.lit(-1)), h2).otherwise("").alias("h2"))
+    h2 = F.last(F.when(F.col("level") == 1, F.lit("")).when(F.col("level") == 2, F.col("title")), ignorenulls=True).over(order)
+    return heads.select(key, "line", "level", "title", F.coalesce(h1, F.lit("")).alias("h1"), F.coalesce(h2, F.lit("")).alias("h2"))
 
 
 def with_overlap(chunks: DataFrame, key: str, order: str, chars: int) -> DataFrame:

@@ -11,7 +11,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +33,26 @@ def saved(df: DataFrame) -> DataFrame:
     """Written to the folder that the session names in spark.checkpoint.dir, where it survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where executors are threads of this machine."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest id of each normalised text. Digests are summed on the map side, texts aren't shuffled twice."""
-    keyed = docs.withColumn("_md5", F.md5(normalised(F.col(text)).cast("binary")))
-    firsts = keyed.groupBy("_md5").agg(F.min(doc_id).alias("_first")).select("_first")
-    return keyed.join(firsts, F.col(doc_id) == F.col("_first"), "left_semi").drop("_md5")
+    """One row for each normalised text: of its rows that of the smallest id, null ids last; of one id, the least text.
+
+    Rows are compared by a digest, and each task hands on one row for each text that it has.
+    """
+    keyed = docs.select(F.md5(normalised(F.col(text)).cast("binary")).alias("_md5"), F.struct(*docs.columns).alias("_row"))
+    order = F.struct(F.col(f"_row.{doc_id}").isNull(), f"_row.{doc_id}", F.md5(F.col(f"_row.{text}").cast("binary")))
+    return keyed.groupBy("_md5").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
 
 
 def shingle_hashes(shingle: str, n: int) -> np.ndarray:
@@ -82,7 +93,7 @@ def signatures(rows: DataFrame, permutations: int = PERMUTATIONS, k: int = SHING
 
 
 def banded_pairs(signed: DataFrame, threshold: float = SIMILAR, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(a, b, similarity) with a < b: all pairs of distinct signatures that agree in `threshold` of their places or more.
+    """(a, b, similarity) with a < b: all pairs of ids whose signatures agree in `threshold` of their places or more.
 
     With at most m places differing, one of m + 1 bands agrees fully, so banding loses no pair. Rows: (id, signature).
     """
@@ -107,8 +118,8 @@ def agreement(x: str, y: str, permutations: int = PERMUTATIONS) -> Column:
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, norm): one row for each normalised text, with its smallest id and number of copies."""
     keyed = docs.select(F.col(doc_id).alias("id"), normalised(F.col(text)).alias("norm"))
-    counts = keyed.groupBy(F.md5(F.col("norm").cast("binary")).alias("k")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    return keyed.join(counts.select(F.col("first"), "n"), F.col("id") == F.col("first")).select("id", "n", "norm")
+    grouped = keyed.groupBy(F.md5(F.col("norm").cast("binary")).alias("k"))
+    return grouped.agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("norm").alias("norm")).select("id", "n", "norm")
 
 
 def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,66 @@ def merged_parts(chunks: DataFrame, key: str, order: str, label: str, body: str)
 
 def prompt(name: Column, context: Column, body: Column) -> Column:
     return F.concat(F.lit("## File\n"), name, F.lit("\n\n## Context\n"), context, F.lit("\n\n## Text\n"), body)
+
+
+def source_document(rel: Column, kind: Column, body: Column) -> Column:
+    """A source's text under a header with its path and type, or a note in place of an empty one."""
+    path = F.replace(rel, F.lit("\\"), F.lit("/"))
+    text = F.coalesce(F.nullif(body, F.lit("")), F.lit("_Nessun testo estratto._"))
+    head = F.concat(F.lit('---\nsource_file: "'), path, F.lit('"\nsource_ext: "'), F.lower(kind), F.lit('"\npipeline: local_doc_pipeline\n---\n\n'))
+    return F.concat(head, F.lit("# Sorgente: "), F.element_at(F.split(path, "/"), -1), F.lit("\n\n"), text, F.lit("\n"))
+
+
+def report_entry(rel: Column, body: Column) -> Column:
+    """One file's section of the general report, without the time of its writing."""
+    return F.concat(F.lit("\n\n---\n\n## File grezzo: `"), rel, F.lit("`\n\n"), _bare(body), F.lit("\n"))
+
+
+def general_report(entries: DataFrame, header: Column, order: str, key: str | None = None) -> DataFrame:
+    """place and text of the lines of a growing report: the header as place 0, then the entries in their order.
+
+    The report stays rows, one for each section, so that it grows by appending and no task holds all of it.
+    """
+    keys = [key] if key else []
+    own = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
+    rows = entries.select(*keys, F.row_number().over(own).alias("place"), "text")
+    first = entries.select(*keys).distinct() if keys else entries.sparkSession.range(1)
+    return rows.unionByName(first.select(*keys, F.lit(0).alias("place"), header.alias("text")))
+
+
+def only_new(reports: DataFrame, written: DataFrame, key: str, replace: bool = False) -> DataFrame:
+    """The reports to be written: all if those there are to be replaced, else those whose key isn't there yet."""
+    return reports if replace else reports.join(written.select(key).distinct(), key, "left_anti")
+
+
+def workflow_body(content: Column, workflow: Column, source: Column, header: Column | None = None) -> Column:
+    """An output's text under its header, or under the workflow's name and source."""
+    body = _bare(F.coalesce(content, F.lit("")))
+    named = F.concat(F.lit("# "), F.initcap(F.replace(workflow, F.lit("_"), F.lit(" "))), F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("\n\n- **Sorgente:** `"), source, F.lit("`"))).otherwise(""))
+    head = named if header is None else F.coalesce(_bare(header), named)
+    return F.concat(head, F.when(body == "", "\n").otherwise(F.concat(F.lit("\n\n"), body)))
+
+
+def joined_parts(rel: Column, parts: Column) -> Column:
+    """Numbered parts of one source under its name."""
+    each = F.transform(parts, lambda p, i: F.concat(F.lit("## Parte "), (i + 1).cast("string"), F.lit("\n\n"), p))
+    return F.concat(F.lit("# Estrazione multi-parte: "), rel, F.lit("\n\n"), F.array_join(each, "\n\n---\n\n"))
+
+
+def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The newest rows of a log that keeps at most so many."""
+    return rows.orderBy(*order).limit(most)
+
+
+def consolidation_prompt(rel: Column, report: Column, references: Column, parts: Column, most: int = 12_000) -> Column:
+    """What asks for one report in place of the reports on several parts; null where there is only one, which stays."""
+    listed = F.array_join(F.transform(F.slice(references, 1, 30), lambda r: F.concat(F.lit("- "), r)), "\n")
+    text = F.concat(
+        F.lit("# File grezzo\n`"), rel, F.lit("` — analizzato in **"), parts.cast("string"), F.lit("** parti (chunk).\n\n# Riferimenti SOT consultati\n"), listed,
+        F.lit("\n\n---\n\n# Report per chunk (da consolidare senza perdere contesto)\n\n"), F.substring(report, 1, most), F.lit("\n\n---\n\nProduci il report consolidato unico, ricco, pronto per handoff a Claude/GPT."),
+    )
+    return F.when((parts > 1) & (F.trim(report) != ""), text)
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")

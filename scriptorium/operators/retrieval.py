@@ -17,36 +17,48 @@ BLOCK = 4_096
 ROWS = 2_048
 
 
+def _best_of(names: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The k best of one step's candidates for each query, ranked as the whole is."""
+    norms = np.linalg.norm(x, axis=1)
+    scores = np.where(norms[None, :] > 0, q @ x.T / np.where(norms == 0, 1, norms)[None, :], -np.inf)
+    scores[own[:, None] == names[None, :]] = -np.inf
+    scores[~q.any(axis=1)] = -np.inf
+    best = np.lexsort((np.broadcast_to(names, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+    values = np.take_along_axis(scores, best, axis=1)
+    i, j = np.nonzero(values >= least)
+    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[best[i, j]]), pa.array(values[i, j])], names=["query_id", "vec_id", "score"])
+
+
 def vector_topk(table: DataFrame, is_query: Column, k: int = 12, least: float = -1.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the highest cosine from `least` on, without the query's own.
 
     Queries come in blocks of a fixed size, broadcast one after another; candidates stay where they are, and a task
-    hands on k rows for each query. Rows without id or vector, or of norm 0, take no part.
+    hands on k rows for each query and step. Scores are ranked rounded to nine places, ties by the smaller id. Rows
+    without id or vector, of norm 0, or with a null component take no part; vectors of another length than the query's
+    are no hits of it.
     """
-    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
     asking, last, found = rows.where(is_query), None, []
     while True:
         some = (asking if last is None else asking.where(F.col("vec_id") > last)).orderBy("vec_id").limit(BLOCK).collect()
         if not some:
             break
         last = some[-1]["vec_id"]
-        ids, asked = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
-        shared = table.sparkSession.sparkContext.broadcast((ids, asked / np.linalg.norm(asked, axis=1, keepdims=True)))
+        by_size = {}
+        for r in some:
+            by_size.setdefault(len(r["v"]), []).append(r)
+        asked = {n: (np.array([r["vec_id"] for r in rs]), np.array([r["v"] for r in rs], float)) for n, rs in by_size.items()}
+        unit = {n: (ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) for n, (ids, x) in asked.items()}
+        shared = table.sparkSession.sparkContext.broadcast(unit)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, q = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    names = np.asarray(part.column("vec_id"))
-                    x = np.array(part.column("v").to_pylist(), float)
-                    norms = np.linalg.norm(x, axis=1)
-                    scores = np.where(norms[None, :] > 0, q @ x.T / np.where(norms == 0, 1, norms)[None, :], -np.inf)
-                    scores[own[:, None] == names[None, :]] = -np.inf
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    values = np.take_along_axis(scores, best, axis=1)
-                    i, j = np.nonzero(values >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[best[i, j]]), pa.array(values[i, j])], names=["query_id", "vec_id", "score"])
+                sizes = np.asarray(batch.column("v").value_lengths())
+                for n, (own, q) in shared.value.items():
+                    fit = batch.filter(pa.array(sizes == n))
+                    for at in range(0, fit.num_rows, ROWS):
+                        part = fit.slice(at, ROWS)
+                        yield from _best_of(np.asarray(part.column("vec_id")), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n), own, q, k, least)
 
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
         hits = rows.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -36,8 +36,11 @@ def pruned(state: DataFrame, keep: int, newest: list[Column], key: str = "key")
     return state.where("status <> 'completed'").unionByName(state.where("status = 'completed'").join(F.broadcast(stay) if keep <= 10_000 else stay, key, "left_semi"))
 
 
-def requeued(state: DataFrame) -> DataFrame:
-    return state.withColumn("status", F.when(F.col("status").isin("processing", "failed", "completed"), "pending").otherwise(F.col("status")))
+def requeued(state: DataFrame, counters: tuple[str, ...] = ()) -> DataFrame:
+    """State to begin anew: what was begun, failed or completed is pending again, with its counters at zero."""
+    again = F.col("status").isin("processing", "failed", "completed")
+    zeroed = {c: F.when(again, F.lit(0)).otherwise(F.col(c)) for c in counters}
+    return state.withColumns({**zeroed, "status": F.when(again, "pending").otherwise(F.col("status"))})
 
 
 def last_of_each(events: DataFrame, key: str, newest: list[Column], n: int) -> DataFrame:
@@ -47,13 +50,17 @@ def last_of_each(events: DataFrame, key: str, newest: list[Column], n: int) -> D
 
 
 def rolling_facts(facts: DataFrame, key: str, order: list[str], kept=("high", "medium"), facts_kept: int = 10, headings_kept: int = 3) -> DataFrame:
-    """For each row the last facts of some confidence and the last headings up to it, as a block of text."""
-    w = Window.partitionBy(key).orderBy(*order)
-    told = F.when(F.col("confidence").isin(*kept), F.col("claim"))
-    lines = F.collect_list(told).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    heads = F.collect_list("heading").over(w.rowsBetween(-(headings_kept - 1), 0))
-    last = F.slice(lines, F.greatest(F.size(lines) - facts_kept + 1, F.lit(1)), F.lit(facts_kept))
-    return facts.withColumn("context", F.concat(F.array_join(heads, " → "), F.array_join(F.transform(last, lambda x: F.concat(F.lit("\n- "), x)), "")))
+    """For each row the last facts of some confidence and the last headings up to it, as a block of text.
+
+    Kept facts are numbered, so that a window over their numbers holds a few rows, however long a key's history is.
+    """
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = facts.withColumn("_n", F.count_if(F.col("confidence").isin(*kept)).over(so_far))
+    near = Window.partitionBy(key).orderBy("_n").rangeBetween(-(facts_kept - 1), 0)
+    told = F.when(F.col("confidence").isin(*kept), F.struct(F.col("_n").alias("n"), F.col("claim").alias("claim")))
+    heads = F.collect_list("heading").over(Window.partitionBy(key).orderBy(*order).rowsBetween(-(headings_kept - 1), 0))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(told).over(near)), lambda x: F.concat(F.lit("\n- "), x["claim"])), "")
+    return numbered.withColumn("context", F.concat(F.array_join(heads, " → "), lines)).drop("_n")
 
 
 def merged_buckets(old: Column, new: Column) -> Column:

@@ -15,12 +15,12 @@ from scriptorium.sources.tables import load
 _SENTENCES = f"""select doc_id, lang, list_filter(list_transform(string_split(regexp_replace({sql.collapsed('text')}, '([.!?…])\\s+([A-ZÀ-ÿ0-9"''`(])', '\\1␞\\2', 'g'), '␞'), lambda s: trim(s)), lambda s: s <> '') as units"""
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markdown(spark: SparkSession, sf_dir: str, code: str = "code ") -> DataFrame:
     """conv_id and its turns as Markdown: a heading each, a fence for assistants, a table every third turn."""
     turn = F.col("turn").cast("string")
     body = F.concat(
         F.lit("## Turn "), turn, F.lit(" "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")),
-        F.when(F.col("role") == "assistant", F.concat(F.lit("\n\n```\ncode "), turn, F.lit("\n```"))).otherwise(""),
+        F.when(F.col("role") == "assistant", F.concat(F.lit("\n\n```\n" + code), turn, F.lit("\n```"))).otherwise(""),
         F.when(F.col("turn") % 3 == 0, "\n\n| a | b |\n|---|---|\n| 1 | 2 |").otherwise(""),
     )
     parts = load(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "text", body.alias("body")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
@@ -53,9 +53,10 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select conv_id, line::int as line, length(regexp_extract(content, '^(#+)', 1))::int as level, trim(regexp_extract(content, '^#+\\s+(.*)$', 1)) as title,
-    'Conversation ' || conv_id as h1, case when starts_with(content, '## ') then trim(regexp_extract(content, '^#+\\s+(.*)$', 1)) else '' end as h2 from ({sql.LINES}) where regexp_matches(content, '^#{{1,3}}\\s+\\S')""")
+    'Conversation ' || conv_id as h1, case when starts_with(content, '## ') then trim(regexp_extract(content, '^#+\\s+(.*)$', 1)) else '' end as h2
+    from (select *, count(*) filter (where starts_with(trim(content), '```')) over (partition by conv_id order by line) % 2 = 1 as fenced from ({sql.LINES.replace(sql.VIEW, sql.FENCED_VIEW)})) where not fenced and regexp_matches(content, '^#{{1,3}}\\s+\\S')""")
 def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.heading_path(markdown(spark, sf_dir), "conv_id")
+    return chunking.heading_path(markdown(spark, sf_dir, "# code "), "conv_id")
 
 
 @query(f"""select conv_id, span::int as span, min(start_at)::bigint as start, max(start_at + length(content) + 1)::bigint as stop from (select *, (row_number() over (partition by conv_id order by line) - 1) // 2 as span from ({sql.LINES}) where starts_with(trim(content), '```')) group by conv_id, span having count(*) = 2""")
@@ -107,11 +108,12 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("conv_id", "image", F.concat(F.lit("["), F.array_join("xs", ", "), F.lit("]")).alias("chunks"))
 
 
-@query("""select conv_id, n_parts, n_parts > 8 as more from (select conv_id, count(*)::int as n_parts from conversations group by conv_id)""")
+@query("""select conv_id, count(*)::int as n_parts, md5('# Gap analysis — `' || conv_id || '`' || chr(10) || chr(10) || '_Analisi pipeline: **' || count(*) || '** parte/i (' || array_to_string(list('turn ' || turn order by turn)[1:8], ', ')
+    || case when count(*) > 8 then '…' else '' end || ')._' || chr(10) || chr(10) || string_agg(chr(10) || '## Chunk: turn ' || turn || chr(10) || chr(10) || trim(coalesce(text, '')) || chr(10), chr(10) order by turn)) as digest from conversations group by conv_id""")
 def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("label"), F.coalesce("text", F.lit("")).alias("body"))
     found = reports.merged_parts(rows, "conv_id", "turn", "label", "body")
-    return found.select("conv_id", "n_parts", F.col("report").contains("…)._\n").alias("more"))
+    return found.select("conv_id", "n_parts", F.md5(F.col("report").cast("binary")).alias("digest"))
 
 
 @query("""select doc_id, '---' || chr(10) || 'category: SPEC' || chr(10) || 'source_file: ' || source || '/' || doc_id || '.txt' || chr(10) || 'status: gap_identified' || chr(10) || 'title: "Doc ' || doc_id || '"' || chr(10) || '---' || chr(10) as header from documents""")
@@ -125,7 +127,7 @@ def gap_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(reports.prompt(F.col("source"), F.col("lang"), F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("""with g as (select conv_id, turn // 5 as part, sha256(string_agg(coalesce(text, ''), chr(10) order by turn)) as a from conversations group by conv_id, turn // 5)
+@query("""with g as (select conv_id, part, sha256(string_agg(coalesce(text, ''), chr(10) order by turn)) as a from (select *, (row_number() over (partition by conv_id order by turn) - 1) // 5 as part from conversations) group by conv_id, part)
     select conv_id, count(*) as n_groups, sha256(string_agg(a, chr(10) order by part)) as answer from g group by conv_id""")
 def tree_reduce_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("body"))

@@ -66,13 +66,12 @@ def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("user_id", percent(F.col("done"), F.col("total"), 100).alias("percent"))
 
 
-@query("""select conv_id, turn, array_to_string(list(role order by turn) over (partition by conv_id order by turn rows between 2 preceding and current row), ' → ') as headings,
-    least(10, count(*) filter (where role <> 'system') over (partition by conv_id order by turn))::bigint as n_facts from conversations""")
+@query("""select conv_id, turn, md5(array_to_string(list(role) over (partition by conv_id order by turn rows between 2 preceding and current row), ' → ') || coalesce(array_to_string(list_transform(
+        list_reverse(list_reverse(list_filter(list(case when role <> 'system' then coalesce(text, '')[1:40] end) over (partition by conv_id order by turn), lambda x: x is not null))[1:10]), lambda x: chr(10) || '- ' || x), ''), '')) as digest from conversations""")
 def rolling_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when(F.col("role") == "system", "low").otherwise("high")
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", confidence.alias("confidence"), F.lit("fact").alias("claim"), F.col("role").alias("heading"))
-    found = state.rolling_facts(rows, "conv_id", ["turn"])
-    return found.select("conv_id", "turn", F.element_at(F.split("context", "\n"), 1).alias("headings"), (F.size(F.split("context", "\n- ")) - 1).cast("long").alias("n_facts"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", confidence.alias("confidence"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("claim"), F.col("role").alias("heading"))
+    return state.rolling_facts(rows, "conv_id", ["turn"]).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @query("""select conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') as roles from conversations group by conv_id""")
@@ -81,12 +80,15 @@ def rolling_structured_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.array_sort(state.merged_buckets(F.col("old"), F.col("new"))), ",").alias("roles"))
 
 
-@query("""select doc_id, coalesce(case when quality = 1 then 'good' end, lang) as lang, coalesce(toxic, -1) as toxic from documents left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) using (doc_id)""")
+@query("""select coalesce(d.doc_id, m.doc_id) as doc_id, coalesce(case when quality = 1 then 'good' end, lang) as lang, coalesce(toxic, -1) as toxic
+    from (select doc_id, lang from documents where doc_id % 3 > 0) d full join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) m on d.doc_id = m.doc_id""")
 def map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches change rows that are there and add those that aren't."""
     marks = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     patch = marks.select("doc_id", F.when(F.col("quality") == 1, "good").alias("lang"), "toxic")
-    table = load(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(-1).alias("toxic"))
-    return dedup.upsert(table, patch, "doc_id").join(table.select("doc_id"), "doc_id", "left_semi")
+    table = load(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "lang", F.lit(-1).alias("toxic"))
+    found = dedup.upsert(table, patch, "doc_id")
+    return found.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
 
 
 @query(f"select unnest({workflows.CATALOG!r}) as name, unnest(range({len(workflows.CATALOG)}))::int as position")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,9 @@ def single_call(docs: DataFrame, most: int, task: str, complete: Complete | None
 
 
 def tree_reduce(parts: DataFrame, key: str, order: str, body: str, size: int = 5, complete: Complete | None = None) -> DataFrame:
-    """Two levels: answers over groups of `size` neighbours, then one over the groups' answers of each key."""
-    groups = parts.withColumn("part", F.floor(F.col(order) / size).cast("int")).groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))), lambda p: p["b"]), "\n").alias("prompt"))
+    """Two levels: answers over groups of `size` neighbours by their places, then one over the groups' answers of each key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    groups = parts.withColumn("part", F.floor(place / size).cast("int")).groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))), lambda p: p["b"]), "\n").alias("prompt"))
     partial = completed(groups, complete=complete).drop("error")
     finals = partial.groupBy(key).agg(F.count("*").alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("part").alias("o"), F.col("answer").alias("b")))), lambda p: p["b"]), "\n").alias("prompt"))
     return completed(finals, complete=complete).drop("prompt")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import normalised, tokens
+from scriptorium.operators.dedup import shared_root
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -28,5 +29,4 @@ def ingest(spark: SparkSession, source: str, target: str, progress: str, schema=
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"

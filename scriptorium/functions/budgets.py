@@ -102,7 +102,8 @@ TASKS = {"reasoning": ["qwen", "deepseek", "mistral-nemo", "llama-3"], "summary"
 
 def model_for(task: str, models: Column) -> Column:
     """Of an ordered array of models the first that a word of the task names, word by word; else the first that doesn't see; else the first."""
-    named = [F.get(F.filter(models, lambda m, w=w: F.contains(F.lower(m), F.lit(w))), F.lit(0)) for w in TASKS.get(task, [])]
+    first = lambda word: F.get(F.filter(models, lambda m: F.contains(F.lower(m), F.lit(word))), F.lit(0))
+    named = [first(word) for word in TASKS.get(task, [])]
     blind = F.get(F.filter(models, lambda m: ~F.lower(m).rlike("vl|vision|multimodal|mm-")), F.lit(0))
     return F.coalesce(*named, blind, F.get(models, F.lit(0)))
 

@@ -112,3 +112,49 @@ def document_keys(rows: DataFrame, fields: list[Column]) -> DataFrame:
     last = lambda x: F.element_at(F.split(F.regexp_replace(x, r"(/\.?)+$", ""), "/"), -1)
     filled = F.filter(clean, lambda x: x != "")
     return rows.select(F.explode(F.array_union(filled, F.transform(filled, last))).alias("key")).distinct()
+
+
+def rag_context(hits: DataFrame, key: str, order: str, most: int, head: str = "## Contesto RAG\n") -> DataFrame:
+    """key and context of ranked hits (title, score, text): blocks under a head until the next doesn't fit, and then a note of
+    how many were left out. Hits are the few rows of one query that a search with a fixed k gives."""
+    w = Window.partitionBy(key).orderBy(order)
+    score = F.coalesce(F.concat(F.lit(" (score="), F.format_string("%.3f", "score"), F.lit(")")), F.lit(""))
+    block = F.concat(F.lit("### RAG "), F.col("_n").cast("string"), F.lit(": "), F.coalesce("title", F.concat(F.lit("chunk-"), F.col("_n").cast("string"))), score, F.lit("\n\n"), F.trim(F.coalesce("text", F.lit(""))), F.lit("\n"))
+    rows = hits.withColumn("_n", F.row_number().over(w)).withColumn("_block", block)
+    used = F.sum(F.length("_block")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + len(head)
+    lists = rows.withColumn("_used", used).groupBy(key).agg(F.count("*").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_used") <= most, F.struct("_n", "_block")))).alias("_xs"))
+    left = F.col("_all") - F.size("_xs")
+    note = F.when(left > 0, F.array(F.concat(F.lit("_… altri "), left.cast("string"), F.lit(f" chunk RAG omessi (budget {most} char)_\n")))).otherwise(F.array().cast("array<string>"))
+    return lists.select(key, F.array_join(F.concat(F.array(F.lit(head)), F.transform("_xs", lambda x: x["_block"]), note), "\n").alias("context"))
+
+
+#: Where a document's place stands, and how deep listings are walked.
+PLACES, MOST_DEPTH = ["location", "docpath", "path", "id"], 6
+
+
+def listed_documents(rows: DataFrame, raw: str, key: str) -> DataFrame:
+    """key, location and title of each document in a nested JSON listing, at most six levels down, each location once.
+
+    Levels are opened one after another, each by one explode of the variant's children; what names a place is a document.
+    """
+    level = rows.select(key, F.try_parse_json(raw).alias("v")).where("v is not null")
+    found = None
+    for _ in range(MOST_DEPTH + 1):
+        place = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in PLACES])
+        docs = level.select(key, place.alias("location"), F.try_variant_get("v", "$.title", "string").alias("title")).where("location is not null")
+        found = docs if found is None else found.unionByName(docs)
+        level = level.select(key, F.explode(_children("v")).alias("v")).where("v is not null")
+    return found.groupBy(key, "location").agg(F.min("title").alias("title"))
+
+
+def _children(name: str) -> Column:
+    """The objects and arrays inside of a variant."""
+    items = F.try_variant_get(name, "$", "array<variant>")
+    cells = F.map_values(F.try_variant_get(name, "$", "map<string,variant>"))
+    nested = lambda xs: F.filter(xs, lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"))
+    return F.coalesce(nested(items), nested(cells))
+
+
+def answers(table: DataFrame) -> bool:
+    """Whether a search gives any hit; one row is looked for."""
+    return not table.isEmpty()

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import truncated_middle
+from scriptorium.functions import budgets
+from scriptorium.functions.text import parsed_reply, truncated_middle
 
 Complete = Callable[[str], str]
 Step = Callable[[DataFrame], DataFrame]
@@ -22,26 +23,26 @@ def stub(prompt: str) -> str:
     return hashlib.sha256(prompt.encode()).hexdigest()
 
 
-def completed(rows: DataFrame, prompt: str = "prompt", answer: str = "answer", complete: Complete | None = None) -> DataFrame:
-    """Rows with the answer to their prompts; a failed call leaves answer null and says why in `error`.
+def completed(rows: DataFrame, prompt: str = "prompt", answer: str = "answer", complete: Complete | None = None, keep_error: str = "error") -> DataFrame:
+    """Rows with the answer to their prompts; a failed call leaves answer null and says why in `error`; null isn't asked.
 
     Without a completion the stand-in answers, as a built-in expression.
     """
     if complete is None:
-        return rows.withColumns({answer: F.sha2(F.col(prompt).cast("binary"), 256), "error": F.lit(None).cast("string")})
-    names = [c for c in rows.columns if c not in (answer, "error")]
+        return rows.withColumns({answer: F.sha2(F.col(prompt).cast("binary"), 256), keep_error: F.lit(None).cast("string")})
+    names = [c for c in rows.columns if c not in (answer, keep_error)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             answers, errors = [], []
             for text in batch.column(prompt).to_pylist():
                 try:
-                    answers.append(complete(text or "")), errors.append(None)
+                    answers.append(None if text is None else complete(text)), errors.append(None)
                 except Exception as e:  # noqa: BLE001  a failed call is a result here
                     answers.append(None), errors.append(str(e)[:500])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*names, answer, "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*names, answer, keep_error])
 
-    return rows.select(*names).mapInArrow(run, T.StructType([*[rows.schema[c] for c in names], T.StructField(answer, T.StringType()), T.StructField("error", T.StringType())]))
+    return rows.select(*names).mapInArrow(run, T.StructType([*[rows.schema[c] for c in names], T.StructField(answer, T.StringType()), T.StructField(keep_error, T.StringType())]))
 
 
 def flow(rows: DataFrame, steps: list[Step]) -> DataFrame:
@@ -64,3 +65,98 @@ def tree_reduce(parts: DataFrame, key: str, order: str, body: str, size: int = 5
     partial = completed(groups, complete=complete).drop("error")
     finals = partial.groupBy(key).agg(F.count("*").alias("n_groups"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("part").alias("o"), F.col("answer").alias("b")))), lambda p: p["b"]), "\n").alias("prompt"))
     return completed(finals, complete=complete).drop("prompt")
+
+
+def with_fallbacks(rows: DataFrame, models: list[str], complete: Callable[[str, str], str] | None = None, system: str = "", output: int = 4096) -> DataFrame:
+    """Rows with an answer to `prompt` from the first model of a chain that gives one, and the model's name.
+
+    Before each try a prompt that doesn't fit the model is cut; a fatal error ends the row's chain, any other lets the
+    next model try with 0.7 of the output before. Answered rows aren't asked again.
+    """
+    left = rows.withColumns({"answer": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    for model in models:
+        fit = budgets.request(F.lit(model), F.lit(system), F.col("prompt"), reserved=output)
+        open_ = F.col("answer").isNull() & ((F.col("error").isNull()) | (budgets.error_class(F.coalesce("error", F.lit(""))) != "fatal"))
+        cut = left.withColumn("prompt", F.when(open_, budgets.shrunk(F.col("prompt"), fit["fits"], fit["usable"], fit["projected"])).otherwise(F.col("prompt")))
+        asked = completed(cut.withColumn("_ask", F.when(open_, F.col("prompt"))), "_ask", "_now", (lambda text, m=model: complete(m, text)) if complete else None, keep_error="_error")
+        left = asked.withColumns({
+            "model": F.when(open_ & F.col("_error").isNull(), F.lit(model)).otherwise(F.col("model")), "answer": F.coalesce("answer", F.when(open_, F.col("_now"))),
+            "error": F.when(open_, F.col("_error")).otherwise(F.col("error"))}).drop("_ask", "_now", "_error")
+        output = int(output * 0.7)
+    return left
+
+
+def sliding_context(chunks: DataFrame, key: str, order: str, condensed: str, most: int = 2) -> DataFrame:
+    """Chunks with the condensates of the two before them as context, the older one first."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(-most, -1)
+    return chunks.withColumn("context", F.array_join(F.collect_list(condensed).over(before), "\n\n"))
+
+
+def remembered(chunks: DataFrame, key: str, order: str, text: str, extract: Callable[[str, str], dict] | None = None) -> DataFrame:
+    """key, order, facts and history of each chunk: a document's chunks are read one after another, each with the history
+    that the one before it left. A reply that can't be read adds the start of the text to the history, any other failure
+    leaves it. A document's chunks come as sorted rows of one group, a batch of them at a time; only the history is kept.
+    """
+    kind, place = chunks.schema[key].dataType.simpleString(), chunks.schema[order].dataType.simpleString()
+    names = [key, order]
+
+    def one(body: str, history: str) -> tuple[list[str], str]:
+        try:
+            found = extract(body, history) if extract else {"facts": [stub(body)[:8]], "context": stub(history + body)}
+            return [str(x) for x in found["facts"]], str(found["context"])
+        except ValueError:
+            return [], f"{history}\n\n{body[:500]}... [Compressione Fallita]"
+        except Exception:  # noqa: BLE001  a failed call is a result here
+            return [], history
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        history = ""
+        for batch in batches:
+            facts, after = [], []
+            for body in batch.column(text).to_pylist():
+                found, history = one(body or "", history)
+                facts.append(found), after.append(history)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(facts, pa.list_(pa.string())), pa.array(after, pa.string())], names=[*names, "facts", "history"])
+
+    def group(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(table.sort_by(order).to_batches())))
+
+    return chunks.select(key, order, text).groupBy(key).applyInArrow(group, f"{key} {kind}, {order} {place}, facts array<string>, history string")
+
+
+def refactored(chunks: DataFrame, key: str, order: str, text: str, most_tokens: int, complete: Complete | None = None) -> DataFrame:
+    """key and answer: each chunk's reply is parsed, and all replies of a document are put together by one more call, or
+    by groups first where they are longer than a prompt may be."""
+    asked = completed(chunks.select(key, order, F.col(text).alias("prompt")), complete=complete)
+    replies = asked.select(key, order, F.to_json(parsed_reply(F.coalesce("answer", F.lit("")), F.col(order).cast("int"))).alias("body"))
+    sizes = replies.groupBy(key).agg(F.sum(F.length("body") + 1).alias("_chars"))
+    both = replies.join(sizes, key)
+    few, many = both.where(F.col("_chars") <= 4 * most_tokens), both.where(F.col("_chars") > 4 * most_tokens)
+    small = few.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "body"))), lambda x: x["body"]), "\n").alias("prompt"))
+    return completed(small, complete=complete).select(key, "answer").unionByName(tree_reduce(many, key, order, "body", complete=complete).select(key, "answer"))
+
+
+def chained(docs: DataFrame, first: Step, second: Step) -> DataFrame:
+    """The answers of one workflow as the texts of the next."""
+    return second(first(docs).select("doc_id", F.col("answer").alias("text")))
+
+
+def retried(rows: DataFrame, steps: list[Step], tries: int = 1, on_error: str = "stop") -> DataFrame:
+    """Steps one after another over rows with answer and error: failed rows of a step are tried again, `tries` times; what
+    still fails goes no further (stop) or goes on as it was (skip)."""
+    done = None
+    for step in steps:
+        out = step(rows)
+        for _ in range(tries):
+            failed = out.where("error is not null")
+            out = out.where("error is null").unionByName(step(rows.join(failed.select("doc_id"), "doc_id", "left_semi")))
+        stopped = out.where("error is not null")
+        done = stopped if done is None else done.unionByName(stopped, allowMissingColumns=True)
+        good = out.where("error is null").select("doc_id", F.col("answer").alias("text"))
+        rows = good if on_error == "stop" else good.unionByName(rows.join(stopped.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(done.select("doc_id", F.lit(None).cast("string").alias("text"), "error")) if on_error == "stop" else rows.withColumn("error", F.lit(None).cast("string"))
+
+
+def batch_status(results: DataFrame) -> DataFrame:
+    """One row: n_ok, n_failed, and ok, partial (none worked) or skipped (there was nothing) for a run over many files."""
+    return results.agg(F.count_if(F.col("error").isNull()).alias("n_ok"), F.count_if(F.col("error").isNotNull()).alias("n_failed")).withColumn("status", F.when(F.col("n_ok") + F.col("n_failed") == 0, "skipped").when(F.col("n_ok") > 0, "ok").otherwise("partial"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import q
+from scriptorium.llm.common import bounded_batches, q
 
 #: A worker forgets what it remembers of pre-tokens beyond this many; a pure cache, without influence on results.
 REMEMBERED = 150_000
@@ -145,7 +145,7 @@ def _mapped(df: DataFrame, source: str, target: str, model, pattern: str, what:
                 made = pa.array([work(empty if x is None else x) for x in part.column(source).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], made], names=[*names, target])
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

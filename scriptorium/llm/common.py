@@ -46,6 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of texts that are handed to a worker at once: two tasks then take some tens of MB beside the JVM's heap.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after its session's batches for workers are bounded to BATCH_BYTES; a lower bound of the session stays.
+
+    Rows may be of any length, so a bound on their number doesn't bound a worker's memory. Results don't depend on it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast only if a count shows that `df` has at most `most_rows` rows; else Spark shuffles it (AQE splits hot keys)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import q, text_of, word_array
+from scriptorium.llm.common import bounded_batches, q, text_of, word_array
 from scriptorium.llm.hashing import U64, mixed, word_hashes
 
 ORDER = 3
@@ -175,7 +175,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, text: s
     columns are not looked at; an empty table gives an empty table. Rows are read twice, in an order that has to be the
     same: files and checkpoints are, the outcome of a shuffle has to be checkpointed first (else the job fails).
     """
-    rows = docs.select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"))
     id_field = rows.schema["doc_id"]
     id_type = id_field.dataType.simpleString()
     total = int(rows.agg(F.sum(F.size(word_array(text_of("text"))).cast("long")).alias("n")).first()["n"] or 0)

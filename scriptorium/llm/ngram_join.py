@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, packed, q, small, unpacked
+from scriptorium.llm.common import bounded_batches, cut, packed, q, small, unpacked
 from scriptorium.llm.components import components
 from scriptorium.llm.hashing import U64, mixed, word_hashes
 
@@ -230,7 +230,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = W
 
 def _joined(docs: DataFrame, text: str, doc_id: str, k: int, threshold: float, tolerance: float, block: int) -> DataFrame:
     """join() with the digest of each row's shingle set (key) and, where it has links, a number of its class (root)."""
-    rows = docs.select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(q(doc_id).alias("doc_id"), q(text).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     described = cut(rows.mapInArrow(lambda b: _described(b, k), f"doc_id {id_type}, key binary, node long, bands array<long>"))
     copies = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("bands").alias("bands"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, held_out, packed, q, unpacked
+from scriptorium.llm.common import bounded_batches, cut, held_out, packed, q, unpacked
 from scriptorium.llm.linear import fit_logistic
 
 #: Labelled rows that training reads at most; the bound of the sample, whatever the corpus.
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     texts count as empty. Of the sample, the driver gets one compressed vector of feature places for each row.
     """
     spark = docs.sparkSession
-    rows = cut(training_rows(docs, labels, label, most)).coalesce(TASKS)
+    rows = bounded_batches(cut(training_rows(docs, labels, label, most))).coalesce(TASKS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, totals = np.zeros((2, 1 << bits), np.int32), np.zeros(2, np.int64)
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null texts count as empty; very long ones are read whole, in steps; repeated rows get equal scores; an empty table
     gives an empty table. Nothing is shuffled.
     """
-    rows = packed(docs)
+    rows = packed(bounded_batches(docs))
     return rows.select("row", scores(model, docs.sparkSession, F.col("row").getField(text)).alias("score"))
 
 

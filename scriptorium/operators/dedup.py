@@ -382,3 +382,9 @@ def upsert(table: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     p = patch.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") if c in patch.columns else F.lit(None).alias(f"_{c}") for c in names])
     joined = table.join(p, F.col(key) == F.col("_key"), "full")
     return joined.select(F.coalesce(key, "_key").alias(key), *[F.coalesce(f"_{c}", c).alias(c) for c in names])
+
+
+def signed_text(name: Column, text: Column) -> Column:
+    """What a file's signature is made of: the normalised start of its text, or its name where the text is blank."""
+    body = normalised(F.substring(F.coalesce(text, F.lit("")), 1, 500_000))
+    return F.when(body == "", normalised(name)).otherwise(body)

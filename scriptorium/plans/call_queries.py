@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import budgets, text
-from scriptorium.operators import layout, reports, retrieval, semantic
+from scriptorium.operators import dedup, layout, reports, retrieval, semantic
 from scriptorium.plans import sql, workflows
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import MODELS
@@ -216,11 +216,11 @@ def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.numbered_pages(blocks).select("doc", "page", _digest(F.col("body")).alias("digest"))
 
 
-@query("""with b as (select l_orderkey as doc, l_partkey * 10 + l_linenumber as block, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 3 as x1, y0 + 3 as y1 from lineitem where l_suppkey % 2 = 0), i as (select l_orderkey as doc, l_partkey * 10 + l_linenumber as ord, l_partkey as xref, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 5 as x1, y0 + 2 as y1 from lineitem where l_suppkey % 2 = 1)
+@query("""with b as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as block, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 3 as x1, y0 + 3 as y1 from lineitem where l_suppkey % 2 = 0), i as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as ord, l_partkey as xref, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 5 as x1, y0 + 2 as y1 from lineitem where l_suppkey % 2 = 1)
     select doc, block, (select xref from i where i.doc = b.doc and least(b.x1, i.x1) > greatest(b.x0, i.x0) and least(b.y1, i.y1) > greatest(b.y0, i.y0) order by (least(b.x1, i.x1) - greatest(b.x0, i.x0)) * (least(b.y1, i.y1) - greatest(b.y0, i.y0)) desc, ord limit 1) as xref from b""")
 def shown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each image box of a page the image that covers most of it."""
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("block"), F.col("l_partkey").alias("xref"), F.round(F.col("l_discount") * 100).cast("int").alias("x0"), F.round(F.col("l_tax") * 100).cast("int").alias("y0"), "l_suppkey")
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("block"), F.col("l_partkey").alias("xref"), F.round(F.col("l_discount") * 100).cast("int").alias("x0"), F.round(F.col("l_tax") * 100).cast("int").alias("y0"), "l_suppkey")
     boxes = rows.where("l_suppkey % 2 = 0").select("doc", "block", "x0", "y0", (F.col("x0") + 3).alias("x1"), (F.col("y0") + 3).alias("y1"))
     images = rows.where("l_suppkey % 2 = 1").select("doc", F.col("block").alias("ord"), "xref", "x0", "y0", (F.col("x0") + 5).alias("x1"), (F.col("y0") + 2).alias("y1"))
     return layout.shown_image(boxes, images, ["doc"]).select("doc", "block", "xref")
@@ -265,3 +265,39 @@ def chained_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One workflow's answers are the next one's texts."""
     docs = load(spark, sf_dir, "documents").where(F.length(F.coalesce("text", F.lit(""))) <= 24_000)
     return workflows.chained(docs, lambda d: workflows.single_call(d, 24_000, "a"), lambda d: workflows.single_call(d, 24_000, "b")).select("doc_id", "answer")
+
+
+_SHORT = "case when length(t) <= {0} then t else t[:{0} // 2] || chr(10) || chr(10) || '_[… doc troncato: ' || (length(t) - {0}) || ' caratteri omessi …]_' || chr(10) || chr(10) || right(t, {0} // 2) end"
+
+
+@query(" union all ".join(f"select doc_id, '{w}' as workflow, sha256('{w}' || chr(10) || chr(10) || {_SHORT.format(n)}) as answer from (select doc_id, coalesce(text, '') as t from documents)" for w, n in workflows.MOST_CHARS.items()))
+def single_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workflows that ask once about each text."""
+    docs, out = load(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for name in workflows.MOST_CHARS:
+        one = workflows.named_call(docs, name).select("doc_id", F.lit(name).alias("workflow"), "answer")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""select doc_id, case doc_id % 3 when 0 then 'Python' when 1 then 'Go' else 'testo' end as language, case when trim(coalesce(text, '')) <> '' then length(text) - length(replace(text, chr(10), '')) + 1 end::int as lines, 3 as n_missing, trim(coalesce(text, '')) = '' as failed from documents""")
+def analysed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit(".py"), F.lit(".go"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/f"), kind).alias("path"), "text")
+    found = workflows.analysed_code(files)
+    return found.select("doc_id", "language", "lines", F.size("missing").alias("n_missing"), F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chunks against the first documents of one source as canon; a test holds it against Python."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    canon = docs.where("source = 'src1'").select(F.lit(1).alias("tier"), F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("part"))
+    found = workflows.gap_report(docs.select("doc_id", "text"), canon, 1200)
+    return found.select("doc_id", "n_parts", _digest(F.col("report")).alias("digest"))
+
+
+@query(f"""select doc_id, md5(case when {sql.normalised('text')} = '' then 'doc ' || doc_id else {sql.normalised("text[:500000]")} end) as digest from documents""")
+def signed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What signatures are made of; blank texts give their names."""
+    return load(spark, sf_dir, "documents").select("doc_id", _digest(dedup.signed_text(F.concat(F.lit("Doc  "), F.col("doc_id").cast("string")), F.col("text"))).alias("digest"))

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions import budgets
-from scriptorium.functions.text import parsed_reply, truncated_middle
+from scriptorium.functions.text import language_of, missing_sections, parsed_reply, truncated_middle
+from scriptorium.operators.dedup import saved
+from scriptorium.operators.ingestion import batch
+from scriptorium.operators.layout import assembled, numbered_pages
+from scriptorium.operators.overlap import markdown_chunks
+from scriptorium.operators.reports import merged_parts, prompt
+from scriptorium.operators.semantic import raw_extract_chunks
+from scriptorium.operators.state import RESUMABLE
+from scriptorium.sources.files import code_lines
 
 Complete = Callable[[str], str]
 Step = Callable[[DataFrame], DataFrame]
@@ -160,3 +168,62 @@ def retried(rows: DataFrame, steps: list[Step], tries: int = 1, on_error: str =
 def batch_status(results: DataFrame) -> DataFrame:
     """One row: n_ok, n_failed, and ok, partial (none worked) or skipped (there was nothing) for a run over many files."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("n_ok"), F.count_if(F.col("error").isNotNull()).alias("n_failed")).withColumn("status", F.when(F.col("n_ok") + F.col("n_failed") == 0, "skipped").when(F.col("n_ok") > 0, "ok").otherwise("partial"))
+
+
+#: Code points of a text that each of the single-call workflows takes, and the sections that an analysis needs.
+MOST_CHARS = {"blog_post": 28_000, "code_analysis": 32_000, "reflect": 24_000}
+SECTIONS = ["architettura", "vulnerabilit", "refactoring"]
+
+
+def named_call(docs: DataFrame, workflow: str, complete: Complete | None = None) -> DataFrame:
+    """doc_id and answer of one of the single-call workflows."""
+    return single_call(docs, MOST_CHARS[workflow], workflow, complete)
+
+
+def analysed_code(files: DataFrame, complete: Complete | None = None, sections: list[str] | None = None) -> DataFrame:
+    """doc_id, language, lines, answer and missing sections of source files (doc_id, path, text); blank ones are errors."""
+    known = files.select("doc_id", "text", language_of(F.col("path")).alias("language"), code_lines(F.col("text")).alias("lines"))
+    answers = named_call(known.where("lines is not null").select("doc_id", "text"), "code_analysis", complete)
+    found = known.select("doc_id", "language", "lines").join(answers, "doc_id", "left")
+    empty = F.when(F.col("lines").isNull(), "empty file")
+    return found.withColumns({"missing": missing_sections(F.coalesce("answer", F.lit("")), sections or SECTIONS), "error": F.coalesce("error", empty)})
+
+
+def gap_report(docs: DataFrame, canon: DataFrame, max_tokens: int, complete: Complete | None = None, most_canon: int = 12_000) -> DataFrame:
+    """doc_id, n_parts and report of each document (doc_id, text) against the canon (tier, rel, part).
+
+    A document is split into chunks; each is asked about beside the canon's parts, taken in order while they fit; the
+    answers of a document become one report. The canon's prefix has a fixed size, so it is broadcast.
+    """
+    before = F.sum(F.length("part")).over(Window.orderBy("tier", "rel").rowsBetween(Window.unboundedPreceding, 0))
+    first = canon.orderBy("tier", "rel").limit(most_canon).withColumn("_used", before).where(F.col("_used") <= most_canon)
+    context = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tier", "rel", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+    shared = context.first()["context"]
+    chunks = markdown_chunks(docs, max_tokens)
+    asked = completed(chunks.select("doc_id", "section", "title", prompt(F.col("title"), F.lit(shared), F.col("text")).alias("prompt")), complete=complete)
+    return merged_parts(asked.withColumn("body", F.coalesce("answer", F.lit(""))), "doc_id", "section", "title", "body")
+
+
+def run_rounds(state: DataFrame, files: DataFrame, n: int, order: list[str], most_rounds: int = 1_000, idle_rounds: int = 3, key: str = "key") -> DataFrame:
+    """The state after batches of n until nothing waits, no batch completed anything for some rounds, or so many rounds.
+
+    A file that failed isn't tried again in the same run. Each round is a job whose outcome is written, so a run that
+    breaks off goes on from the last state.
+    """
+    now, idle = state.withColumn("_tried", F.lit(False)), 0
+    for _ in range(most_rounds):
+        waiting = now.where(~F.col("_tried") & F.col("status").isin(*RESUMABLE))
+        if idle == idle_rounds or waiting.isEmpty():
+            break
+        done = batch(waiting, files, n, order, F.lit(False), key).where("error is not null or status = 'completed'").select(key, F.col("status").alias("_now"))
+        done = saved(done)
+        idle = 0 if done.where("_now = 'completed'").count() else idle + 1
+        now = saved(now.join(done, key, "left").select(*state.columns[: state.columns.index("status")], F.coalesce("_now", "status").alias("status"), *state.columns[state.columns.index("status") + 1 :], (F.col("_tried") | F.col("_now").isNotNull()).alias("_tried")))
+    return now.drop("_tried")
+
+
+def extracted_and_remembered(blocks: DataFrame, max_tokens: int, extract: Callable[[str, str], dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """From blocks of pages to chunk entries, and what reading them one after another leaves in memory."""
+    texts = assembled(numbered_pages(blocks), F.col("doc").cast("string"))
+    chunks = raw_extract_chunks(texts, max_tokens, key="doc")
+    return chunks, remembered(chunks, "doc", "chunk", "text", extract)

@@ -25,7 +25,7 @@ MOST_BYTES = 8 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, types=TYPES, most_bytes: int | None = None, skipped=SKIPPED) -> DataFrame:
-    """path, rel, type, length, content of the files below a folder, unsorted; Spark's readers skip files without bytes."""
+    """path, rel, type, length, content of the files below a folder, unsorted; Spark's readers skip files without bytes and those whose names begin with . or _."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
     rows = files.select("path", rel.alias("rel"), file_type(F.col("path")).alias("type"), "length", "modificationTime", "content")

@@ -1,0 +1,202 @@
+"""Workflows, sinks, file helpers and joins of deltas against plain versions."""
+
+import hashlib
+import json
+
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text
+from scriptorium.operators import dedup, docmap, ingestion, layout, retrieval
+from scriptorium.plans import workflows
+from scriptorium.sources import files, sinks
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_first_of_each_with_null_and_repeated_ids(spark):
+    rows = [(7, "A  b"), (7, "c"), (3, "a b"), (None, "d"), (None, "D"), (None, None), (9, ""), (3, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in dedup.first_of_each(docs).collect()]
+    assert sorted(found, key=str) == sorted([(3, "a b"), (7, "c"), (None, found[[x for _, x in found].index("d")][1] if "d" in [x for _, x in found] else "D"), (9, "")], key=str)
+    assert sorted((r["id"], r["n"], r["norm"]) for r in dedup.representatives(docs.where("doc_id is not null")).collect()) == [(3, 3, "a b"), (7, 1, "c"), (9, 1, "")]
+
+
+def test_topk_ranks_ties_by_id_and_takes_any_length(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(100, 0, -1)] + [(0, [1.0, 2.0]), (200, [1.0, 0.0, 0.0]), (201, [2.0, 0.0, 0.0]), (202, [None, 1.0]), (203, [0.0, 0.0]), (204, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = retrieval.vector_topk(table, F.col("vec_id").isin(0, 200), 3).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (200, 1, 201, 1.0)]
+
+
+def test_fallbacks_try_the_next_model_and_stop_at_fatal_errors(spark):
+    def complete(model, prompt):
+        if model == "a-8k" and "slow" in prompt:
+            raise RuntimeError("Read timed out")
+        if "bad" in prompt:
+            raise RuntimeError("bad request")
+        return f"{model}:{len(prompt)}"
+
+    rows = spark.createDataFrame([(1, "fine"), (2, "slow one"), (3, "bad one"), (4, "x" * 100_000)], "doc_id long, prompt string")
+    found = {r["doc_id"]: r for r in workflows.with_fallbacks(rows, ["a-8k", "b-8k"], complete).collect()}
+    assert (found[1]["answer"], found[2]["answer"]) == ("a-8k:4", "b-8k:8")
+    assert found[3]["answer"] is None and found[3]["error"] == "bad request" and found[3]["model"] is None
+    assert 256 <= int(found[4]["answer"].split(":")[1]) < 100_000
+
+
+def test_memory_goes_from_chunk_to_chunk(spark):
+    def extract(body, history):
+        if body == "broken":
+            return json.loads("{")
+        if body == "fails":
+            raise RuntimeError("no")
+        return {"facts": [body], "context": history + "|" + body}
+
+    rows = [(d, i, b) for d in (1, 2) for i, b in enumerate(["a", "broken", "fails", "b"])]
+    found = workflows.remembered(spark.createDataFrame(rows, "doc_id long, chunk int, text string").repartition(3), "doc_id", "chunk", "text", extract).orderBy("doc_id", "chunk").collect()
+    broken = "|a\n\nbroken... [Compressione Fallita]"
+    assert [(r["facts"], r["history"]) for r in found[:4]] == [(["a"], "|a"), ([], broken), ([], broken), (["b"], broken + "|b")]
+    assert len(found) == 8
+
+
+def test_reduction_by_groups_where_a_prompt_would_be_too_long(spark):
+    rows = [(1, i, f"t{i}") for i in range(12)] + [(2, 0, "u")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk int, text string")
+    reply = lambda t, i: json.dumps({"facts": [{"claim": sha(t), "confidence": "low", "section": "?"}], "entities": [], "gaps_vs_sot": [], "open_questions": [], "parse_error": True, "chunk_index": i}, separators=(",", ":"))
+    one = [reply(f"t{i}", i) for i in range(12)]
+    whole = {r["doc_id"]: r["answer"] for r in workflows.refactored(chunks, "doc_id", "chunk", "text", 10_000).collect()}
+    assert whole == {1: sha("\n".join(one)), 2: sha(reply("u", 0))}
+    small = {r["doc_id"]: r["answer"] for r in workflows.refactored(chunks, "doc_id", "chunk", "text", 100).collect()}
+    assert small == {1: sha("\n".join(sha("\n".join(one[k : k + 5])) for k in range(0, 12, 5))), 2: sha(reply("u", 0))}
+
+
+def test_steps_are_tried_again_and_stop_or_skip(spark):
+    calls = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, text string")
+
+    def step(rows):
+        def complete(prompt):
+            calls.add(1)
+            if "bad" in prompt:
+                raise RuntimeError("no")
+            return prompt.split("\n")[-1] + "!"
+
+        return workflows.single_call(rows, 1000, "task", complete)
+
+    stop = {r["doc_id"]: (r["text"], r["error"]) for r in workflows.retried(docs, [step, step], 1, "stop").collect()}
+    assert stop == {1: ("good!!", None), 2: (None, "no")}
+    skip = {r["doc_id"]: r["text"] for r in workflows.retried(docs, [step, step], 1, "skip").collect()}
+    assert skip == {1: "good!!", 2: "bad"}
+
+
+def test_rounds_end_when_nothing_waits(spark):
+    state = spark.createDataFrame([(k, "pending" if k < 7 else "completed", k) for k in range(9)], "key long, status string, ts int")
+    there = state.where("key <> 4").select("key")
+    found = {r["key"]: r["status"] for r in workflows.run_rounds(state, there, 3, ["ts"]).collect()}
+    assert found == {k: "failed" if k == 4 else "completed" for k in range(9)}
+
+
+def test_gap_reports_hold_the_canon_and_all_chunks(spark):
+    docs = spark.createDataFrame([(1, "short"), (2, "## A\n\n" + "word " * 300 + "\n\n## B\n\n" + "light " * 200)], "doc_id long, text string")
+    canon = spark.createDataFrame([(1, "a", "first"), (2, "b", "x" * 20_000)], "tier int, rel string, part string")
+    found = {r["doc_id"]: r for r in workflows.gap_report(docs, canon, 400).collect()}
+    answer = sha("## File\nfull\n\n## Context\nfirst\n\n## Text\nshort")
+    assert found[1]["n_parts"] == 1 and answer in found[1]["report"] and found[2]["n_parts"] == 2
+
+
+def test_pages_become_chunks_and_memory(spark):
+    blocks = [(1, 0, 1, 0.0, 0.0, "text", "## Page 1", None), (1, 0, 2, 1.0, 0.0, "image", None, 5), (1, 0, 3, 2.0, 0.0, "text", " tail ", None), (1, 1, 4, 0.0, 0.0, "image", None, 5), (1, 1, 5, 0.0, 1.0, "image", None, None)]
+    table = spark.createDataFrame(blocks, "doc long, page int, block int, y0 double, x0 double, kind string, text string, xref int")
+    assert [r["body"] for r in layout.numbered_pages(table).orderBy("page").collect()] == ["## Page 1\n\n[IMG_REF:img_001]\n\ntail", "[IMG_REF:img_002]\n\n[IMG_REF:img_003]"]
+    chunks, memory = workflows.extracted_and_remembered(table, 50)
+    assert {a for r in chunks.collect() for a in r["assets"]} == {"img_001", "img_002", "img_003"} and memory.count() == chunks.count()
+    empty = layout.assembled(spark.createDataFrame([(1, 0, None)], "doc long, page int, body string"), F.lit("x.pdf")).first()["text"]
+    assert empty.startswith("# Raw extraction — x.pdf\n") and "nessun testo" in empty
+
+
+def test_sinks_replace_ignore_and_index(spark, tmp_path):
+    one = spark.createDataFrame([("w", "a.md", "body"), ("v", "b.md", "é")], "workflow string, path string, body string")
+    sinks.written(one, f"{tmp_path}/t")
+    sinks.written(one.limit(0), f"{tmp_path}/t", replace=False)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    for _ in range(2):
+        sinks.saved_outputs(one, f"{tmp_path}/out", f"{tmp_path}/index")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    assert sorted(r["size_bytes"] for r in sinks.newest_outputs(spark, f"{tmp_path}/index", 3).collect())[-1] == 4 and sinks.newest_outputs(spark, f"{tmp_path}/index", 3).count() == 3
+
+
+def test_files_are_picked_by_folder_glob_and_key(spark, tmp_path):
+    for name, body in {"a.md": "x", "b.PDF": "y", ".hidden.md": "z", "sub/c.py": "1\n2", "sub/deep/d.py": "", "log/e.log": "l\xe9g", "docs/f.md": "n", "bad.json": "{", "good.json": '{"a": [1]}'}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    assert [r["name"] for r in files.top_files(spark, str(tmp_path)).collect()] == ["a.md", "b.PDF"]
+    scan = files.scan(spark, str(tmp_path), [".py", ".md", ".log", ".json"], 100)
+    assert {r["rel"] for r in scan.collect()} == {"a.md", "sub/c.py", "log/e.log", "bad.json", "good.json"}
+    assert {r["rel"] for r in files.selected(scan, ["sub/*.py", "**/*.log"]).collect()} == {"sub/c.py", "log/e.log"}
+    found = {r["rel"]: (r["text"], r["status"]) for r in files.texts(scan.where("type <> '.py'")).collect()}
+    assert found["good.json"] == ('{ "a": [ 1 ] }', "ok") and found["bad.json"][1] == "converter_error" and found["log/e.log"][0] == "lég"
+    assert [r["section"] for r in files.dump(scan.where("rel = 'a.md'")).collect()] == ["## a.md\n\n```\nx\n```\n"]
+    keys = scan.select("rel", files.rel_key(F.col("path"), str(tmp_path)).alias("in"), files.rel_key(F.col("path"), "/elsewhere").alias("out")).collect()
+    assert all(r["in"] == r["rel"] and r["out"] == r["rel"].split("/")[-1] for r in keys)
+    counts = scan.select("rel", files.code_lines(files.decoded(F.col("content"))).alias("n")).where("rel = 'sub/c.py'").first()
+    assert counts["n"] == 2
+
+
+def test_store_keys_contain_names(spark):
+    rels = ["src/R&D notes.md", "a/b/plan-1.txt", "x/none.md", "c.md", "deep/ünï çode.md", "q/___.md"]
+    keys = ["custom\\R&D notes.md", "store/my_PLAN_1_v2.json", "abc.md", "zz/Ünï-Çode.md-77.json", "q/___.md"]
+    norm = lambda s: s.lower().replace("\\", "/").replace("&", "and").replace(" ", "_").replace("-", "_")
+    expected = set()
+    for rel in rels:
+        tail = rel.split("/")[-1]
+        stem = norm(tail.rsplit(".", 1)[0])
+        if any(rel in k.replace("\\", "/") or tail in k.replace("\\", "/") or (stem and stem in norm(k)) for k in keys):
+            expected.add(rel)
+    found = ingestion.in_store(spark.createDataFrame([(r,) for r in rels], "rel string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert {r["rel"] for r in found.collect()} == expected and len(expected) == 5
+
+
+def test_forced_delta_forgets_the_cache_but_not_the_store(spark):
+    rows = spark.createDataFrame([("a.md", "1"), ("b.md", "2"), ("c.md", "3")], "rel string, md5 string")
+    cache = spark.createDataFrame([("a.md", "there", "1"), ("b.md", "b", "old")], "rel string, location string, md5 string")
+    keys = spark.createDataFrame([("b.md",)], "key string")
+    of = lambda **how: {r["rel"]: (r["action"], r["location"]) for r in ingestion.remote_delta(rows, cache, keys, **how).collect()}
+    assert of() == {"a.md": ("cached", "there"), "b.md": ("remote", "b"), "c.md": ("pending", "manual-ui")}
+    assert of(force=True, manual=False) == {"a.md": ("upload", None), "b.md": ("remote", "remote-existing"), "c.md": ("upload", None)}
+
+
+def test_chunks_without_ids_are_refused(spark):
+    table = docmap.filled(spark.createDataFrame([], "doc long, turn int, id string"), "chunks")
+    new = spark.createDataFrame([(1, 0, "a"), (1, 1, " ")], "doc long, turn int, id string")
+    try:
+        docmap.replaced(table, new, "doc", "turn").collect()
+    except Exception as e:  # noqa: BLE001
+        assert "needs an id" in str(e)
+    else:
+        raise AssertionError("a chunk without an id was taken")
+
+
+def test_payloads_of_any_depth(spark):
+    deep = {"a": 1}
+    for _ in range(14):
+        deep = {"in": deep}
+    rows = [json.dumps({"token": "x", "ok": [1, "Bearer abc", "a" * 30, "a b"], "long": list(range(300))}), json.dumps(deep), "Bearer zzz", None, "{broken"]
+    found = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, raw string").orderBy("i").select(text.redacted_json(F.col("raw"))).collect()]
+    first = json.loads(found[0])
+    assert first["token"] == "[REDACTED]" and first["ok"] == [1, "[REDACTED]", "[REDACTED]", "a b"] and len(first["long"]) == 200
+    assert "[max depth]" in found[1] and found[2:] == ["[REDACTED]", None, "{broken"]
+
+
+def test_bpe_counts_match_the_library(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    from tiktoken.load import load_tiktoken_bpe
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    rows = [(0, "Ciao, è un testo."), (1, ""), (2, None)]
+    count = text.bpe_counter(path, public_tokenizers.PATTERN, spark)
+    found = [r["n"] for r in spark.createDataFrame(rows, "i int, t string").orderBy("i").select(count(F.col("t")).alias("n")).collect()]
+    assert found == [len(own.encode_ordinary(rows[0][1])), 0, None]

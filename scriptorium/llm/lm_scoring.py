@@ -22,10 +22,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_batches, q, text_of, word_array
+from scriptorium.llm.common import bounded_batches, cut, q, text_of, word_array
 from scriptorium.llm.hashing import U64, mixed, word_hashes
 
 ORDER = 3
@@ -168,9 +168,11 @@ def _summed(slabs: pd.DataFrame, answers: pd.DataFrame, order: int, backoff: flo
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, score (sum of log10) and word_score (score for each word) for each row of `docs`.
+    """doc_id, n_words, score (log10 for each word) and total (their sum over the document) for each row of `docs`.
 
-    Null, empty and blank texts have no words, score 0 and no word_score. A word that no other document holds counts as
+    Null, empty and blank texts have no words, no score and total 0. N-grams are told apart by 56 bits of a hash: of d
+    distinct ones, some d * d / 2^57 pairs share their counts (1 in 10^8 n-grams' worth at d = 10^8, some hundreds of
+    pairs at 10^10). A word that no other document holds counts as
     1 / (words of the other documents + 1). Repeated rows are documents of their own and vouch for each other. Other
     columns are not looked at; an empty table gives an empty table. Rows are read twice, in an order that has to be the
     same: files and checkpoints are, the outcome of a shuffle has to be checkpointed first (else the job fails).
@@ -187,4 +189,41 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, text: s
     arrow_type = to_arrow_type(id_field.dataType)
     kept = rows.mapInArrow(lambda b: _kept(b, arrow_type), f"slab long, ids array<{id_type}>, sizes array<long>, n_distinct int, distinct binary, words binary")
     summed = kept.groupBy("slab").cogroup(answers.groupBy("slab")).applyInPandas(lambda a, b: _summed(a, b, order, backoff, total), f"doc_id {id_type}, n_words long, micro long")
-    return summed.select("doc_id", "n_words", (F.col("micro") / MICRO).alias("score"), F.when(F.col("n_words") > 0, F.round(F.col("micro") / F.col("n_words"), 0) / MICRO).alias("word_score"))
+    return summed.select("doc_id", "n_words", *_scores())
+
+
+def _scores() -> list[Column]:
+    return [F.when(F.col("n_words") > 0, F.round(F.col("micro") / F.col("n_words"), 0) / MICRO).alias("score"), (F.col("micro") / MICRO).alias("total")]
+
+
+def score_by_rows(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """What score() gives, with one row for each n-gram: counts for each document, their sums for each n-gram by hash
+    partition, and a join of both with the exploded n-grams, summed for each document.
+
+    Plain, but it shuffles every n-gram of every document several times; score() is the same join with the n-grams of a
+    slab packed into a few rows. Rows need a number, so they are written once before.
+    """
+    texts = docs.select(q(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    rows = cut(texts.withColumn("row", F.monotonically_increasing_id()))
+    words = rows.select("row", F.posexplode(word_array(F.col("text"))).alias("i", "w"))
+    before = Window.partitionBy("row").orderBy("i")
+    last = words.select("row", "i", *[F.lag("w", k).over(before).alias(f"w{k}") for k in range(order)])
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[f"w{k}" for k in range(n)]).alias("g")) for n in range(1, order + 1)])
+    every = last.select("row", "i", F.inline(grams)).where("i >= n - 1")
+    own = every.groupBy("row", "n", "g").agg(F.count("*").alias("own"))
+    counts = own.groupBy("n", "g").agg(F.sum("own").alias("all"))
+    rest = every.join(own.join(counts, ["n", "g"]).select("row", "n", "g", (F.col("all") - F.col("own")).alias("rest")), ["row", "n", "g"])
+    places = rest.groupBy("row", "i").agg(*[F.max(F.when(F.col("n") == n, F.col("rest"))).alias(f"r{n}") for n in range(1, order + 1)])
+    sizes = words.groupBy("row").agg(F.count("*").alias("n_words"))
+    total = int(sizes.agg(F.sum("n_words").alias("n")).first()["n"] or 0)
+    based = places.join(sizes, "row").select("*", *[F.lag(f"r{n}").over(before).alias(f"b{n}") for n in range(1, order)])
+    others = F.lit(total) - F.col("n_words")
+    longest = F.least(F.col("i") + 1, F.lit(order))  # the first length that is tried
+    log = F.when(F.lit(False), 0.0)
+    for n in range(order, 0, -1):
+        base = F.col(f"b{n - 1}") if n > 1 else others
+        log = log.when((F.col("i") >= n - 1) & (F.col(f"r{n}") > 0), (longest - n) * F.log10(F.lit(backoff)) + F.log10(F.col(f"r{n}") / base))
+    log = log.otherwise((longest - 1) * F.log10(F.lit(backoff)) + F.log10(1 / (others + 1)))
+    summed = based.select("row", F.rint(MICRO * log).cast("long").alias("micro")).groupBy("row").agg(F.sum("micro").alias("micro"), F.count("*").alias("n_words"))
+    found = rows.select("row", "doc_id").join(summed, "row", "left").fillna(0, ["micro", "n_words"])
+    return found.select("doc_id", "n_words", *_scores())

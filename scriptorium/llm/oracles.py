@@ -20,7 +20,7 @@ m as (select doc_id, sum(round(1000000 * (case
     when r2 > 0 then least(i - 2, 1) * log10(0.4::double) + log10(r2 / c1)
     when r1 > 0 then least(i - 1, 2) * log10(0.4::double) + log10(r1 / others)
     else least(i - 1, 2) * log10(0.4::double) + log10(1 / (others + 1)) end))::bigint) as micro from l group by doc_id)
-select doc_id, len(ws) as n_words, coalesce(micro, 0)::double / 1000000 as score, case when len(ws) > 0 then round(micro::double / len(ws), 0) / 1000000 end as word_score
+select doc_id, len(ws) as n_words, case when len(ws) > 0 then round(micro::double / len(ws), 0) / 1000000 end as score, coalesce(micro, 0)::double / 1000000 as total
 from w left join m using (doc_id)"""
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)

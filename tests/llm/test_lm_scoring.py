@@ -33,8 +33,10 @@ def test_scores_match_brute_force(spark, monkeypatch):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     found = lm_scoring.score(docs).collect()
-    assert Counter((r["doc_id"], r["n_words"], r["score"]) for r in found) == brute(rows)
-    assert all((r["word_score"] is None) == (r["n_words"] == 0) for r in found)
+    assert Counter((r["doc_id"], r["n_words"], r["total"]) for r in found) == brute(rows)
+    assert all((r["score"] is None) == (r["n_words"] == 0) for r in found)
+    plain = lm_scoring.score_by_rows(docs).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["total"], r["score"]) for r in plain) == Counter((r["doc_id"], r["n_words"], r["total"], r["score"]) for r in found)
 
 
 def test_many_slabs_and_another_order(spark, monkeypatch):
@@ -43,7 +45,7 @@ def test_many_slabs_and_another_order(spark, monkeypatch):
     rows = [(i, f"a b c w{i % 7} d e w{i % 3}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).checkpoint()
     for order in (1, 2, 4):
-        assert Counter(tuple(r)[:3] for r in lm_scoring.score(docs, order=order).collect()) == brute(rows, order)
+        assert Counter((r["doc_id"], r["n_words"], r["total"]) for r in lm_scoring.score(docs, order=order).collect()) == brute(rows, order)
 
 
 def test_empty_table(spark):

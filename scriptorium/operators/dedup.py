@@ -21,6 +21,8 @@ from scriptorium.functions.text import char_shingles, normalised
 PERMUTATIONS, SHINGLE, SIMILAR = 128, 5, 0.95
 #: A worker forgets the hashes of shingles beyond this many; a cache without influence on results.
 REMEMBERED = 250_000
+#: Shingles whose hashes are laid side by side.
+STEP = 1_000
 #: Texts from which the rarity of shingles is estimated, its buckets, and bits of the map of probed shingles: all only a matter of speed.
 SAMPLED, RARITY, MAP_BITS = 4_000, 1 << 20, 26
 #: Lengths of runs with their number of buckets in a sketch, and texts of one block of sketches.
@@ -80,13 +82,16 @@ def signatures(rows: DataFrame, permutations: int = PERMUTATIONS, k: int = SHING
             for text in batch.column(1).to_pylist():
                 least = np.zeros(permutations, np.uint32) if not text else np.full(permutations, (1 << 32) - 1, np.uint32)
                 grams = {text} if text and len(text) <= k else {text[i : i + k] for i in range(len(text or "") - k + 1)}
+                rows_of = []
                 for g in grams:
                     if g not in known:
                         if len(known) >= REMEMBERED:
                             known.clear()
                         known[g] = shingle_hashes(g, permutations)
-                    np.minimum(least, known[g], out=least)
-                found.append(least)
+                    rows_of.append(known[g])
+                    if len(rows_of) == STEP:
+                        least, rows_of = np.minimum(least, np.array(rows_of).min(axis=0)), []
+                found.append(np.minimum(least, np.array(rows_of).min(axis=0)) if rows_of else least)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=[names[0], "signature"])
 
     return rows.mapInArrow(run, f"{names[0]} {rows.schema[0].dataType.simpleString()}, signature array<long>")
@@ -133,6 +138,20 @@ def near_pairs(docs: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame,
     return banded_pairs(signatures(representatives(docs).select("id", "norm")), threshold), membership(docs)
 
 
+def near_classes(docs: DataFrame, threshold: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) between classes of texts of one signature, by their smallest ids, and (id, rep) of all rows.
+
+    Texts of one signature are alike by 1 and have the same likeness with all others, so a class stands for all of its
+    links; a large group of copies that differ in little is a few classes, not a square of pairs.
+    """
+    signed = saved(signatures(representatives(docs).select("id", "norm")))
+    keyed = signed.withColumn("k", F.md5(F.array_join("signature", ",").cast("binary")))
+    classes = saved(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
+    pairs = banded_pairs(classes.select(F.col("rep").alias("id"), "signature"), threshold)
+    of = keyed.select(F.col("id").alias("text"), "k").join(classes.select("k", "rep"), "k").select("text", "rep")
+    return pairs, membership(docs).withColumnRenamed("rep", "text").join(of, "text").select("id", "rep")
+
+
 def run_hashes(text: str, q: int) -> np.ndarray:
     """A 64-bit hash of each run of q code points, in their order; a shorter text is its only one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)

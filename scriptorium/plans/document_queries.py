@@ -53,7 +53,10 @@ def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("conv_id", "part", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(f"""select p_partkey, case p_partkey % 5 when 0 then 'Python' when 1 then 'TypeScript' when 2 then 'SQL' when 3 then 'gz' else 'testo' end as language from part""")
+_KIND = "lower(regexp_extract('src/p' || p_partkey || ({0!r})[p_partkey % 5 + 1], '[^/.](\\.[^./]+)$', 1))".format(TYPES)
+
+
+@query(f"""select p_partkey, coalesce(element_at(map({list(text.LANGUAGES)!r}, {list(text.LANGUAGES.values())!r}), k)[1], nullif(ltrim(k, '.'), ''), 'testo') as language from (select p_partkey, {_KIND} as k from part)""")
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in TYPES]), (F.col("p_partkey") % 5 + 1).cast("int"))
     return load(spark, sf_dir, "part").select("p_partkey", text.language_of(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), kind)).alias("language"))

@@ -11,6 +11,7 @@ from scriptorium.plans import sql, workflows
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import load
 from scriptorium.streaming import ingest as streams
+from scriptorium.streaming import progress
 
 _STATUS = "case event_type when 'signup' then 'pending' when 'error' then 'failed' when 'click' then 'processing' when 'purchase' then 'completed' else 'skipped' end"
 _LATEST = f"(select user_id as key, ts, event_id, {_STATUS} as status from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)"
@@ -102,3 +103,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = streams.shared_folder(spark)
     streams.ingest(spark, f"{sf_dir}/documents.parquet", f"{root}/out", f"{root}/progress")
     return spark.read.parquet(f"{root}/out")
+
+
+@query("select conv_id as key, max(turn) as chunks_done, max(length(coalesce(text, '')))::int as last from conversations group by conv_id")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks that are done, followed as a stream; its table ends with what the batch plan gives."""
+    root = streams.shared_folder(spark)
+    columns = [F.col("conv_id").alias("key"), F.col("turn").alias("chunk"), F.length(F.coalesce("text", F.lit(""))).alias("at")]
+    progress.follow(spark, f"{sf_dir}/conversations.parquet", f"{root}/out", f"{root}/progress", columns)
+    return progress.latest(spark, f"{root}/out")

@@ -91,26 +91,29 @@ def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda w: text.redacted(w) != w)).cast("long").alias("n_redacted"))
 
 
-@query(r"""select doc_id, doc_id % 4 in (0, 1) as canon, case doc_id % 4 when 0 then 'SOT' when 2 then 'NOTE' else '' end as category from documents""")
+@query(r"""select doc_id, regexp_matches(decode(encode(made)[1:512]), '(?im)^category:\s*SOT\b') or regexp_matches(decode(encode(made)[1:512]), '(?im)^status:\s*AUTHORITATIVE') as canon, trim(regexp_extract(regexp_extract(made, '(?s)^---\n(.*?)\n---', 1), '(?m)^category:[ \t]*([^\n]*)$', 1)) as category
+    from (select doc_id, '---' || chr(10) || ['category: SOT', 'Status: authoritative', 'category: NOTE', 'title: x'][doc_id % 4 + 1] || chr(10) || '---' || chr(10) || regexp_replace(text, '[^\x00-\x7f]', '?', 'g') as made from documents)""")
 def frontmatter_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(F.lit("category: SOT\n"), F.lit("Status: authoritative\n"), F.lit("category: NOTE\n"), F.lit("title: x\n")), (F.col("doc_id") % 4 + 1).cast("int"))
-    made = F.concat(F.lit("---\n"), kinds, F.lit("---\n"), F.col("text"))
+    made = F.concat(F.lit("---\n"), kinds, F.lit("---\n"), F.regexp_replace("text", r"[^\x00-\x7f]", "?"))
     return load(spark, sf_dir, "documents").select("doc_id", text.is_canon(made).alias("canon"), text.front_matter_value(made, "category").alias("category"))
 
 
-def _models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in MODELS], "model string")
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each part, some with the part's brand in their names."""
+    name = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("p_partkey") % len(MODELS) + 1).cast("int"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lower("p_brand"), F.lit("-"), name)).otherwise(name).alias("model"))
 
 
 _WINDOW = "case when regexp_matches(model, '128k|131072') then 131072 when regexp_matches(model, '32k|32768') then 32768 when regexp_matches(model, '16k|16384') then 16384 when regexp_matches(model, '8k|8192') then 8192 when regexp_matches(model, '4k|4096') then 4096 else 8192 end"
-_MODELS = f"(select unnest({MODELS!r}) as model)"
-_WINDOWS = f"(select model, {_WINDOW}::int as context_tokens from {_MODELS})"
+_MODELS = f"(select p_partkey, case when p_partkey % 3 = 0 then lower(p_brand) || '-' else '' end || ({MODELS!r})[p_partkey % {len(MODELS)} + 1] as model from part)"
+_WINDOWS = f"(select model, {_WINDOW}::int as context_tokens from (select unnest({MODELS!r}) as model))"
 
 
-@query(f"""select model, context_tokens, raw_tokens, reserve_tokens, greatest(800, context_tokens - raw_tokens - reserve_tokens - 800) as sot_tokens, greatest(400, least(1500, raw_tokens)) as chunk_tokens
-    from (select *, least(6000, context_tokens * 35 // 100)::int as raw_tokens, greatest(1024, least(1500, context_tokens * 18 // 100))::int as reserve_tokens from {_WINDOWS})""")
+@query(f"""select p_partkey, context_tokens, raw_tokens, reserve_tokens, greatest(800, context_tokens - raw_tokens - reserve_tokens - 800) as sot_tokens, greatest(400, least(1500, raw_tokens)) as chunk_tokens
+    from (select *, least(6000, context_tokens * 35 // 100)::int as raw_tokens, greatest(1024, least(1500, context_tokens * 18 // 100))::int as reserve_tokens from (select p_partkey, {_WINDOW}::int as context_tokens from {_MODELS}))""")
 def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _models(spark).select("model", budgets.limits(F.col("model")).alias("x")).select("model", "x.*")
+    return _models(spark, sf_dir).select("p_partkey", budgets.limits(F.col("model")).alias("x")).select("p_partkey", "x.*")
 
 
 @query(f"""select doc_id, model, projected < usable as fits, projected, usable, greatest(0, projected - usable) as overflow
@@ -121,12 +124,13 @@ def request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "model", budgets.request(F.col("model"), F.col("text"), F.lit("go")).alias("x")).select("doc_id", "model", "x.*")
 
 
-@query(f"""select model, case when regexp_matches(model, 'embed|e5-') then 99 when regexp_matches(model, 'vl|vision|multimodal|mm-') then 10 when regexp_matches(model, 'instruct|chat') then 0 else 5 end::int as preference from {_MODELS}""")
+@query(f"""select p_partkey, case when regexp_matches(model, 'embed|e5-') then 99 when regexp_matches(model, 'vl|vision|multimodal|mm-') then 10 when regexp_matches(model, 'instruct|chat') then 0 else 5 end::int as preference from {_MODELS}""")
 def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _models(spark).select("model", budgets.model_rank(F.col("model")).alias("preference"))
+    return _models(spark, sf_dir).select("p_partkey", budgets.model_rank(F.col("model")).alias("preference"))
 
 
-@query(f"""select message, case when contains(lower(message), 'out of memory') or contains(lower(message), 'oom') then 'oom' when contains(lower(message), 'context') and (contains(lower(message), 'exceed') or contains(lower(message), 'length')) then 'context'
-    when contains(lower(message), 'timeout') or contains(lower(message), 'timed out') then 'recoverable' else 'fatal' end as class from (select unnest({MESSAGES!r}) as message)""")
+@query(f"""select event_id, case when contains(lower(message), 'out of memory') or contains(lower(message), 'oom') then 'oom' when contains(lower(message), 'context') and (contains(lower(message), 'exceed') or contains(lower(message), 'length')) then 'context'
+    when contains(lower(message), 'timeout') or contains(lower(message), 'timed out') then 'recoverable' else 'fatal' end as class from (select event_id, event_type || ': ' || ({MESSAGES!r})[event_id % {len(MESSAGES)} + 1] as message from events)""")
 def llm_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in MESSAGES], "message string").select("message", budgets.error_class(F.col("message")).alias("class"))
+    message = F.concat("event_type", F.lit(": "), F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % len(MESSAGES) + 1).cast("int")))
+    return load(spark, sf_dir, "events").select("event_id", budgets.error_class(message).alias("class"))

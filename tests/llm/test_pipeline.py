@@ -63,3 +63,23 @@ def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_ids_texts_or_labels(spark, tmp_path):
+    rows = [(None, "the of and to in river stone house green walk paper light " * 2, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "the river and the stone of a house in green light to walk", "en", "s", 9), (2, "the river and the stone of a house in green light to walk", "en", "s", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.where("text is null or text = ''").count() == 0
+    assert docs.select("doc_id").distinct().count() <= 2
+    assert corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == docs.columns

@@ -1,6 +1,7 @@
 """A training corpus from `documents`: five stages, each over all that the one before it kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, to be written and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, to be written and read again as the next one's docs. An
+empty table goes through all of them empty; columns beside doc_id, text and source are kept by all but the last stage.
 """
 
 from __future__ import annotations
@@ -15,27 +16,34 @@ from scriptorium.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject; null texts are judged as empty ones, repeated rows alike.
+
+    Without usable labels all texts get one score, that of the rate of toxic labels with one of each kind added."""
     return toxicity.keep_clean(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep all quality rules."""
+    """Documents that keep all quality rules: never null, empty or blank ones; very long texts are measured whole."""
     return quality_rules.keep(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id; texts without words are groups of their own.
+
+    Rows of one id, or without one, are told apart by their texts."""
     return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources takes them."""
+    """Documents as often as the mix of the sources takes them; a null source is a source, rows of one id draw alike,
+    texts without words aren't taken."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids as little-endian unsigned 32-bit integers, their number, and the decoded bytes' digest."""
+    """doc_id, source, token ids as little-endian unsigned 32-bit integers, their number, and the decoded bytes' digest.
+
+    Null and empty texts have no ids; repeated rows stay repeated."""
     ranks = vocabulary()
     coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
     back = byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN)
@@ -46,7 +54,9 @@ STAGES = [("toxicity", drop_toxic), ("quality rules", drop_poor), ("n-gram Jacca
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written to the checkpoint folder before the next reads it."""
+    """All stages over `documents`; what a stage returns is written to the checkpoint folder before the next reads it.
+
+    Rows: one for each time that the mix takes a document; none for an empty table."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

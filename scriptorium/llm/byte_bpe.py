@@ -130,24 +130,26 @@ def _codec(model, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _mapped(df: DataFrame, source: str, target: str, model, pattern: str, what: str) -> DataFrame:
-    """`df` with the binary column `target` made from `source` (null: as empty), in place of any column of that name."""
-    names = [c for c in df.columns if c != target]
-    schema = T.StructType([*[df.schema[c] for c in names], T.StructField(target, T.BinaryType(), False)])
+def _mapped(df: DataFrame, source: str, targets: list[str], model, pattern: str, work) -> DataFrame:
+    """`df` with binary columns made from `source` by work(codec, value), in place of any columns of those names."""
+    names = [c for c in df.columns if c not in targets]
+    schema = T.StructType([*[df.schema[c] for c in names], *[T.StructField(t, T.BinaryType(), False) for t in targets]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, pattern)
-        work = codec.encode if what == "encode" else codec.decode
-        empty = "" if what == "encode" else b""
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = pa.array([work(empty if x is None else x) for x in part.column(source).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], made], names=[*names, target])
+                made = zip(*[work(codec, x) for x in part.column(source).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *[pa.array(x, pa.binary()) for x in made]], names=[*names, *targets])
 
     return bounded_batches(df).mapInArrow(run, schema)
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs if isinstance(docs.schema[text].dataType, T.StringType) else docs.withColumn(text, q(text).cast("string"))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Every row of `docs` with the ids of its whole text as a binary column of little-endian unsigned 32-bit integers.
 
@@ -155,20 +157,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     replaced. Special tokens are never produced. Nothing is shuffled, and each text is worked on in steps.
     """
     model = docs.sparkSession.sparkContext.broadcast(model_of(ranks))
-    if not isinstance(docs.schema[text].dataType, T.StringType):
-        docs = docs.withColumn(text, q(text).cast("string"))
-    return _mapped(docs, text, ids, model, pattern, "encode")
+    return _mapped(_texts(docs, text), text, [ids], model, pattern, lambda codec, x: (codec.encode(x or ""),))
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What decode(encode(docs)) gives, with both in one pass: a worker encodes a text and decodes its ids, so that a task
+    needs one worker and one model, not two."""
+    model = docs.sparkSession.sparkContext.broadcast(model_of(ranks))
+
+    def both(codec: Codec, x: str | None) -> tuple[bytes, bytes]:
+        coded = codec.encode(x or "")
+        return coded, codec.decode(coded)
+
+    return _mapped(_texts(docs, text), text, [ids, decoded], model, pattern, both)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Every row with the bytes that its ids stand for; null ids decode to nothing, an id outside the vocabulary fails."""
     model = encoded.sparkSession.sparkContext.broadcast(model_of(ranks))
-    return _mapped(encoded, ids, decoded, model, pattern, "decode")
+    return _mapped(encoded, ids, [decoded], model, pattern, lambda codec, x: (codec.decode(x or b""),))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, number of ids, and digests of the ids and of the bytes that they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), ranks, pattern)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

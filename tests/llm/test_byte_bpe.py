@@ -34,3 +34,11 @@ def test_a_worker_may_forget_and_long_texts_go_in_steps(monkeypatch):
     monkeypatch.setattr(byte_bpe, "STEP", 100)
     other = byte_bpe.Codec(byte_bpe.model_of(vocabulary()), public_tokenizers.PATTERN)
     assert other.encode(text) == whole and other.decode(whole) == text.encode()
+
+
+def test_one_pass_gives_what_two_passes_give(spark):
+    docs, ranks = documents(spark), vocabulary()
+    one = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    two = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert byte_bpe.round_trip(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0

@@ -44,9 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids as little-endian unsigned 32-bit integers, their number, and the decoded bytes' digest.
 
     Null and empty texts have no ids; repeated rows stay repeated."""
-    ranks = vocabulary()
-    coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    back = byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary(), public_tokenizers.PATTERN)
     return back.select("doc_id", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -47,14 +47,16 @@ def shared_root(spark: SparkSession) -> str:
     return root or tempfile.mkdtemp(prefix="checkpoint-")
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
     """One row for each normalised text: of its rows that of the smallest id, null ids last; of one id, the least text.
 
+    With `digest`, the normalised text's digest is a column of that name.
+
     Rows are compared by a digest, and each task hands on one row for each text that it has.
     """
     keyed = docs.select(F.md5(normalised(F.col(text)).cast("binary")).alias("_md5"), F.struct(*docs.columns).alias("_row"))
     order = F.struct(F.col(f"_row.{doc_id}").isNull(), f"_row.{doc_id}", F.md5(F.col(f"_row.{text}").cast("binary")))
-    return keyed.groupBy("_md5").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
+    return keyed.groupBy("_md5").agg(F.min_by("_row", order).alias("_row")).select("_row.*", *([F.col("_md5").alias(digest)] if digest else []))
 
 
 def shingle_hashes(shingle: str, n: int) -> np.ndarray:
@@ -71,9 +73,11 @@ def shingle_hashes(shingle: str, n: int) -> np.ndarray:
 def signatures(rows: DataFrame, permutations: int = PERMUTATIONS, k: int = SHINGLE) -> DataFrame:
     """(id, normalised text) to (id, signature): for each permutation the least hash over the shingles; zeros for none.
 
-    A shingle is hashed once by a worker; a text takes memory for one step of its shingles at a time.
+    A shingle is hashed once by a worker; a text takes memory for one step of its shingles at a time. Hashing is dear, so
+    rows are dealt out to all cores, however few bytes they are.
     """
-    names = rows.columns
+    names, spark = rows.columns, rows.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     known: dict[str, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

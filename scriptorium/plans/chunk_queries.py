@@ -69,19 +69,30 @@ def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.table_blocks(markdown(spark, sf_dir), "conv_id")
 
 
-@query()
+_SECTIONS = f"""select conv_id, row_number() over (partition by conv_id order by section) as n, case when section = 0 then 'preamble' else trim(string_split(part, chr(10))[1]) end as title, regexp_replace(part, '^\\s+|\\s+$', '', 'g') as text from ({_PARTS})"""
+_PARAGRAPHS = f"""select conv_id, n, p as text, false as alone from (select conv_id, unnest(ps) as p, unnest(range(1, len(ps) + 1)) as n from (select conv_id, list_filter(list_transform(string_split(regexp_replace(text, '\\n\\s*\\n', '␞', 'g'), '␞'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ps from ({sql.VIEW})))"""
+_UNITS = f"""select conv_id, row_number() over (partition by conv_id order by n, i) as n, case when long then text[i * 240 + 1:i * 240 + 240] else text end as text, long as alone from (select *, {sql.tokens('text')} > 60 as long, unnest(case when {sql.tokens('text')} > 60 then range((length(text) - 1) // 240 + 1) else [0] end) as i from ({_PARAGRAPHS}))"""
+
+
+@query(f"""with recursive r as materialized ({_UNITS}), f as (select conv_id, n, 0 as chunk, text as t, case when alone then 61 else {sql.tokens('text')} end as size from r where n = 1
+      union all select r.conv_id, r.n, case when fits then chunk else chunk + 1 end, case when fits then t || chr(10) || chr(10) || r.text else r.text end, case when fits then size else 0 end + own
+        from (select f.*, r.text, r.n as rn, case when r.alone then 61 else {sql.tokens('r.text')} end as own, size + case when r.alone then 61 else {sql.tokens('r.text')} end <= 60 as fits from f join r on r.conv_id = f.conv_id and r.n = f.n + 1) x join r on r.conv_id = x.conv_id and r.n = x.rn)
+    select conv_id, chunk::int as chunk, {sql.tokens('arg_max(t, n)')} as tokens, md5(arg_max(t, n)) as digest from f group by conv_id, chunk""")
 def paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunking.paragraph_chunks(markdown(spark, sf_dir), 60, ["conv_id"])
     return found.select("conv_id", "chunk", "tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+_JOINT = sql.tokens("t || chr(10) || chr(10) || r.text")
+
+
+@query(sql.folded(_SECTIONS, f"({_JOINT} <= 120 and ({sql.tokens('l')} < 40 or {sql.tokens('r.text')} < 40))", "arg_min(title, n)"))
 def merge_small_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunking.merge_small(chunking.sections(markdown(spark, sf_dir), "conv_id"), 40, "conv_id")
     return found.select("conv_id", "section", "title", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(sql.folded(_SECTIONS, f"{_JOINT} <= 120", "(case when count(*) = 1 then arg_min(title, n) else arg_min(title, n) || ' (+' || (count(*) - 1) || ' sez.)' end)[1:80]"))
 def coalesce_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunking.coalesce_chunks(chunking.sections(markdown(spark, sf_dir), "conv_id"), 120, "conv_id")
     return found.select("conv_id", "section", "title", F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -62,3 +62,12 @@ def semantic(most: int, least: int) -> str:
         arg_max(kind, section) filter (where kind in ('code_fence', 'table')) as lone from fold join sections using (conv_id, section) group by conv_id, chunk),
     chunks as (select conv_id, chunk, {stripped("case when chunk > 0 and first <> '' then '[Contesto: ' || first || ']' || chr(10) || chr(10) || body else body end")} as text,
         coalesce(lead(first) over (partition by conv_id order by chunk), last_own) as heading, coalesce(last_value(lone ignore nulls) over (partition by conv_id order by chunk), 'paragraph') as boundary, has_table from joined)"""
+
+
+def folded(source: str, most: str, label: str) -> str:
+    """Rows (conv_id, n from 1, title, text) folded: a row joins the group before it where `most` holds of the group's text t,
+    its last member's text l and the row's own; a query of conv_id, section, title, digest."""
+    return f"""with recursive r as materialized ({source}),
+    f as (select conv_id, n, 0 as g, text as t, text as l from r where n = 1 union all select r.conv_id, r.n, case when {most} then g else g + 1 end, case when {most} then t || chr(10) || chr(10) || r.text else r.text end, r.text
+        from f join r on r.conv_id = f.conv_id and r.n = f.n + 1)
+    select conv_id, g::int as section, {label} as title, md5(arg_max(t, n)) as digest from f join r using (conv_id, n) group by conv_id, g"""

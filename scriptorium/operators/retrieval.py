@@ -17,23 +17,24 @@ BLOCK = 4_096
 ROWS = 2_048
 
 
-def _best_of(names: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The k best of one step's candidates for each query, ranked as the whole is."""
+def _better(best: tuple | None, names: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names, scores) of the k best candidates of each query, from those so far and one step's more; ranked as the whole is."""
     norms = np.linalg.norm(x, axis=1)
     scores = np.where(norms[None, :] > 0, q @ x.T / np.where(norms == 0, 1, norms)[None, :], -np.inf)
     scores[own[:, None] == names[None, :]] = -np.inf
     scores[~q.any(axis=1)] = -np.inf
-    best = np.lexsort((np.broadcast_to(names, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-    values = np.take_along_axis(scores, best, axis=1)
-    i, j = np.nonzero(values >= least)
-    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[best[i, j]]), pa.array(values[i, j])], names=["query_id", "vec_id", "score"])
+    ids = np.broadcast_to(names, scores.shape)
+    if best is not None:
+        ids, scores = np.concatenate([best[0], ids], axis=1), np.concatenate([best[1], scores], axis=1)
+    order = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
 def vector_topk(table: DataFrame, is_query: Column, k: int = 12, least: float = -1.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the highest cosine from `least` on, without the query's own.
 
     Queries come in blocks of a fixed size, broadcast one after another; candidates stay where they are, and a task
-    hands on k rows for each query and step. Scores are ranked rounded to nine places, ties by the smaller id. Rows
+    hands on k rows for each query. Scores are ranked rounded to nine places, ties by the smaller id. Rows
     without id or vector, of norm 0, or with a null component take no part; vectors of another length than the query's
     are no hits of it.
     """
@@ -52,13 +53,17 @@ def vector_topk(table: DataFrame, is_query: Column, k: int = 12, least: float =
         shared = table.sparkSession.sparkContext.broadcast(unit)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple] = {}
             for batch in batches:
                 sizes = np.asarray(batch.column("v").value_lengths())
                 for n, (own, q) in shared.value.items():
                     fit = batch.filter(pa.array(sizes == n))
                     for at in range(0, fit.num_rows, ROWS):
                         part = fit.slice(at, ROWS)
-                        yield from _best_of(np.asarray(part.column("vec_id")), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n), own, q, k, least)
+                        best[n] = _better(best.get(n), np.asarray(part.column("vec_id")), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n), own, q, k)
+            for n, (ids, scores) in best.items():
+                i, j = np.nonzero(scores >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][i]), pa.array(ids[i, j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
         hits = rows.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

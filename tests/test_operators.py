@@ -229,3 +229,18 @@ def test_queries_of_near_pairs_match_brute_force_with_copies(spark, tmp_path):
             kept.append(i)
     got = dedup_queries.greedy_dedup(spark, str(tmp_path)).collect()
     assert len(got) == len(norm) and {r["id"]: r["kept"] for r in got} == {i: i in kept for i in norm}
+
+
+def test_classes_of_signatures_stand_for_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3)]
+    texts = base + [base[0], base[0].upper() + "  ", base[1] + " x", base[2][:-1], "", "z"] + [base[0]] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, members = dedup.near_classes(docs)
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in pairs.collect()}
+    signs = [signature(" ".join(t.lower().split())) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = sum(x == y for x, y in zip(signs[a], signs[b])) / 128 >= 0.95
+            assert alike == (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in linked)

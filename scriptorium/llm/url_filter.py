@@ -74,26 +74,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
     What hosts without links would pass on goes back to the seeds, so ranks sum to 1. A round is one join on the linking
     host and one sum for each linked one, written to the checkpoint folder. Rounds go on until ranks change by less than
-    the tolerance, which takes log(tolerance / 2) / log(damping) of them and one more at most, and until all hosts that
+    the tolerance, which takes log(tolerance / 2) / log(damping) of them and a few more at most, and until all hosts that
     links lead to are reached, however far; `rounds` ends them earlier.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    rank = seeds = cut(seeds.select("host", F.col("mass").alias("rank")))
-    if seeds.isEmpty() or shares.isEmpty():
-        return rank
+    zero, rank = F.lit(0.0), lambda back: F.col("flow") + F.col("mass") * F.lit(back)
+    # a host's rank is what flows to it and its mass times what goes back
+    state, back = cut(seeds.select("host", zero.alias("flow"), "mass")), 1.0
+    if state.isEmpty() or shares.isEmpty():
+        return state.select("host", rank(back).alias("rank"))
     for _ in itertools.count() if rounds is None else range(rounds):
-        flow = shares.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("rank"))
-        flow = cut(flow.select(F.col("dst").alias("host"), "rank"))
-        back = 1 - (flow.agg(F.sum("rank").alias("m")).first()["m"] or 0.0)
-        after = cut(flow.unionByName(seeds.select("host", (F.col("rank") * back).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank")))
-        both = after.withColumn("known", F.lit(0)).unionByName(rank.select("host", (-F.col("rank")).alias("rank"), F.lit(1).alias("known")))
-        both = both.groupBy("host").agg(F.sum("rank").alias("change"), F.max("known").alias("known"))
-        moved = both.agg(F.sum(F.abs("change")).alias("change"), F.count_if(F.col("known") == 0).alias("new")).first()
-        rank = after
-        if moved["change"] < tolerance and not moved["new"]:
+        flow = shares.join(state.select("host", rank(back).alias("rank")), F.col("src") == F.col("host")).groupBy("dst").agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("flow"))
+        rows = flow.select(F.col("dst").alias("host"), "flow", zero.alias("mass"), zero.alias("old"), F.lit(0).alias("known"))
+        rows = rows.unionByName(state.select("host", zero.alias("flow"), "mass", rank(back).alias("old"), F.lit(1).alias("known")))
+        after = cut(rows.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("flow", "mass", "old")], F.max("known").alias("known")))
+        moved = after.agg(F.sum("flow").alias("flow"), F.sum(F.abs(rank(back) - F.col("old"))).alias("change"), F.count_if(F.col("known") == 0).alias("new")).first()
+        before, back, state = back, 1 - moved["flow"], after.select("host", "flow", "mass")
+        if moved["change"] + abs(back - before) < tolerance and not moved["new"]:
             break
-    return rank
+    return state.select("host", rank(back).alias("rank"))
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, block_above: float = BLOCK_ABOVE) -> DataFrame:

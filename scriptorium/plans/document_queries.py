@@ -89,12 +89,15 @@ def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.document_keys(load(spark, sf_dir, "pages"), [F.col("url")])
 
 
-@query("""select o_orderkey, case when o_orderstatus = 'F' then 'failed' else 'processing' end as status, case when o_orderstatus = 'F' then 'error ' || o_orderkey end as error,
-    case when o_orderstatus = 'F' then 0 else o_orderkey % 9 end as resume from orders""")
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'failed' when n is null then 'pending' else 'processing' end as status, case when o_orderstatus = 'F' then repeat('error ' || o_orderkey || ' ', 60)[:500] end as error,
+    case when o_orderstatus <> 'F' and n is not null then n else 0 end as resume from orders left join (select l_orderkey, count(*) as n from lineitem where l_linenumber > 2 group by l_orderkey) on l_orderkey = o_orderkey""")
 def failed_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit("processing").alias("status"))
-    marked = state.failed(rows, F.col("o_orderstatus") == "F", F.concat(F.lit("error "), F.col("o_orderkey").cast("string")))
-    return marked.select("o_orderkey", "status", "error", state.resume_index(F.col("status"), F.col("o_orderkey") % 9).alias("resume"))
+    """Orders with their later lines as chunks that are done; some fail with a long message."""
+    done = load(spark, sf_dir, "lineitem").where("l_linenumber > 2").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    rows = load(spark, sf_dir, "orders").join(done, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "o_orderstatus", "n", F.when(F.col("n").isNull(), "pending").otherwise("processing").alias("status"))
+    message = F.repeat(F.concat(F.lit("error "), F.col("o_orderkey").cast("string"), F.lit(" ")), F.lit(60))
+    marked = state.failed(rows, F.col("o_orderstatus") == "F", message)
+    return marked.select("o_orderkey", "status", "error", state.resume_index(F.col("status"), F.col("n")).alias("resume"))
 
 
 @query("select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")

@@ -75,10 +75,12 @@ def rolling_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rolling_facts(rows, "conv_id", ["turn"]).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
-@query("""select conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') as roles from conversations group by conv_id""")
+@query("""select conv_id, array_to_string(list_concat(o, list_filter(n, lambda x: not list_contains(o, x))), ',') as roles from (select conv_id, list_sort(list_distinct(coalesce(list(role) filter (where turn % 2 = 0), []))) as o, list_sort(list_distinct(coalesce(list(role) filter (where turn % 2 = 1), []))) as n from conversations group by conv_id)""")
 def rolling_structured_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.when(F.col("turn") % 2 == 0, F.col("role"))).alias("old"), F.collect_set(F.when(F.col("turn") % 2 == 1, F.col("role"))).alias("new"))
-    return rows.select("conv_id", F.array_join(F.array_sort(state.merged_buckets(F.col("old"), F.col("new"))), ",").alias("roles"))
+    """Roles of even turns, then those of odd turns that aren't there yet."""
+    of = lambda k, name: F.array_sort(F.collect_set(F.when(F.col("turn") % 2 == k, F.col("role")))).alias(name)
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(of(0, "old"), of(1, "new"))
+    return rows.select("conv_id", F.array_join(state.merged_buckets(F.col("old"), F.col("new")), ",").alias("roles"))
 
 
 @query("""select coalesce(d.doc_id, m.doc_id) as doc_id, coalesce(case when quality = 1 then 'good' end, lang) as lang, coalesce(toxic, -1) as toxic
@@ -92,9 +94,12 @@ def map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
 
 
-@query(f"select unnest({workflows.CATALOG!r}) as name, unnest(range({len(workflows.CATALOG)}))::int as position")
+@query(f"select name, position, count(user_id) as n_events, count(distinct user_id) as n_users from (select unnest({workflows.CATALOG!r}) as name, unnest(range({len(workflows.CATALOG)}))::int as position) left join events on event_id % 11 = position group by name, position")
 def workflow_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(workflows.CATALOG)), "position int, name string").select("name", "position")
+    """The workflows with the events and users that ask for each."""
+    names = spark.createDataFrame(list(enumerate(workflows.CATALOG)), "position int, name string")
+    asked = load(spark, sf_dir, "events").groupBy((F.col("event_id") % 11).cast("int").alias("position")).agg(F.count("user_id").alias("n_events"), F.count_distinct("user_id").alias("n_users"))
+    return names.join(asked, "position", "left").fillna(0, ["n_events", "n_users"]).select("name", "position", "n_events", "n_users")
 
 
 @query(f"select doc_id, lang, md5({sql.normalised('text')}) as digest, {sql.tokens("coalesce(text, '')")} as tokens from documents")

@@ -11,6 +11,8 @@ from scriptorium.functions.text import is_canon, match_name
 from scriptorium.operators.state import queue
 
 NO_TIER = 99
+#: Code points by which the ends of words are looked up.
+HEAD = 4
 #: Fixed value: file types that a remote store takes.
 REMOTE_TYPES = [".md", ".markdown", ".txt"]
 
@@ -103,26 +105,26 @@ def uploaded_entry(raw: Column) -> Column:
 def in_store(files: DataFrame, keys: DataFrame, rel: str = "rel") -> DataFrame:
     """The files (rel) that a store's keys name: by the same key, or a key that contains rel, its last part or its stem.
 
-    Equal keys are joined by hash. Containment is a join on what a key is made of: a key is cut into all its runs of
-    whole parts, and the names of the files are looked up among them; a name inside of a part is looked for only with
-    the keys that share a word with it. So no pair of a file and an unrelated key is ever made.
+    A name that stands in a key leaves its words there, the first perhaps as the end of a longer word and the last as the
+    start of one. So each file asks by the word of its stem that the fewest files have, for the ends of the keys' words
+    that begin with it; only those pairs are compared. A file without any word in its stem is looked up as a whole.
     """
     norm = lambda x: F.replace(x, F.lit("\\"), F.lit("/"))
-    words = lambda x: F.array_distinct(F.filter(F.split(match_name(x), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    words = lambda x: F.array_distinct(F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     tail = F.element_at(F.split(norm(F.col(rel)), "/"), -1)
     stem = match_name(F.regexp_replace(tail, r"(?<=.)\.[^.]*$", ""))
-    asked = files.select(rel, norm(F.col(rel)).alias("whole"), tail.alias("tail"), stem.alias("stem"))
-    # the longest word of a stem stands inside of some word of each key that contains the stem
-    probe = F.element_at(F.array_sort(F.transform(words(F.col("tail")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    asked = asked.withColumn("w", F.coalesce(probe, F.lit("")))
+    asked = files.select(rel, norm(F.col(rel)).alias("whole"), tail.alias("tail"), stem.alias("stem")).distinct()
+    own = asked.select(rel, F.explode(words(F.col("stem"))).alias("w"))
+    common = own.groupBy("w").agg(F.count("*").alias("n"))
+    rarest = own.join(common, "w").groupBy(rel).agg(F.min(F.struct("n", (-F.length("w")).alias("l"), "w")).alias("x")).select(rel, "x.w")
     told = keys.select(norm(F.col("key")).alias("key")).distinct()
-    suffixes = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.length(x)))
-    tokens = told.withColumn("v", F.explode(words(F.col("key")))).withColumn("suffix", F.explode(suffixes(F.col("v"))))
-    heads = tokens.select("key", "suffix", F.substring("suffix", 1, 3).alias("h"))
-    found = asked.withColumn("h", F.substring("w", 1, 3)).join(heads, "h").where(F.startswith("suffix", F.col("w")))
-    fits = F.contains("key", F.col("whole")) | F.contains("key", F.col("tail")) | ((F.col("stem") != "") & F.contains(match_name(F.col("key")), F.col("stem")))
-    bare = asked.where("w = ''").join(told, F.col("whole") == F.col("key")).select(rel)
-    return found.where(fits).select(rel).unionByName(bare).distinct()
+    ends = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.length(x)))
+    tokens = told.select("key", F.explode(words(match_name(F.col("key")))).alias("v")).select("key", F.explode(ends(F.col("v"))).alias("end"))
+    heads = tokens.select("key", "end", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("end"))), lambda n: F.substring("end", F.lit(1), n)))).alias("h"))
+    found = asked.join(rarest, rel).withColumn("h", F.substring("w", 1, HEAD)).join(heads, "h").where(F.startswith("end", F.col("w")))
+    fits = F.contains("key", F.col("whole")) | F.contains("key", F.col("tail")) | F.contains(match_name(F.col("key")), F.col("stem"))
+    bare = asked.join(rarest, rel, "left_anti").join(told, F.col("whole") == F.col("key"))
+    return found.where(fits).select(rel).unionByName(bare.select(rel)).distinct()
 
 
 def remote_delta(files: DataFrame, cache: DataFrame, keys: DataFrame, force: bool = False, manual: bool = True) -> DataFrame:

@@ -144,8 +144,8 @@ def test_files_are_picked_by_folder_glob_and_key(spark, tmp_path):
 
 
 def test_store_keys_contain_names(spark):
-    rels = ["src/R&D notes.md", "a/b/plan-1.txt", "x/none.md", "c.md", "deep/ünï çode.md", "q/___.md"]
-    keys = ["custom\\R&D notes.md", "store/my_PLAN_1_v2.json", "abc.md", "zz/Ünï-Çode.md-77.json", "q/___.md"]
+    rels = ["src/R&D notes.md", "a/b/plan-1.txt", "x/none.md", "c.md", "deep/ünï çode.md", "q/___.md", "k/doc 17.md", "k/doc 1.md", "k/n 7.md"]
+    keys = ["custom\\R&D notes.md", "store/my_PLAN_1_v2.json", "abc.md", "zz/Ünï-Çode.md-77.json", "q/___.md", "m/xdoc_17b.json"]
     norm = lambda s: s.lower().replace("\\", "/").replace("&", "and").replace(" ", "_").replace("-", "_")
     expected = set()
     for rel in rels:
@@ -154,7 +154,7 @@ def test_store_keys_contain_names(spark):
         if any(rel in k.replace("\\", "/") or tail in k.replace("\\", "/") or (stem and stem in norm(k)) for k in keys):
             expected.add(rel)
     found = ingestion.in_store(spark.createDataFrame([(r,) for r in rels], "rel string"), spark.createDataFrame([(k,) for k in keys], "key string"))
-    assert {r["rel"] for r in found.collect()} == expected and len(expected) == 5
+    assert {r["rel"] for r in found.collect()} == expected and len(expected) == 7
 
 
 def test_forced_delta_forgets_the_cache_but_not_the_store(spark):

@@ -62,9 +62,17 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Hint a broadcast only if a count shows that `df` has at most `most_rows` rows; else Spark shuffles it (AQE splits hot keys)."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes of strings and binaries that a broadcast side may have, however few its rows are.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if `df` is seen to have at most so many rows, and bytes in cells of any length; else Spark
+    shuffles it, and AQE splits hot keys."""
+    wide = [c for c, t in df.dtypes if t in ("string", "binary")]
+    size = sum((F.coalesce(F.octet_length(q(c)), F.lit(0)).cast("long") for c in wide), F.lit(0).cast("long"))
+    seen = df.limit(most_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= most_rows and (seen["bytes"] or 0) <= most_bytes else df
 
 
 def text_of(name: str = "text") -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The patterns of this module that results depend on.
 #: All white space of Unicode, with the four information separators.
 WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: What may not stand in a file name, and what may not stand in a slug.
 NONWORD = r"[^\p{L}\p{N}_.\-]"
 NONSLUG = r"[^\p{L}\p{N}_\s\-]"
 CHARS_PER_TOKEN = 4
+#: Fixed value: where one sentence ends and the next begins.
 SENTENCE_END = r"(?U)(?<=[.!?…])\s+(?=[A-ZÀ-ÿ0-9\"'`(])"
 
 
@@ -139,10 +141,15 @@ def missing_sections(report: Column, stems: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(s) for s in stems]), lambda s: ~F.contains(F.lower(report), s))
 
 
+#: Lines of a front matter that make a text canonical, and keys under which a reply or a JSON text has its text.
+CANON = [r"(?im)^category:\s*SOT\b", r"(?im)^status:\s*AUTHORITATIVE"]
+TEXT_KEYS, REPLY_KEYS = ("content", "body", "text", "markdown"), ("response", "content", "text", "output")
+
+
 def is_canon(text: Column) -> Column:
     """A front matter that names the text canonical, within its first 512 bytes."""
     head = F.make_valid_utf8(F.substring(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 1, 512).cast("string"))
-    return head.rlike(r"(?im)^category:\s*SOT\b") | head.rlike(r"(?im)^status:\s*AUTHORITATIVE")
+    return head.rlike(CANON[0]) | head.rlike(CANON[1])
 
 
 def front_matter_value(text: Column, key: str) -> Column:
@@ -150,7 +157,7 @@ def front_matter_value(text: Column, key: str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*([^\n]*)$", 1)), r'^"|"$', "")
 
 
-def first_string(raw: Column, keys=("content", "body", "text", "markdown")) -> Column:
+def first_string(raw: Column, keys=TEXT_KEYS) -> Column:
     """The first of some keys of a JSON object whose value is a string, collapsed; null if there is none."""
     value = F.try_parse_json(raw)
     found = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in keys]
@@ -207,7 +214,7 @@ def answer_text(raw: Column) -> Column:
     value = F.try_parse_json(raw)
     blocks = F.filter(F.from_json(raw, "output array<struct<type string, content string>>")["output"], lambda b: b["type"] == "message")
     joined = F.array_join(F.transform(blocks, lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
-    keys = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in ("response", "content", "text", "output")]
+    keys = [F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in REPLY_KEYS]
     return F.coalesce(*map(strip, [joined, *keys]), F.lit(""))
 
 

@@ -12,7 +12,7 @@ from scriptorium.functions.text import SENTENCE_END, collapsed, tokens
 BLANK_LINE = r"\n\s*\n"
 
 
-def greedy_groups(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
+def greedy_starts(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
     """The places (from 0) at which groups begin: an item joins the group before it if joins(state, size) holds.
 
     The state has total and last, the sizes of the group so far and of its last item. Sizes are made once; the fold
@@ -27,6 +27,12 @@ def greedy_groups(items: Column, size: Callable[[Column], Column], joins: Callab
     return F.aggregate(F.transform(items, lambda x: size(x).cast("long")), start, step, lambda a: a["out"])
 
 
+def greedy_groups(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
+    """For each item the number of its group, from 0."""
+    own = slices(items, greedy_starts(items, size, joins))
+    return F.flatten(F.transform(own, lambda xs, k: F.transform(xs, lambda x: k)))
+
+
 def slices(items: Column, starts: Column) -> Column:
     """The items of each group, from where it begins to where the next does."""
     to = lambda s, xs: F.transform(s, lambda at, k: F.slice(xs, at + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - at))
@@ -52,7 +58,7 @@ def packed_units(units: DataFrame, max_tokens: int, keys: list[str], unit: str =
 
     A unit of more tokens is a chunk of its own. The packing of a document is one fold inside its row; nothing is shuffled.
     """
-    groups = greedy_groups(F.col(unit), tokens, lambda a, n: a["total"] + n <= max_tokens)
+    groups = greedy_starts(F.col(unit), tokens, lambda a, n: a["total"] + n <= max_tokens)
     chunks = units.select(*keys, F.posexplode(_grouped(F.col(unit), groups, glue)).alias("chunk", "text"))
     return chunks.withColumn("tokens", tokens(F.col("text")))
 
@@ -77,7 +83,7 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def _folded(rows: DataFrame, key: str, order: str, joins: Callable[[Column, Column], Column], label: Callable[[Column], Column]) -> DataFrame:
     """Neighbouring rows of a key (its sections, so as many as a document holds) joined by a fold over their lengths."""
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "title", "text"))).alias("xs"))
-    starts = greedy_groups(F.col("xs"), lambda x: F.length(x["text"]) + 2, joins)
+    starts = greedy_starts(F.col("xs"), lambda x: F.length(x["text"]) + 2, joins)
     again = lists.select(key, F.posexplode(slices(F.col("xs"), starts)).alias(order, "xs"))
     return again.select(key, order, label(F.col("xs")).alias("title"), F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("text"))
 
@@ -108,7 +114,7 @@ def paragraph_chunks(rows: DataFrame, max_tokens: int, keys: list[str], text: st
     units = F.flatten(F.transform(paragraphs(F.col(text)), lambda p: F.when(tokens(p) > max_tokens, sliced(p)).otherwise(F.array(one(p, False)))))
     split = rows.select(*keys, units.alias("units"))
     size = lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"]))
-    groups = greedy_groups(F.col("units"), size, lambda a, n: a["total"] + n <= max_tokens)
+    groups = greedy_starts(F.col("units"), size, lambda a, n: a["total"] + n <= max_tokens)
     chunks = split.select(*keys, F.posexplode(_grouped(F.transform("units", lambda u: u["x"]), groups, "\n\n")).alias("chunk", "text"))
     return chunks.withColumn("tokens", tokens(F.col("text")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokens
-from scriptorium.operators.chunking import coalesce_chunks, fence_spans, greedy_groups, merge_small, paragraphs, sections, sentences, slices
+from scriptorium.operators.chunking import coalesce_chunks, fence_spans, greedy_starts, merge_small, paragraphs, sections, sentences, slices
 from scriptorium.operators.semantic import stripped
 
 OVERLAP = 400
@@ -20,7 +20,7 @@ BOUNDARY = r"(?=\n)|(?<=\n\s{0,200}\n)(?!\s*\n)|(?<=[.!?…]\s{1,200})(?=[A-ZÀ-
 
 def _packed(units: Column, max_tokens: int, label: Column, first_bare: bool) -> Column:
     """Units packed while their tokens fit together, as structs of label and text; parts are numbered in their order."""
-    starts = greedy_groups(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
+    starts = greedy_starts(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
     groups = slices(units, starts)
     alone = lambda g: g[0]["alone"]
     number = lambda k: F.size(F.filter(F.slice(groups, 1, k), lambda g: ~alone(g)))
@@ -44,13 +44,13 @@ def at_safe_boundaries(text: Column, max_tokens: int, label: Column) -> Column:
     The sentences of a long paragraph aren't joined with its neighbours; a sentence longer than the budget stays whole.
     """
     def chunked(p: Column, long: Column) -> Column:
-        starts = greedy_groups(sentences(p), tokens, lambda a, n: a["total"] + n <= max_tokens)
+        starts = greedy_starts(sentences(p), tokens, lambda a, n: a["total"] + n <= max_tokens)
         parts = F.transform(slices(sentences(p), starts), lambda xs: F.array_join(xs, "\n\n"))
         many = F.transform(parts, lambda x, k: F.struct(x.alias("x"), F.lit(True).alias("alone"), F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit(" (part "), k.cast("string"), F.lit(")"))).alias("tail")))
         return F.when(long, many).otherwise(F.array(F.struct(p.alias("x"), F.lit(False).alias("alone"), F.lit("").alias("tail"))))
 
     units = F.flatten(F.transform(paragraphs(text), lambda p: chunked(p, tokens(p) > max_tokens)))
-    starts = greedy_groups(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
+    starts = greedy_starts(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
     groups = slices(units, starts)
     number = lambda k: F.size(F.filter(F.slice(groups, 1, k), lambda g: ~g[0]["alone"]))
     tail = lambda g, k: F.when(g[0]["alone"], g[0]["tail"]).when(number(k) == 0, F.lit("")).otherwise(F.concat(F.lit(" (part "), number(k).cast("string"), F.lit(")")))

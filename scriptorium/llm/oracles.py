@@ -66,4 +66,12 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::do
 select query_id, rank, vec_id, score from (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score,
     row_number() over (partition by a.vec_id order by list_inner_product(a.v, b.v) desc, b.vec_id)::int as rank from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id) where rank <= 10"""
 
-ORACLES = {"op1_lm_scoring": LM_SCORING, "op4_quality_rules": QUALITY_RULES, "op5_mixing": MIXING, "op7_chat_format": CHAT_FORMAT, "op9_vector_search": VECTOR_SEARCH}
+FILL_MIDDLE = """
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+k as (select doc_id, text, t, len(t) as n, ('0x' || h[1:8])::bigint % (len(t) + 1) as x, ('0x' || h[9:16])::bigint % (len(t) + 1) as y, ('0x' || h[17:24])::bigint % 100 as z, ('0x' || h[25:32])::bigint % 100 as w from d),
+p as (select doc_id, text, n, array_to_string(t[1:least(x, y)], '') as prefix, array_to_string(t[least(x, y) + 1:greatest(x, y)], '') as middle, array_to_string(t[greatest(x, y) + 1:], '') as suffix,
+    case when text = '' or regexp_matches(text, '<[PSM]>') or z >= 90 then 'plain' when w < 20 then 'spm' else 'psm' end as form from k)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+ORACLES = {"op1_lm_scoring": LM_SCORING, "op4_quality_rules": QUALITY_RULES, "op5_mixing": MIXING, "op7_chat_format": CHAT_FORMAT, "op9_vector_search": VECTOR_SEARCH, "op12_fill_middle": FILL_MIDDLE}

@@ -56,4 +56,4 @@ def test_other_columns_stay_and_clashing_ones_are_replaced(spark):
 def test_long_texts_take_linear_time():
     text = "word, " * 700_000
     n, low, high = fill_middle.cuts(text, 1_000_001, 2_000_003)
-    assert n == 3 * 700_000 and (low, high) == (6 * 333_333 + 5, 6 * 666_667 + 5) or text[low:high]
+    assert n == 3 * 700_000 and (low, high) == (6 * 333_333 + 5, 6 * 666_667 + 5)

@@ -66,6 +66,15 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::do
 select query_id, rank, vec_id, score from (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score,
     row_number() over (partition by a.vec_id order by list_inner_product(a.v, b.v) desc, b.vec_id)::int as rank from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id) where rank <= 10"""
 
+VECTOR_DEDUP = """
+with recursive v as (select vec_id, embedding::double[] as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+n as (select a, count(*) as n from l group by a), c as (select a, min(b) as b from r group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, b)::bigint as component_id, coalesce(b >= vec_id, true) as kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id"""
+
 FILL_MIDDLE = """
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
 k as (select doc_id, text, t, len(t) as n, ('0x' || h[1:8])::bigint % (len(t) + 1) as x, ('0x' || h[9:16])::bigint % (len(t) + 1) as y, ('0x' || h[17:24])::bigint % 100 as z, ('0x' || h[25:32])::bigint % 100 as w from d),
@@ -74,4 +83,4 @@ p as (select doc_id, text, n, array_to_string(t[1:least(x, y)], '') as prefix, a
 select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
     sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
 
-ORACLES = {"op1_lm_scoring": LM_SCORING, "op4_quality_rules": QUALITY_RULES, "op5_mixing": MIXING, "op7_chat_format": CHAT_FORMAT, "op9_vector_search": VECTOR_SEARCH, "op12_fill_middle": FILL_MIDDLE}
+ORACLES = {"op1_lm_scoring": LM_SCORING, "op4_quality_rules": QUALITY_RULES, "op5_mixing": MIXING, "op7_chat_format": CHAT_FORMAT, "op9_vector_search": VECTOR_SEARCH, "op11_vector_dedup": VECTOR_DEDUP, "op12_fill_middle": FILL_MIDDLE}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, fill_middle, lm_scoring, mixing, ngram_join, quality_rules, site_quality, toxicity, url_filter, vector_search
+from scriptorium.llm import byte_bpe, chat_format, fill_middle, lm_scoring, mixing, ngram_join, quality_rules, site_quality, toxicity, url_filter, vector_dedup, vector_search
 from scriptorium.llm.common import cut, load
 from scriptorium.llm.oracles import ORACLES  # noqa: F401
 
@@ -83,6 +83,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_ids(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@query
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+    return found.select(F.col("row.vec_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 @query
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(load(spark, sf_dir, "documents"))

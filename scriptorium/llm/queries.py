@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat_format, fill_middle, lm_scoring, mixing, ngram_join, quality_rules, site_quality, toxicity, url_filter, vector_dedup, vector_search
+from scriptorium.llm import byte_bpe, chat_format, fill_middle, lm_scoring, mixing, ngram_join, quality_rules, site_quality, token_alignment, toxicity, url_filter, vector_dedup, vector_search
 from scriptorium.llm.common import cut, load
 from scriptorium.llm.oracles import ORACLES  # noqa: F401
 
@@ -27,6 +27,12 @@ def vocabulary() -> dict[bytes, int]:
     return byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
 
 
+def aligned_files() -> tuple[str, bytes, str]:
+    """The contents of both tokenizers' files, and the first one's pattern."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return a.read(), b.read(), public_tokenizers.PATTERN
+
+
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(load(spark, sf_dir, "documents"))
@@ -92,3 +98,8 @@ def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.measure(load(spark, sf_dir, "documents"), *aligned_files())

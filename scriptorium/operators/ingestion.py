@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import is_canon, match_name
+from scriptorium.operators.dedup import saved
 from scriptorium.operators.state import queue
 
 NO_TIER = 99
@@ -66,13 +67,53 @@ def decisions(files: DataFrame, manifest: DataFrame, similar: DataFrame, complet
 
 
 def registered_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """Entries (place, name, md5, status) with new ones (name, md5, status) put in: each takes the place of the first
-    entry of its name or its digest, else it is added. Two passes of joins, by name and by digest, then the least place."""
-    by_name = new.join(entries.select("name", F.col("place").alias("p")), "name", "left")
-    by_md5 = new.join(entries.select("md5", F.col("place").alias("p")), "md5", "left").select(*by_name.columns)
-    taken = by_name.unionByName(by_md5).groupBy("name", "md5", "status").agg(F.min("p").alias("place"))
-    stay = entries.join(taken.select("place").where("place is not null"), "place", "left_anti")
-    return stay.select("place", "name", "md5", "status").unionByName(taken.select("place", "name", "md5", "status"))
+    """Entries (place, name, md5, status) after new ones (name, md5, status) have been put in, one by one in order of name.
+
+    Each renews the first entry that has its name or its digest at that time, else it is added after the last place, by
+    its own order. A file waits only for earlier ones that could change what it finds: those with a name or digest of
+    its own or of the first entries that it matches. A round settles all that wait for none, so rounds grow with the longest chain of
+    such files, not with their number; files of one digest whose names nothing else has follow each other at once and
+    are one link. Repeated rows of `new` are one.
+    """
+    order = ["name", "md5", "status"]
+    files = ordered(new.select(*order).distinct(), order, "ord")
+    last = entries.agg(F.max("place").alias("p")).first()["p"]
+    base = -1 if last is None else last
+    now = saved(entries.select("place", "name", "md5", "status"))
+    taken = now.select("name").distinct().withColumn("taken", F.lit(True))
+    names = files.groupBy("name").agg((F.count("*") > 1).alias("twice"))
+    marked = files.join(taken, "name", "left").join(names, "name").withColumn("own", F.col("taken").isNotNull() | F.col("twice"))
+    # runs of files of a digest that only their digest can match: the first says where, the last says what
+    by_digest = Window.partitionBy("md5").orderBy("ord")
+    run = F.count_if("own").over(by_digest.rowsBetween(Window.unboundedPreceding, 0))
+    links = marked.withColumn("run", F.when(F.col("own"), F.concat(F.lit("o"), F.col("ord").cast("string"))).otherwise(F.concat(F.lit("r"), run.cast("string"))))
+    links = links.groupBy("md5", "run").agg(F.max_by(F.struct("name", "status"), "ord").alias("x"), F.min("ord").alias("ord"))
+    left = saved(links.select("ord", F.col("x.name").alias("name"), "md5", F.col("x.status").alias("status")))
+    while not left.isEmpty():
+        first_name = now.groupBy("name").agg(F.min("place").alias("n_place"))
+        first_md5 = now.groupBy("md5").agg(F.min("place").alias("d_place"))
+        asked = left.join(first_name, "name", "left").join(first_md5, "md5", "left")
+        keys = asked.select("ord", F.explode(F.array(F.struct(F.lit("n").alias("t"), F.col("name").alias("k")), F.struct(F.lit("d").alias("t"), F.col("md5").alias("k")))).alias("x")).select("ord", "x.t", "x.k")
+        places = asked.select("ord", F.explode(F.array_compact(F.array("n_place", "d_place"))).alias("place")).distinct().join(now, "place")
+        keys = keys.unionByName(places.select("ord", F.lit("n").alias("t"), F.col("name").alias("k"))).unionByName(places.select("ord", F.lit("d").alias("t"), F.col("md5").alias("k")))
+        earliest = left.select(F.lit("n").alias("t"), F.col("name").alias("k"), "ord").unionByName(left.select(F.lit("d").alias("t"), F.col("md5").alias("k"), "ord")).groupBy("t", "k").agg(F.min("ord").alias("first"))
+        waits = keys.join(earliest, ["t", "k"]).where("first < ord").select("ord").distinct()
+        ready = saved(asked.join(waits, "ord", "left_anti").withColumn("place", F.coalesce(F.least("n_place", "d_place"), base + F.col("ord"))).select("ord", "place", "name", "md5", "status"))
+        now = saved(now.join(ready.select("place"), "place", "left_anti").unionByName(ready.drop("ord")))
+        left = saved(left.join(ready.select("ord"), "ord", "left_anti"))
+    return now
+
+
+def ordered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`rows` numbered from 1 in their order: range partitions, a count for each, and a number inside each."""
+    parts = saved(rows.repartitionByRange(*by)).withColumn("_part", F.spark_partition_id())
+    offsets, total = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        offsets += [F.lit(part), F.lit(total)]
+        total += n
+    if not offsets:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    return parts.withColumn(name, (F.row_number().over(Window.partitionBy("_part").orderBy(*by)) + F.create_map(*offsets)[F.col("_part")]).cast("long")).drop("_part")
 
 
 def copy_plan(sources: DataFrame, there: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -107,7 +148,7 @@ def in_store(files: DataFrame, keys: DataFrame, rel: str = "rel") -> DataFrame:
 
     A name that stands in a key leaves its words there, the first perhaps as the end of a longer word and the last as the
     start of one. So each file asks by the word of its stem that the fewest files have, for the ends of the keys' words
-    that begin with it; only those pairs are compared. A file without any word in its stem is looked up as a whole.
+    that begin with it; only those pairs are compared. A stem without any word is looked up in the keys' runs between words.
     """
     norm = lambda x: F.replace(x, F.lit("\\"), F.lit("/"))
     words = lambda x: F.array_distinct(F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
@@ -123,7 +164,12 @@ def in_store(files: DataFrame, keys: DataFrame, rel: str = "rel") -> DataFrame:
     heads = tokens.select("key", "end", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("end"))), lambda n: F.substring("end", F.lit(1), n)))).alias("h"))
     found = asked.join(rarest, rel).withColumn("h", F.substring("w", 1, HEAD)).join(heads, "h").where(F.startswith("end", F.col("w")))
     fits = F.contains("key", F.col("whole")) | F.contains("key", F.col("tail")) | F.contains(match_name(F.col("key")), F.col("stem"))
-    bare = asked.join(rarest, rel, "left_anti").join(told, F.col("whole") == F.col("key"))
+    # a stem without letters and digits is in a key if it is in one of its runs of such characters, of which there are few kinds
+    bare = asked.join(rarest, rel, "left_anti")
+    gaps = told.select(F.explode(F.filter(F.split(match_name(F.col("key")), r"[\p{L}\p{N}]+"), lambda w: w != "")).alias("v")).distinct()
+    gaps = gaps.select("v", F.explode(ends(F.col("v"))).alias("end")).select("end").distinct()
+    starts = gaps.select("end", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("end"))), lambda n: F.substring("end", F.lit(1), n)))).alias("h"))
+    bare = bare.where("stem <> ''").withColumn("h", F.substring("stem", 1, HEAD)).join(starts, "h").where(F.startswith("end", F.col("stem")))
     return found.where(fits).select(rel).unionByName(bare.select(rel)).distinct()
 
 

@@ -39,11 +39,21 @@ def prompt(name: Column, context: Column, body: Column) -> Column:
     return F.concat(F.lit("## File\n"), name, F.lit("\n\n## Context\n"), context, F.lit("\n\n## Text\n"), body)
 
 
-def source_document(rel: Column, kind: Column, body: Column) -> Column:
-    """A source's text under a header with its path and type, or a note in place of an empty one."""
+def gap_prompt(canon: Column, rag: Column, name: Column, part: Column, parts: Column, label: Column, body: Column) -> Column:
+    """What a gap call asks: the canon, retrieved context if there is any, the file, which part of it this is, and the part.
+
+    Its wording is fixed: replies are written for it."""
+    found = F.when(F.trim(F.coalesce(rag, F.lit(""))) != "", F.concat(F.lit("\n\n"), rag, F.lit("\n"))).otherwise("")
+    scope = F.concat(F.lit("\n> **Ambito (chunking):** Parte **"), part.cast("string"), F.lit("/"), parts.cast("string"), F.lit("** del file (`"), label, F.lit("`). Analizza **solo** il testo sotto; altre parti = altre passate LLM.\n"))
+    end = F.lit("\n\n---\n\nReport **ricco e contestualizzato** per allegarlo a Claude/GPT e aggiornare LAST DOCS.\nRispetta la struttura del system prompt (Sintesi, GAP numerati, Azioni redazione, Handoff IA).")
+    return F.concat(F.lit("# Documentazione SOT (Source of Truth)\n\n"), canon, F.lit("\n"), found, F.lit("\n---\n\n# Documento grezzo da confrontare\n\n**File:** `"), name, F.lit("`\n"), scope, F.lit("\n"), body, end)
+
+
+def source_document(rel: Column, kind: Column, body: Column, pipeline: str = "documents") -> Column:
+    """A source's text under a header with its path, type and pipeline, or a note in place of an empty one."""
     path = F.replace(rel, F.lit("\\"), F.lit("/"))
     text = F.coalesce(F.nullif(body, F.lit("")), F.lit("_Nessun testo estratto._"))
-    head = F.concat(F.lit('---\nsource_file: "'), path, F.lit('"\nsource_ext: "'), F.lower(kind), F.lit('"\npipeline: local_doc_pipeline\n---\n\n'))
+    head = F.concat(F.lit('---\nsource_file: "'), path, F.lit('"\nsource_ext: "'), F.lower(kind), F.lit(f'"\npipeline: {pipeline}\n---\n\n'))
     return F.concat(head, F.lit("# Sorgente: "), F.element_at(F.split(path, "/"), -1), F.lit("\n\n"), text, F.lit("\n"))
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import truncated_middle
 from scriptorium.operators.dedup import saved
 
 #: Queries of one block, which is broadcast: 64 components take 2 MB.
@@ -111,6 +112,25 @@ def context_bundle(parts: Column, most: int, least_part: int = 2000, least_rest:
     return F.aggregate(parts, start, step, lambda a: F.struct(a["texts"].alias("texts"), a["total"].alias("total"), a["done"].alias("cut_off")))
 
 
+def canon_bundle(canon: DataFrame, most: int, least_part: int = 2000, least_rest: int = 500) -> str:
+    """The canon's parts (tier, rel, text) as one text of `most` code points and heads: each is cut in its middle to an equal
+    share, parts are taken in order of tier and lower(rel) while they fit, and a rest of over least_rest is cut in.
+
+    Files without text are left out and count in no share. What is taken is at most `most` parts of at most a share each,
+    so only these come together, whatever the canon's size.
+    """
+    filled = canon.where(F.length("text") > 0).select("tier", "rel", "text")
+    share = max(least_part, most // max(filled.count(), 1))
+    order = ["tier", F.lower("rel"), "rel"]
+    first = filled.withColumn("text", truncated_middle(F.col("text"), share, F.col("rel"))).orderBy(*order).limit(most + 1)
+    before = F.coalesce(F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = first.withColumn("rest", most - before).where((F.col("rest") >= F.length("text")) | (F.col("rest") > least_rest))
+    block = F.concat(F.lit("### SOT: "), F.col("rel"), F.lit("\n\n"), F.substring("text", F.lit(1), F.greatest("rest", F.lit(0)).cast("int")))
+    # a part after the first that didn't fit whole has no rest
+    joined = taken.where("rest > 0").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tier", F.lower("rel").alias("low"), "rel", block.alias("block")))), lambda x: x["block"]), "\n\n---\n\n").alias("text")).first()["text"]
+    return joined or "_Nessun documento SOT caricato._"
+
+
 def document_keys(rows: DataFrame, fields: list[Column]) -> DataFrame:
     """Distinct keys by which a store knows its documents: each filled field, and the last part of it."""
     clean = F.transform(F.array(*[f.cast("string") for f in fields]), lambda x: F.replace(x, F.lit("\\"), F.lit("/")))

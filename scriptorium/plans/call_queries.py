@@ -157,7 +157,7 @@ def rolling_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.remembered(rows, "conv_id", "turn", "text").select("conv_id", "turn", F.col("facts")[0].alias("fact"), "history")
 
 
-@query("""select page_id, md5('---' || chr(10) || 'source_file: "' || url || '"' || chr(10) || 'source_ext: ".html"' || chr(10) || 'pipeline: local_doc_pipeline' || chr(10) || '---' || chr(10) || chr(10) || '# Sorgente: ' || string_split(url, '/')[-1] || chr(10) || chr(10) || html || chr(10)) as digest,
+@query("""select page_id, md5('---' || chr(10) || 'source_file: "' || url || '"' || chr(10) || 'source_ext: ".html"' || chr(10) || 'pipeline: documents' || chr(10) || '---' || chr(10) || chr(10) || '# Sorgente: ' || string_split(url, '/')[-1] || chr(10) || chr(10) || html || chr(10)) as digest,
     regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') as stem, sha256(url)[:16] as key from pages where url is not null and html <> ''""")
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as sources: their Markdown, and the stem and digest of which a staging name is made."""
@@ -260,14 +260,14 @@ def refactored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.refactored(rows, "conv_id", "turn", "text", 100_000).select("conv_id", "answer")
 
 
-@query("""select doc_id, sha256('b' || chr(10) || chr(10) || sha256('a' || chr(10) || chr(10) || coalesce(text, ''))) as answer from documents where length(coalesce(text, '')) <= 24000""")
-def chained_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One workflow's answers are the next one's texts."""
-    docs = load(spark, sf_dir, "documents").where(F.length(F.coalesce("text", F.lit(""))) <= 24_000)
-    return workflows.chained(docs, lambda d: workflows.single_call(d, 24_000, "a"), lambda d: workflows.single_call(d, 24_000, "b")).select("doc_id", "answer")
+_SHORT = "case when length(t) <= {0} then t else t[:{0} // 2] || chr(10) || chr(10) || '_[… doc troncato: ' || (length(t) - {0}) || ' caratteri omessi …]_' || chr(10) || chr(10) || right(t, {0} // 2) end"
 
 
-_SHORT = "case when length(t) <= {0} then t else t[:{0} // 2] || chr(10) || chr(10) || '_[… doc troncato: ' || (length(t) - {0}) || ' caratteri omessi …]_' || chr(10) || chr(10) || right(t, {0} // 2) end"
+@query(f"""select doc_id, sha256('b' || chr(10) || chr(10) || sha256('a' || chr(10) || chr(10) || {_SHORT.format(24_000)})) as answer from (select doc_id, coalesce(text, '') as t from documents)""")
+def chained_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One workflow's answers are the next one's texts; long texts are cut in their middle."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return workflows.chained(docs, lambda d: workflows.single_call(d, 24_000, "a"), lambda d: workflows.single_call(d, 24_000, "b")).select("doc_id", "answer")
 
 
 @query(" union all ".join(f"select doc_id, '{w}' as workflow, sha256('{w}' || chr(10) || chr(10) || {_SHORT.format(n)}) as answer from (select doc_id, coalesce(text, '') as t from documents)" for w, n in workflows.MOST_CHARS.items()))
@@ -292,7 +292,7 @@ def analysed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's chunks against the first documents of one source as canon; a test holds it against Python."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
-    canon = docs.where("source = 'src1'").select(F.lit(1).alias("tier"), F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("part"))
+    canon = docs.where("source = 'src1'").select(F.lit(1).alias("tier"), F.col("doc_id").cast("string").alias("rel"), "text")
     found = workflows.gap_report(docs.select("doc_id", "text"), canon, 1200)
     return found.select("doc_id", "n_parts", _digest(F.col("report")).alias("digest"))
 

@@ -60,9 +60,11 @@ def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.decisions(files.select("name", "md5"), files.where("doc_id % 11 = 0").select("name", "md5"), similar, done)
 
 
-@query(f"""with f as {_NAMED}, e as (select doc_id as place, name, md5 from f where doc_id % 2 = 0), n as (select name, md5 from f where doc_id % 3 = 0),
-    p as (select n.name, n.md5, min(place) as place from n left join e on e.name = n.name or e.md5 = n.md5 group by n.name, n.md5)
-    select place, name, md5, 'completed' as status from p union all select place, name, md5, 'pending' from e where place not in (select place from p where place is not null)""")
+@query(f"""with recursive f as {_NAMED}, n as (select row_number() over (order by name, md5) as ord, name, md5 from f where doc_id % 3 = 0),
+    s as (select 0::bigint as k, (select list({{'place': doc_id, 'name': name, 'md5': md5, 'status': 'pending'}} order by doc_id) from f where doc_id % 2 = 0) as es, (select max(doc_id) from f where doc_id % 2 = 0) as base
+      union all select k + 1, case when spot is null then list_append(es, {{'place': base + k + 1, 'name': m, 'md5': d, 'status': 'completed'}}) else list_transform(es, lambda x, i: case when i = spot then {{'place': x.place, 'name': m, 'md5': d, 'status': 'completed'}} else x end) end, base
+        from (select s.k, s.es, s.base, n.name as m, n.md5 as d, list_position(list_transform(s.es, lambda x: x.name = n.name or x.md5 = n.md5), true) as spot from s join n on n.ord = s.k + 1))
+    select e.place, e.name, e.md5, e.status from (select unnest(es) as e from s where k = (select count(*) from n))""")
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are done take the place of the first entry of their name or digest."""
     files = _named(spark, sf_dir)

@@ -16,7 +16,8 @@ from scriptorium.operators.dedup import saved
 from scriptorium.operators.ingestion import batch
 from scriptorium.operators.layout import assembled, numbered_pages
 from scriptorium.operators.overlap import markdown_chunks
-from scriptorium.operators.reports import merged_parts, prompt
+from scriptorium.operators.reports import gap_prompt, merged_parts
+from scriptorium.operators.retrieval import canon_bundle
 from scriptorium.operators.semantic import raw_extract_chunks
 from scriptorium.operators.state import RESUMABLE
 from scriptorium.sources.files import code_lines
@@ -189,18 +190,22 @@ def analysed_code(files: DataFrame, complete: Complete | None = None, sections:
     return found.withColumns({"missing": missing_sections(F.coalesce("answer", F.lit("")), sections or SECTIONS), "error": F.coalesce("error", empty)})
 
 
-def gap_report(docs: DataFrame, canon: DataFrame, max_tokens: int, complete: Complete | None = None, most_canon: int = 12_000) -> DataFrame:
-    """doc_id, n_parts and report of each document (doc_id, text) against the canon (tier, rel, part).
+def gap_report(docs: DataFrame, canon: DataFrame, max_tokens: int, complete: Complete | None = None, most_canon: int = 14_000, most_raw: int = 9_000, rag: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_parts and report of each document (doc_id, text) against the canon (tier, rel, text).
 
-    A document is split into chunks; each is asked about beside the canon's parts, taken in order while they fit; the
-    answers of a document become one report. The canon's prefix has a fixed size, so it is broadcast.
+    A document is split into chunks; each is asked about beside the canon's parts, every one cut to an equal share, with
+    what a search has found for the document (rag: doc_id, context) in its first chunk; the answers become one report.
+    The canon's text has a fixed size. Documents without any text have no chunks and no report.
     """
-    before = F.sum(F.length("part")).over(Window.orderBy("tier", "rel").rowsBetween(Window.unboundedPreceding, 0))
-    first = canon.orderBy("tier", "rel").limit(most_canon).withColumn("_used", before).where(F.col("_used") <= most_canon)
-    context = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tier", "rel", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
-    shared = context.first()["context"]
-    chunks = markdown_chunks(docs, max_tokens)
-    asked = completed(chunks.select("doc_id", "section", "title", prompt(F.col("title"), F.lit(shared), F.col("text")).alias("prompt")), complete=complete)
+    shared = canon_bundle(canon, most_canon)
+    chunks = markdown_chunks(docs.select("doc_id", "text"), max_tokens)
+    chunks = chunks.withColumn("parts", F.count("*").over(Window.partitionBy("doc_id")))
+    known = rag.select("doc_id", F.col("context").alias("_rag")) if rag is not None else docs.select("doc_id", F.lit(None).cast("string").alias("_rag")).limit(0)
+    chunks = chunks.join(known, "doc_id", "left")
+    part = F.col("section") + 1
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(" (sezione: "), F.col("title"), F.lit(", chunk "), part.cast("string"), F.lit("/"), F.col("parts").cast("string"), F.lit(")"))
+    asks = gap_prompt(F.lit(shared), F.when(F.col("section") == 0, F.col("_rag")), name, part, F.col("parts"), F.col("title"), truncated_middle(F.col("text"), most_raw, name))
+    asked = completed(chunks.select("doc_id", "section", "title", asks.alias("prompt")), complete=complete)
     return merged_parts(asked.withColumn("body", F.coalesce("answer", F.lit(""))), "doc_id", "section", "title", "body")
 
 

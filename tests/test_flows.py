@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -97,12 +98,57 @@ def test_rounds_end_when_nothing_waits(spark):
     assert found == {k: "failed" if k == 4 else "completed" for k in range(9)}
 
 
+def bundle(canon, most):
+    """The canon's text, part by part."""
+    parts = [(t, r, x) for t, r, x in canon if x]
+    share, total, blocks = max(2000, most // max(len(parts), 1)), 0, []
+    for _, rel, text in sorted(parts, key=lambda p: (p[0], p[1].lower(), p[1])):
+        if len(text) > share:
+            text = text[: share // 2] + f"\n\n_[… {rel} troncato: {len(text) - share} caratteri omessi …]_\n\n" + text[-(share // 2) :]
+        if total + len(text) > most:
+            if most - total <= 500:
+                break
+            text = text[: most - total]
+        blocks.append(f"### SOT: {rel}\n\n{text}")
+        total += len(text)
+    return "\n\n---\n\n".join(blocks) or "_Nessun documento SOT caricato._"
+
+
+def test_the_canon_is_cut_to_equal_shares(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 5, 9, 30):
+        canon = [(rng.randint(1, 2), rng.choice("aBc") + str(i), "".join(rng.choice("xyz \n") for _ in range(rng.choice([0, 3, 400, 1999, 2001, 12_001])))) for i in range(n)]
+        for most in (900, 14_000):
+            assert retrieval.canon_bundle(spark.createDataFrame(canon, "tier int, rel string, text string"), most) == bundle(canon, most)
+
+
 def test_gap_reports_hold_the_canon_and_all_chunks(spark):
     docs = spark.createDataFrame([(1, "short"), (2, "## A\n\n" + "word " * 300 + "\n\n## B\n\n" + "light " * 200)], "doc_id long, text string")
-    canon = spark.createDataFrame([(1, "a", "first"), (2, "b", "x" * 20_000)], "tier int, rel string, part string")
-    found = {r["doc_id"]: r for r in workflows.gap_report(docs, canon, 400).collect()}
-    answer = sha("## File\nfull\n\n## Context\nfirst\n\n## Text\nshort")
-    assert found[1]["n_parts"] == 1 and answer in found[1]["report"] and found[2]["n_parts"] == 2
+    canon = [(1, "a", "x" * 12_001), (2, "b", "second")]
+    rag = spark.createDataFrame([(1, "## found")], "doc_id long, context string")
+    found = {r["doc_id"]: r for r in workflows.gap_report(docs, spark.createDataFrame(canon, "tier int, rel string, text string"), 400, rag=rag).collect()}
+    end = "Report **ricco e contestualizzato** per allegarlo a Claude/GPT e aggiornare LAST DOCS.\nRispetta la struttura del system prompt (Sintesi, GAP numerati, Azioni redazione, Handoff IA)."
+    asked = f"# Documentazione SOT (Source of Truth)\n\n{bundle(canon, 14_000)}\n\n\n## found\n\n---\n\n# Documento grezzo da confrontare\n\n**File:** `1 (sezione: full, chunk 1/1)`\n\n> **Ambito (chunking):** Parte **1/1** del file (`full`). Analizza **solo** il testo sotto; altre parti = altre passate LLM.\n\nshort\n\n---\n\n{end}"
+    assert "caratteri omessi" in asked and "### SOT: b\n\nsecond" in asked
+    assert found[1]["n_parts"] == 1 and sha(asked) in found[1]["report"] and found[2]["n_parts"] == 2
+
+
+def test_entries_are_those_of_a_loop(spark):
+    rng = random.Random(9)
+    for _ in range(4):
+        n = rng.randint(0, 9)
+        entries = [(10 * i + rng.randint(0, 3), rng.choice("abcdefgh"), rng.choice("STUVWX"), "pending") for i in range(n)]
+        new = [(rng.choice("abcdefghijklmnop") + rng.choice(["", "1"]), rng.choice("STUVWXYZ"), "completed") for _ in range(rng.randint(0, 25))]
+        now, base = [list(e) for e in entries], max([e[0] for e in entries], default=-1)
+        for k, (name, md5, status) in enumerate(sorted(set(new)), 1):
+            for e in now:
+                if e[1] == name or e[2] == md5:
+                    e[1:] = [name, md5, status]
+                    break
+            else:
+                now.append([base + k, name, md5, status])
+        found = ingestion.registered_entries(spark.createDataFrame(entries, "place long, name string, md5 string, status string"), spark.createDataFrame(new, "name string, md5 string, status string"))
+        assert sorted(map(list, found.collect())) == sorted(now)
 
 
 def test_pages_become_chunks_and_memory(spark):
@@ -144,8 +190,8 @@ def test_files_are_picked_by_folder_glob_and_key(spark, tmp_path):
 
 
 def test_store_keys_contain_names(spark):
-    rels = ["src/R&D notes.md", "a/b/plan-1.txt", "x/none.md", "c.md", "deep/ünï çode.md", "q/___.md", "k/doc 17.md", "k/doc 1.md", "k/n 7.md"]
-    keys = ["custom\\R&D notes.md", "store/my_PLAN_1_v2.json", "abc.md", "zz/Ünï-Çode.md-77.json", "q/___.md", "m/xdoc_17b.json"]
+    rels = ["src/R&D notes.md", "a/b/plan-1.txt", "x/none.md", "c.md", "deep/ünï çode.md", "q/___.md", "docs/___.md", "w/+-+.txt", "w/=.txt", "k/doc 17.md", "k/doc 1.md", "k/n 7.md"]
+    keys = ["custom\\R&D notes.md", "store/my_PLAN_1_v2.json", "abc.md", "zz/Ünï-Çode.md-77.json", "custom/q/___.md", "m/xdoc_17b.json", "m/+_+"]
     norm = lambda s: s.lower().replace("\\", "/").replace("&", "and").replace(" ", "_").replace("-", "_")
     expected = set()
     for rel in rels:
@@ -154,7 +200,7 @@ def test_store_keys_contain_names(spark):
         if any(rel in k.replace("\\", "/") or tail in k.replace("\\", "/") or (stem and stem in norm(k)) for k in keys):
             expected.add(rel)
     found = ingestion.in_store(spark.createDataFrame([(r,) for r in rels], "rel string"), spark.createDataFrame([(k,) for k in keys], "key string"))
-    assert {r["rel"] for r in found.collect()} == expected and len(expected) == 7
+    assert {r["rel"] for r in found.collect()} == expected and len(expected) == 9
 
 
 def test_forced_delta_forgets_the_cache_but_not_the_store(spark):

@@ -11,7 +11,7 @@ from scriptorium.plans import sql, workflows
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import load
 from scriptorium.streaming import ingest as streams
-from scriptorium.streaming import progress
+from scriptorium.streaming import progress, stateful
 
 _STATUS = "case event_type when 'signup' then 'pending' when 'error' then 'failed' when 'click' then 'processing' when 'purchase' then 'completed' else 'skipped' end"
 _LATEST = f"(select user_id as key, ts, event_id, {_STATUS} as status from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)"
@@ -117,3 +117,29 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.col("conv_id").alias("key"), F.col("turn").alias("chunk"), F.length(F.coalesce("text", F.lit(""))).alias("at")]
     progress.follow(spark, f"{sf_dir}/conversations.parquet", f"{root}/out", f"{root}/progress", columns)
     return progress.latest(spark, f"{root}/out")
+
+
+@query(f"""select user_id as key, l.status, count(*) filter (where {_STATUS} = 'processing') as chunks_done, coalesce(list(e.event_id order by e.ts desc, e.event_id desc) filter (where event_type = 'purchase'), [])[:20] as outputs
+    from (select distinct * from events) e join {_LATEST} l on l.key = e.user_id group by user_id, l.status""")
+def file_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files' states from events that arrive in two parts, a tenth of the first again with the second; the stream is begun
+    anew between them and goes on from its checkpoint."""
+    events = _events(spark, sf_dir).withColumn("output", F.col("status") == "completed")
+    root = streams.shared_folder(spark)
+    early = F.col("event_id") % 3 > 0
+    for part in (events.where(early), events.where(~early | (F.col("event_id") % 10 == 1))):
+        part.write.mode("append").parquet(f"{root}/in")
+        stateful.drain(spark, stateful.file_states(spark.readStream.schema(events.schema).parquet(f"{root}/in"), "400 days", kept=20), f"{root}/out", f"{root}/progress")
+    return stateful.newest(spark, f"{root}/out").select("key", "status", "chunks_done", "outputs")
+
+
+@query("""with recursive t as (select conv_id, turn, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) as n from conversations),
+    m as (select conv_id, turn, n, sha256(text)[:8] as fact, sha256(text) as history from t where n = 1 union all select t.conv_id, t.turn, t.n, sha256(t.text)[:8], sha256(history || t.text) from m join t on t.conv_id = m.conv_id and t.n = m.n + 1) select conv_id, turn, fact, history from m""")
+def rolling_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream in two parts, the first of which comes twice; each is read with the history that those before it left."""
+    turns = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), "text")
+    root = streams.shared_folder(spark)
+    for part in (turns.where("place < 2"), turns):
+        part.write.mode("append").parquet(f"{root}/in")
+        stateful.drain(spark, stateful.memory(spark.readStream.schema(turns.schema).parquet(f"{root}/in"), lambda text, history: ([workflows.stub(text)[:8]], workflows.stub(history + text))), f"{root}/out", f"{root}/progress", "append")
+    return spark.read.parquet(f"{root}/out").select(F.col("key").alias("conv_id"), F.col("place").alias("turn"), F.col("facts")[0].alias("fact"), "history")

@@ -9,6 +9,7 @@ from scriptorium.functions import budgets, text
 from scriptorium.plans import sql
 from scriptorium.plans.registry import query
 from scriptorium.sources.files import html_to_text, validity
+from scriptorium.sources.office import docx_of, docx_text
 from scriptorium.sources.tables import load
 
 MODELS = ["qwen2.5-7b-instruct", "llama-3-128k", "mistral-32k-chat", "nomic-embed-text", "qwen2-vl-7b", "phi-4k", "deep-16384", "plain-8k"]
@@ -134,3 +135,10 @@ def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.concat("event_type", F.lit(": "), F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % len(MESSAGES) + 1).cast("int")))
     return load(spark, sf_dir, "events").select("event_id", budgets.error_class(message).alias("class"))
+
+
+@query(f"""select doc_id, md5({sql.collapsed("regexp_replace(coalesce(text, ''), '[\\x{0000}-\\x{0008}\\x{000B}\\x{000C}\\x{000E}-\\x{001F}\\x{FFFE}\\x{FFFF}]', '', 'g')")}) as digest from documents""")
+def docx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as office files and read again."""
+    packed = load(spark, sf_dir, "documents").select("doc_id", docx_of(F.coalesce("text", F.lit(""))).alias("content"))
+    return packed.select("doc_id", F.md5(docx_text(F.col("content")).cast("binary")).alias("digest"))

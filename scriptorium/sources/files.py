@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions.text import collapsed, file_type, first_string
+from scriptorium.sources.office import docx_text
 
 #: File types that are read, and the size from which a file is refused.
 TYPES = [".md", ".markdown", ".txt", ".pdf", ".docx", ".html", ".htm", ".json", ".xml", ".csv", ".log"]
@@ -25,7 +26,9 @@ MOST_BYTES = 8 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, types=TYPES, most_bytes: int | None = None, skipped=SKIPPED) -> DataFrame:
-    """path, rel, type, length, content of the files below a folder, unsorted; Spark's readers skip files without bytes and those whose names begin with . or _."""
+    """path, rel, type, length, content of the files below a folder; Spark's readers skip files without bytes and those whose names begin with . or _.
+
+    Rows come as the readers deal them out; in_order() sorts them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
     rows = files.select("path", rel.alias("rel"), file_type(F.col("path")).alias("type"), "length", "modificationTime", "content")
@@ -33,6 +36,11 @@ def scan(spark: SparkSession, root: str, types=TYPES, most_bytes: int | None = N
     return rows if most_bytes is None else rows.where(F.col("length") <= most_bytes)
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Scanned files sorted by their paths, folder by folder; a global sort by ranges."""
+    return files.orderBy(F.split("rel", "/"))
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text.removeprefix("file://") + r"\E"
 
@@ -140,12 +148,13 @@ def dump(files: DataFrame, most_bytes: int = 120_000) -> DataFrame:
 
 def texts(files: DataFrame, flatten: bool = True) -> DataFrame:
     """Scanned files with text and status; types that need a missing library have status unsupported."""
+    office = files.where(F.col("type") == ".docx").select("path", "rel", "type", "length", docx_text(F.col("content")).alias("text"))
     raw = files.withColumn("raw", decoded(F.col("content")))
     html = html_to_text(raw.where(F.col("type").isin(".html", ".htm")).select("path", "rel", "type", "length", F.col("raw").alias("html")))
     plain = raw.where(F.col("type").isin(*PLAIN)).select("path", "rel", "type", "length", (collapsed(F.col("raw")) if flatten else F.col("raw")).alias("text"))
     objects = raw.where(F.col("type") == ".json").select("path", "rel", "type", "length", json_text(F.col("raw")).alias("text"))
-    other = raw.where(~F.col("type").isin(".html", ".htm", ".json", *PLAIN)).select("path", "rel", "type", "length", F.lit(None).cast("string").alias("text"))
-    return plain.unionByName(objects).unionByName(html.select("path", "rel", "type", "length", "text")).unionByName(other).withColumn("status", validity(F.col("text"), F.col("length")))
+    other = raw.where(~F.col("type").isin(".html", ".htm", ".json", ".docx", *PLAIN)).select("path", "rel", "type", "length", F.lit(None).cast("string").alias("text"))
+    return plain.unionByName(objects).unionByName(html.select("path", "rel", "type", "length", "text")).unionByName(office).unionByName(other).withColumn("status", validity(F.col("text"), F.col("length")))
 
 
 def validity(text: Column, length: Column, most_bytes: int = MOST_BYTES) -> Column:

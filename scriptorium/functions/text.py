@@ -189,23 +189,48 @@ def cross_refs(text: Column, headings: Column) -> Column:
     return F.filter(headings, lambda h: (h != "") & named(h))
 
 
+def pieces_of(text: str, most: int) -> list[tuple[int, str]]:
+    """Place and text of each piece of `most` code points, or up to the last blank line beyond the first half of a piece;
+    linear in the text."""
+    if len(text) <= most:
+        return [(0, text)]
+    found, at = [], 0
+    while at < len(text):
+        end = min(at + most, len(text))
+        blank = text.rfind("\n\n", at, end) if end < len(text) else -1
+        end = blank if blank > at + most // 2 else end
+        found.append((at, text[at:end]))
+        at = end
+    return found
+
+
 def windows(text: Column, most: int) -> Column:
-    """A text in pieces of `most` code points, or up to the last blank line beyond the first half of a piece.
+    """A text in pieces of `most` code points, or up to the last blank line beyond the first half of a piece; null for null."""
 
-    A fold over its pieces, which are at most twice as many as the text has times `most` code points.
-    """
-    n = F.length(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, _: Column) -> Column:
-        piece = F.substring(text, a["at"] + 1, F.lit(most))
-        before = most - F.instr(F.reverse(piece), "\n\n") - 1
-        early = (a["at"] + most < n) & (before > most // 2) & (before < most - 1)
-        size = F.when(early, before).otherwise(most)
-        return F.when(a["at"] >= n, a).otherwise(F.struct((a["at"] + size).alias("at"), F.array_append(a["parts"], F.substring(piece, F.lit(1), size)).alias("parts")))
-
-    steps = F.sequence(F.lit(1), F.ceil(n * 2 / most).cast("int") + 1)
-    return F.when(n <= most, F.array(text)).otherwise(F.aggregate(steps, start, step, lambda a: a["parts"]))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [p for _, p in pieces_of(x, most)] for x in map(lambda c: c.as_py(), texts)], pa.list_(pa.string()))
+
+    return cut(text)
+
+
+@F.udtf(returnType=T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("body", T.StringType())]))
+class _Pieces:
+    """One row for each piece of a text; none for a null text."""
+
+    def eval(self, text: str, most: int):
+        if text is not None:
+            for piece, (at, body) in enumerate(pieces_of(text, most)):
+                yield piece, at, body
+
+
+def text_pieces(docs: DataFrame, most: int, text: str = "text") -> DataFrame:
+    """Every row of `docs` beside each piece of its text (piece from 0, at, body) in place of the text, as a lateral join with a
+    table function.
+
+    A text's pieces leave the worker one by one, so no array of them is held, and none carries the whole text; rows with a
+    null text have no pieces."""
+    return docs.lateralJoin(_Pieces(F.col(text).outer(), F.lit(most))).drop(text)
 
 
 def answer_text(raw: Column) -> Column:

@@ -7,10 +7,13 @@ heading in force.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions.text import cross_refs, first_heading, image_refs, page_numbers, tokens
+from scriptorium.operators.alike import first_of_alike
 from scriptorium.operators.chunking import linked, slices
 
 #: Stand around a fence while lines are told apart; texts lose these two control characters.
@@ -121,29 +124,46 @@ def without_context(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[Contesto:")) & (close > 0), close + 1).otherwise(0)
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("i", "prefix", "char_start", "char_end")])))
+def _spans(chunks: pa.Array, bodies: pa.Array) -> pa.Array:
+    """Where each chunk of a document stands; a text is searched onward from the end of the chunk before."""
+    found = []
+    for xs, body in zip(chunks, bodies):
+        spans, at, text = [], 0, body.as_py()
+        for x in xs.as_py():
+            begin = at
+            if x["size"]:
+                begin = next((p for p in (text.find(x["long"], at), text.find(x["short"], at)) if p >= 0), at)
+            end = min(len(text), begin + x["size"])
+            spans.append({"i": x["i"], "prefix": x["prefix"], "char_start": begin, "char_end": end})
+            at = max(at, end)
+        found.append(spans)
+    return pa.array(found, pa.list_(pa.struct([(n, pa.int32()) for n in ("i", "prefix", "char_start", "char_end")])))
+
+
 def located(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", order: str = "chunk", text: str = "text") -> DataFrame:
     """Chunks with label, prefix, char_start and char_end in the text that they come from.
 
-    Each chunk is looked for, by its first 120 and then its first 40 code points, from where the one before it ended: a
-    fold over a document's chunks, which are rows of that document alone.
+    Each chunk is looked for, by its first 120 and then its first 40 code points, from where the one before it ended; one
+    not found stands there itself. A document's probes come together beside its text, and nothing else of it.
     """
-    lists = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(text).alias("text")))).alias("xs"))
-    both = lists.join(docs.select(key, F.col(text).alias("body")), key)
-
-    def step(a: Column, x: Column) -> Column:
-        raw = F.substring(x["text"], without_context(x["text"]) + 1, F.length(x["text"]))
-        at = lambda probe: F.call_function("locate", probe, F.col("body"), a["at"] + 1) - 1
-        long, short = at(F.substring(raw, 1, 120)), at(stripped(F.substring(raw, 1, 40)))
-        begin = F.when(raw == "", a["at"]).when(long >= 0, long).when(short >= 0, short).otherwise(a["at"])
-        end = F.least(F.length("body"), begin + F.length(raw))
-        span = F.struct(x["i"].alias("i"), without_context(x["text"]).alias("prefix"), begin.alias("char_start"), end.alias("char_end"))
-        return F.struct(F.greatest(a["at"], end).alias("at"), F.array_append(a["out"], span).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,prefix:int,char_start:int,char_end:int>>").alias("out"))
-    spans = both.select(key, F.inline(F.aggregate("xs", start, step, lambda a: a["out"])))
+    prefix = without_context(F.col(text))
+    raw = F.substring(F.col(text), prefix + 1, F.length(text))
+    probes = F.struct(F.col(order).cast("int").alias("i"), prefix.alias("prefix"), F.length(raw).alias("size"), F.substring(raw, 1, 120).alias("long"), stripped(F.substring(raw, 1, 40)).alias("short"))
+    lists = chunks.groupBy(key).agg(F.array_sort(F.collect_list(probes)).alias("xs"))
+    spans = lists.join(docs.select(key, F.col(text).alias("body")), key).select(key, F.inline(_spans(F.col("xs"), F.col("body"))))
     return chunks.join(spans.withColumnRenamed("i", order), [key, order]).withColumn("label", F.substring(F.when(F.col("heading") != "", F.col("heading")).otherwise(F.concat(F.lit("chunk_"), F.col(order) + 1)), 1, 80))
 
 
+def deduped_spans(docs: DataFrame, max_tokens: int, min_tokens: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Semantic chunks of each document without those that are like an earlier one of it, with their places in the text.
+
+    A text without any chunk is one chunk, named full."""
+    chunks = first_of_alike(semantic_chunks(docs, max_tokens, min_tokens, key, text), key, "chunk", text)
+    bare = docs.where(F.col(text).isNotNull()).join(chunks.select(key), key, "left_anti").select(key, F.lit(0).alias("chunk"), F.col(text), F.lit("full").alias("label"), F.lit(0).alias("prefix"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"))
+    return located(chunks, docs, key, "chunk", text).select(*bare.columns).unionByName(bare)
+
+
 def raw_extract_chunks(docs: DataFrame, max_tokens: int, min_tokens: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The chunk entries of a raw extract: chunk_id, paths, section, pages, sizes, assets, tags, and links to their neighbours."""
     chunks = semantic_chunks(docs, max_tokens, min_tokens, key, text)

@@ -67,3 +67,10 @@ def structural_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with the tail of the one before; a test holds them against Python."""
     found = overlap.overlapped_chunks(_docs(spark, sf_dir), MOST, 100, LEAST, "conv_id")
     return found.select("conv_id", "section", "title", "overlap", F.md5(F.col("enriched").cast("binary")).alias("digest"))
+
+
+@query()
+def deduped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic chunks that aren't like an earlier one of their conversation, with their places; a test holds them against a loop."""
+    found = semantic.deduped_spans(_docs(spark, sf_dir), MOST, LEAST, "conv_id")
+    return found.select("conv_id", "chunk", "label", "prefix", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from scriptorium.plans import call_queries, chunk_queries, dedup_queries, document_queries, ingest_queries, map_queries, markdown_queries, state_queries, text_queries  # noqa: F401
+    from scriptorium.plans import call_queries, chunk_queries, dedup_queries, document_queries, ingest_queries, map_queries, markdown_queries, state_queries, text_queries, time_queries  # noqa: F401

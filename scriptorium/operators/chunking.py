@@ -12,19 +12,62 @@ from scriptorium.functions.text import SENTENCE_END, collapsed, tokens
 BLANK_LINE = r"\n\s*\n"
 
 
+#: Items that a fold takes before it lays aside what it has collected.
+STRETCH = 256
+
+
+def stretches(items: Column) -> Column:
+    """An array as arrays of STRETCH items; the array is bound once, not made anew for each of them."""
+    def cut(xs: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int")))
+        return F.transform(parts, lambda k: F.slice(xs, k * STRETCH + 1, F.lit(STRETCH)))
+
+    return F.transform(F.array(F.struct(items.alias("xs"))), lambda b: cut(b["xs"]))[0]
+
+
+def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Column) -> Column:
+    """The array that a fold collects: step(state, item) gives a struct of the next `state` and of `add`, an array to append.
+
+    A growing array is copied by each step, so items are taken in stretches: one copies its own part only, and parts are
+    laid side by side. n items cost n * (STRETCH + n / STRETCH^2) copies, not n * n. `out` is an empty array of what is added.
+    """
+    def one(a: Column, x: Column) -> Column:
+        found = F.transform(F.array(step(a["state"], x)), lambda f: F.struct(f["state"].alias("state"), F.concat(a["out"], f["add"]).alias("out")))
+        return found[0]
+
+    def part(a: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(a["state"].alias("state"), out.alias("out")), one)
+        return F.transform(F.array(inner), lambda f: F.struct(f["state"].alias("state"), F.array_append(a["outs"], f["out"]).alias("outs")))[0]
+
+    empty = F.filter(F.array(out), lambda x: F.lit(False))
+    return F.aggregate(stretches(items), F.struct(start.alias("state"), empty.alias("outs")), part, lambda a: F.flatten(a["outs"]))
+
+
 def greedy_starts(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:
     """The places (from 0) at which groups begin: an item joins the group before it if joins(state, size) holds.
 
-    The state has total and last, the sizes of the group so far and of its last item. Sizes are made once; the fold
-    grows by one number for each group.
+    The state has total and last, the sizes of the group so far and of its last item. Sizes are made once.
     """
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"))
+    none = F.array().cast("array<int>")
 
     def step(a: Column, n: Column) -> Column:
         same = (a["i"] > 0) & joins(a, n)
-        return F.struct((a["i"] + 1).alias("i"), F.when(same, a["total"] + n).otherwise(n).alias("total"), n.alias("last"), F.when(same, a["out"]).otherwise(F.array_append(a["out"], a["i"])).alias("out"))
+        state = F.struct((a["i"] + 1).alias("i"), F.when(same, a["total"] + n).otherwise(n).alias("total"), n.alias("last"))
+        return F.struct(state.alias("state"), F.when(same, none).otherwise(F.array(a["i"])).alias("add"))
+
+    return folded(F.transform(items, lambda x: size(x).cast("long")), start, step, none)
+
+
+def counted_before(items: Column, flag: Callable[[Column], Column]) -> Column:
+    """Structs of each item and of n, how many items before it have the flag."""
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a + x).alias("state"), F.array(a).alias("add"))
+
+    def both(xs: Column) -> Column:
+        return F.zip_with(xs, folded(F.transform(xs, lambda x: flag(x).cast("int")), F.lit(0), step, F.array().cast("array<int>")), lambda x, n: F.struct(x.alias("item"), n.alias("n")))
 
-    return F.aggregate(F.transform(items, lambda x: size(x).cast("long")), start, step, lambda a: a["out"])
+    return F.transform(F.array(F.struct(items.alias("xs"))), lambda b: both(b["xs"]))[0]
 
 
 def greedy_groups(items: Column, size: Callable[[Column], Column], joins: Callable[[Column, Column], Column]) -> Column:

@@ -25,6 +25,8 @@ REMEMBERED = 250_000
 STEP = 1_000
 #: Texts from which the rarity of shingles is estimated, its buckets, and bits of the map of probed shingles: all only a matter of speed.
 SAMPLED, RARITY, MAP_BITS = 4_000, 1 << 20, 26
+#: Looked up shingles that two texts have to share.
+SHARED = 12
 #: Lengths of runs with their number of buckets in a sketch, and texts of one block of sketches.
 SKETCH, BLOCK = ((1, 64), (3, 192), (5, 256)), 2048
 #: Lengths of runs that are counted exactly before two texts are aligned.
@@ -70,14 +72,19 @@ def shingle_hashes(shingle: str, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(found), ">u4").astype(np.uint32)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows spread over all cores, however few bytes they are: for work that is dear for each row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def signatures(rows: DataFrame, permutations: int = PERMUTATIONS, k: int = SHINGLE) -> DataFrame:
     """(id, normalised text) to (id, signature): for each permutation the least hash over the shingles; zeros for none.
 
     A shingle is hashed once by a worker; a text takes memory for one step of its shingles at a time. Hashing is dear, so
     rows are dealt out to all cores, however few bytes they are.
     """
-    names, spark = rows.columns, rows.sparkSession
-    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    names, rows = rows.columns, dealt(rows)
     known: dict[str, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +189,8 @@ def least_common(q: int, m: int | np.ndarray, n: int | np.ndarray, threshold: fl
 def overlap_candidates(texts: DataFrame, threshold: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
     """(a, b) with a < b: all pairs whose sets of shingles overlap by `threshold` or more (so also by Jaccard), and others.
 
-    |A| - ceil(threshold * |A|) + 1 shingles of the smaller set are looked up in the whole larger one. Any choice of them
-    finds all pairs; rare ones, by a sample, find few others. Rows: (id, norm).
+    |A| - ceil(threshold * |A|) + SHARED shingles of the smaller set are looked up in the whole larger one, which has SHARED of them
+    at least (all, if the set is smaller). Any choice of them finds all pairs; rare ones, by a sample, find few others. Rows: (id, norm).
     """
     context, kind = texts.sparkSession.sparkContext, texts.schema["id"].dataType.simpleString()
     texts = texts.select("id", "norm").where("norm <> ''")
@@ -210,7 +217,7 @@ def overlap_candidates(texts: DataFrame, threshold: float = SIMILAR, k: int = SH
 
     def rarest(grams: np.ndarray) -> np.ndarray:
         order = np.lexsort((grams, frequency.value[(grams % np.uint64(RARITY)).astype(np.int64)]))
-        return grams[order[: len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1]]
+        return grams[order[: len(grams) - math.ceil(threshold * len(grams) - 1e-9) + SHARED]]
 
     probes = saved(rows_of(rarest))
     place = F.shiftrightunsigned("gram", 64 - MAP_BITS)
@@ -224,8 +231,9 @@ def overlap_candidates(texts: DataFrame, threshold: float = SIMILAR, k: int = SH
         return grams[(probed.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
 
     whole = rows_of(asked).select(F.col("id").alias("other"), F.col("n").alias("m"), "gram")
-    found = probes.join(whole, "gram").where("n < m or (n = m and id < other)")
-    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    found = probes.join(whole, "gram").where("n < m or (n = m and id < other)").groupBy("id", "other", "n").agg(F.count("*").alias("shared"))
+    found = found.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("n") - 1e-9)))
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def _sketched_pairs(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -302,12 +310,13 @@ def possible(threshold: float, k: int = SHINGLE) -> Callable[..., Column]:
 def candidate_pairs(texts: DataFrame, threshold: float = SIMILAR, ratio: bool = True) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs that reach `threshold` by signature, Jaccard, overlap or (with `ratio`)
     sequence ratio, and a few others; similarity is the signatures'. Rows: (id, norm), each norm once."""
-    signed = saved(signatures(texts.select("id", "norm")))
+    texts = saved(dealt(texts.select("id", "norm")))
+    signed = saved(signatures(texts))
     more = overlap_candidates(texts, threshold)
     if ratio:
         more = more.unionByName(ratio_candidates(texts, threshold)).distinct()
     left, right = (texts.select(F.col("id").alias(i), F.col("norm").alias(f"text_{i}")) for i in "ab")
-    more = saved(more.join(left, "a").join(right, "b").where(possible(threshold)("text_a", "text_b")).select("a", "b"))
+    more = saved(dealt(more.join(left, "a").join(right, "b")).where(possible(threshold)("text_a", "text_b")).select("a", "b"))
     pairs = banded_pairs(signed, threshold).select("a", "b").unionByName(more).distinct()
     x, y = signed.toDF("a", "x"), signed.toDF("b", "y")
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", agreement("x", "y").alias("similarity")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokens
-from scriptorium.operators.chunking import coalesce_chunks, fence_spans, greedy_starts, merge_small, paragraphs, sections, sentences, slices
+from scriptorium.operators.chunking import coalesce_chunks, counted_before, fence_spans, greedy_starts, merge_small, paragraphs, sections, sentences, slices
 from scriptorium.operators.semantic import stripped
 
 OVERLAP = 400
@@ -21,12 +21,11 @@ BOUNDARY = r"(?=\n)|(?<=\n\s{0,200}\n)(?!\s*\n)|(?<=[.!?…]\s{1,200})(?=[A-ZÀ-
 def _packed(units: Column, max_tokens: int, label: Column, first_bare: bool) -> Column:
     """Units packed while their tokens fit together, as structs of label and text; parts are numbered in their order."""
     starts = greedy_starts(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
-    groups = slices(units, starts)
     alone = lambda g: g[0]["alone"]
-    number = lambda k: F.size(F.filter(F.slice(groups, 1, k), lambda g: ~alone(g)))
-    part = lambda k: F.concat(F.lit(" (part "), number(k).cast("string"), F.lit(")"))
-    named = lambda g, k: F.when(alone(g), F.concat(label, F.lit(" (slice)"))).otherwise(F.concat(label, F.when((number(k) == 0) & F.lit(first_bare), "").otherwise(part(k))))
-    return F.transform(groups, lambda g, k: F.struct(named(g, k).alias("title"), F.array_join(F.transform(g, lambda u: u["x"]), "\n\n").alias("text")))
+    part = lambda n: F.concat(F.lit(" (part "), n.cast("string"), F.lit(")"))
+    named = lambda g, n: F.when(alone(g), F.concat(label, F.lit(" (slice)"))).otherwise(F.concat(label, F.when((n == 0) & F.lit(first_bare), "").otherwise(part(n))))
+    groups = counted_before(slices(units, starts), lambda g: ~alone(g))
+    return F.transform(groups, lambda z: F.struct(named(z["item"], z["n"]).alias("title"), F.array_join(F.transform(z["item"], lambda u: u["x"]), "\n\n").alias("text")))
 
 
 def by_paragraphs(text: Column, max_tokens: int, label: Column) -> Column:
@@ -51,10 +50,9 @@ def at_safe_boundaries(text: Column, max_tokens: int, label: Column) -> Column:
 
     units = F.flatten(F.transform(paragraphs(text), lambda p: chunked(p, tokens(p) > max_tokens)))
     starts = greedy_starts(units, lambda u: F.when(u["alone"], max_tokens + 1).otherwise(tokens(u["x"])), lambda a, n: a["total"] + n <= max_tokens)
-    groups = slices(units, starts)
-    number = lambda k: F.size(F.filter(F.slice(groups, 1, k), lambda g: ~g[0]["alone"]))
-    tail = lambda g, k: F.when(g[0]["alone"], g[0]["tail"]).when(number(k) == 0, F.lit("")).otherwise(F.concat(F.lit(" (part "), number(k).cast("string"), F.lit(")")))
-    parts = F.transform(groups, lambda g, k: F.struct(F.substring(F.concat(label, tail(g, k)), 1, 80).alias("title"), F.array_join(F.transform(g, lambda u: u["x"]), "\n\n").alias("text")))
+    tail = lambda g, n: F.when(g[0]["alone"], g[0]["tail"]).when(n == 0, F.lit("")).otherwise(F.concat(F.lit(" (part "), n.cast("string"), F.lit(")")))
+    groups = counted_before(slices(units, starts), lambda g: ~g[0]["alone"])
+    parts = F.transform(groups, lambda z: F.struct(F.substring(F.concat(label, tail(z["item"], z["n"])), 1, 80).alias("title"), F.array_join(F.transform(z["item"], lambda u: u["x"]), "\n\n").alias("text")))
     return F.when(tokens(text) <= max_tokens, F.array(F.struct(F.substring(label, 1, 80).alias("title"), text.alias("text")))).otherwise(parts)
 
 

@@ -35,6 +35,11 @@ class StoredSignatures:
     def empty(self) -> bool:
         return not self.spark.catalog.tableExists(f"{self.name}_entries")
 
+    def drop(self) -> None:
+        """Remove the index."""
+        for kind in ("entries", "bands"):
+            self.spark.sql(f"drop table if exists {self.name}_{kind}")
+
     def entries(self) -> DataFrame:
         """place, name, md5, signature of all entries; a table has to be there."""
         return self.spark.table(f"{self.name}_entries")

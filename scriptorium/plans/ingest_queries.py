@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.budgets import percent
-from scriptorium.operators import ingestion, reports, state
+from scriptorium.functions.text import normalised
+from scriptorium.operators import ingestion, intake, reports, state
+from scriptorium.operators.dedup import saved
+from scriptorium.operators.stored import StoredSignatures
 from scriptorium.plans.registry import query
 from scriptorium.plans.state_queries import _LATEST, _latest
 from scriptorium.sources.tables import load
@@ -151,3 +156,26 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", F.when(F.col("quality") == 1, "SOT").alias("role"))
     files = load(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", F.col("lang").alias("area"), F.length("text").cast("long").alias("size"))
     return files.join(roles, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit("Raw")))
+
+
+@query()
+def ingest_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files that an ingest decides on in order of name, each against those before it and a manifest of every
+    eleventh, by digest and by likeness of their texts; a test holds it against a loop."""
+    files = _named(spark, sf_dir)
+    done = load(spark, sf_dir, "labels").where("quality = 1").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"))
+    entries = files.where("doc_id % 11 = 0").select(F.col("doc_id").alias("place"), "name", "md5")
+    return intake.ingest_pass(files.select("name", "md5", "text"), entries, done).select("name", "status", "duplicate_of", "similarity")
+
+
+@query()
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in two parts at a stored index of signatures: what each is like among those that stayed before it."""
+    files = _named(spark, sf_dir).select("doc_id", "name", "md5", normalised(F.col("text")).alias("norm"))
+    index, found = StoredSignatures(spark, f"signed_{uuid.uuid4().hex}", buckets=8), None
+    for part in ("doc_id % 3 > 0", "doc_id % 3 = 0"):
+        one = index.arrive(files.where(part).select("name", "md5", "norm"))
+        found = one if found is None else found.unionByName(one)
+    found = saved(found)
+    index.drop()
+    return found

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Code points below which a page has too little text, and bytes of content from which it shows something.
 LEAST_CHARS, LEAST_BYTES = 50, 4096
 MARK = "[IMG_REF:"
+#: Stands below and right of every box.
+LAST = 1e300
 
 
 def shown_image(blocks: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,6 +44,25 @@ def numbered_pages(blocks: DataFrame, doc: str = "doc", page: str = "page") -> D
     return lists.select(doc, page, F.array_join(F.transform("_xs", lambda x: x["_part"]), "\n\n").alias("body"))
 
 
+def with_unreferenced(blocks: DataFrame, images: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+    """Blocks as numbered_pages takes them, and behind a page's last one a block for each image placed on it (doc, page, ord, xref)
+    that none of its blocks shows, once each, in order of ord. Pages without blocks get theirs too."""
+    shown = blocks.where("kind = 'image' and xref is not null").select(doc, page, "xref").distinct()
+    rest = images.where("xref is not null").groupBy(doc, page, "xref").agg(F.min("ord").alias("ord")).join(shown, [doc, page, "xref"], "left_anti")
+    own = {doc: F.col(doc), page: F.col(page), "block": F.col("ord"), "y0": F.lit(LAST), "x0": F.lit(LAST), "kind": F.lit("image"), "xref": F.col("xref")}
+    more = rest.select(*[(own[c] if c in own else F.lit(None)).cast(blocks.schema[c].dataType).alias(c) for c in blocks.columns])
+    return blocks.withColumns({c: F.col(c).cast("double") for c in ("y0", "x0")}).unionByName(more.withColumns({c: F.lit(LAST) for c in ("y0", "x0")}))
+
+
+def with_recognised(pages: DataFrame, recognised: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+    """Pages (doc, page, body) with the text that character recognition has found (doc, page, text) behind their own; blank finds change nothing."""
+    strip = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
+    found = recognised.where(strip(F.col("text")) != "").groupBy(doc, page).agg(F.max("text").alias("_more"))
+    own = strip(F.col("body"))
+    body = F.when(F.col("_more").isNull(), F.col("body")).when(own == "", F.col("_more")).otherwise(F.concat(own, F.lit("\n\n"), F.col("_more")))
+    return pages.join(found, [doc, page], "left").select(*[body.alias("body") if c == "body" else F.col(c) for c in pages.columns])
+
+
 def needs_recognition(chars: Column, has_images: Column, content_bytes: Column) -> Column:
     """Whether a page with little text of its own shows something that may be text."""
     return (chars < LEAST_CHARS) & (has_images | (content_bytes >= LEAST_BYTES))

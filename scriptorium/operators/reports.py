@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ingestion import ordered
+
 
 def quoted(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("\\"), F.lit("/")), F.lit('"'), F.lit("'"))
@@ -65,11 +67,12 @@ def report_entry(rel: Column, body: Column) -> Column:
 def general_report(entries: DataFrame, header: Column, order: str, key: str | None = None) -> DataFrame:
     """place and text of the lines of a growing report: the header as place 0, then the entries in their order.
 
-    The report stays rows, one for each section, so that it grows by appending and no task holds all of it.
+    The report stays rows, one for each section, so that it grows by appending and no task holds all of it: without a key
+    places are given by ranges of the order.
     """
     keys = [key] if key else []
-    own = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    rows = entries.select(*keys, F.row_number().over(own).alias("place"), "text")
+    numbered = entries.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order))) if keys else ordered(entries, [order], "place")
+    rows = numbered.select(*keys, "place", "text")
     first = entries.select(*keys).distinct() if keys else entries.sparkSession.range(1)
     return rows.unionByName(first.select(*keys, F.lit(0).alias("place"), header.alias("text")))
 

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text
-from scriptorium.operators import dedup, docmap, ingestion, layout, retrieval
+from scriptorium.operators import dedup, docmap, ingestion, layout, reports, retrieval
 from scriptorium.plans import workflows
 from scriptorium.sources import files, sinks
 
@@ -161,6 +161,28 @@ def test_pages_become_chunks_and_memory(spark):
     assert empty.startswith("# Raw extraction — x.pdf\n") and "nessun testo" in empty
 
 
+def test_images_that_no_block_shows_come_last(spark):
+    blocks = [(1, 0, 1, 0.0, 0.0, "text", "top", None), (1, 0, 2, 1.0, 0.0, "image", None, 5), (1, 1, 3, 0.0, 0.0, "image", None, None)]
+    table = spark.createDataFrame(blocks, "doc long, page int, block int, y0 double, x0 double, kind string, text string, xref int")
+    images = spark.createDataFrame([(1, 0, 0, 9), (1, 0, 1, 5), (1, 0, 2, 8), (1, 0, 3, 9), (1, 1, 0, 5), (1, 2, 0, 7), (1, 2, 1, None)], "doc long, page int, ord int, xref int")
+    pages = layout.numbered_pages(layout.with_unreferenced(table, images))
+    want = ["top\n\n[IMG_REF:img_001]\n\n[IMG_REF:img_002]\n\n[IMG_REF:img_003]", "[IMG_REF:img_004]\n\n[IMG_REF:img_005]", "[IMG_REF:img_006]"]
+    assert [r["body"] for r in pages.orderBy("page").collect()] == want
+    read = spark.createDataFrame([(1, 0, "scanned"), (1, 1, " \n"), (3, 0, "x")], "doc long, page int, text string")
+    bodies = spark.createDataFrame([(1, 0, " a "), (1, 1, "b"), (3, 0, None)], "doc long, page int, body string")
+    assert sorted(map(tuple, layout.with_recognised(bodies, read).collect())) == [(1, 0, "a\n\nscanned"), (1, 1, "b"), (3, 0, "x")]
+
+
+def test_a_report_without_a_key_is_numbered_by_ranges(spark):
+    rows = spark.createDataFrame([(i * 7 % 50, f"t{i * 7 % 50}") for i in range(50)], "n int, text string")
+    found = reports.general_report(rows, F.lit("head"), "n").orderBy("place").collect()
+    assert [(r["place"], r["text"]) for r in found] == [(0, "head"), *[(i + 1, f"t{i}") for i in range(50)]]
+
+
+def test_a_search_answers_if_it_has_a_hit(spark):
+    assert retrieval.answers(spark.range(3)) and not retrieval.answers(spark.range(0))
+
+
 def test_sinks_replace_ignore_and_index(spark, tmp_path):
     one = spark.createDataFrame([("w", "a.md", "body"), ("v", "b.md", "é")], "workflow string, path string, body string")
     sinks.written(one, f"{tmp_path}/t")

@@ -162,7 +162,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """What decode(encode(docs)) gives, with both in one pass: a worker encodes a text and decodes its ids, so that a task
-    needs one worker and one model, not two."""
+    needs one worker and one model, not two.
+
+    Null and empty texts have no ids and decode to nothing, repeated rows stay repeated, columns of both names are replaced and
+    all others kept, and an empty table gives an empty table."""
     model = docs.sparkSession.sparkContext.broadcast(model_of(ranks))
 
     def both(codec: Codec, x: str | None) -> tuple[bytes, bytes]:
@@ -179,7 +182,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str =
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, number of ids, and digests of the ids and of the bytes that they decode to."""
+    """doc_id, number of ids, and digests of the ids and of the bytes that they decode to.
+
+    A null text is an empty one, repeated rows stay repeated, other columns are not looked at, an empty table gives an empty
+    table."""
     coded = round_trip(docs.select("doc_id", "text"), ranks, pattern)
     return coded.select(
         "doc_id",

@@ -200,6 +200,8 @@ def score_by_rows(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF,
     """What score() gives, with one row for each n-gram: counts for each document, their sums for each n-gram by hash
     partition, and a join of both with the exploded n-grams, summed for each document.
 
+    Null, empty and repeated rows, other columns and empty tables are as score() has them.
+
     Plain, but it shuffles every n-gram of every document several times; score() is the same join with the n-grams of a
     slab packed into a few rows. Rows need a number, so they are written once before.
     """

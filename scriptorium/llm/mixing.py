@@ -75,6 +75,9 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` in their own columns, each as often as the mix takes it."""
+    """The rows of `docs` in their own columns, each as often as the mix takes it.
+
+    Texts that are null or without words have no size and are never taken, a null source is a source, rows of one id draw
+    alike, an empty table gives an empty table, and columns of any name stay the caller's."""
     taken = plan(docs, **how).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*unpacked(docs, docs.columns))

@@ -223,7 +223,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = W
     class_id is the smallest doc_id of all documents that links of `threshold` or more hang together; n_links is the
     number of other documents linked with this one, copies among them; n_copies of them have the same shingle set.
     Null and empty texts have no shingles: they are linked with nothing and are classes of their own. Fewer words than
-    k make one shingle. Rows with the same id are documents of their own. Long texts count whole.
+    k make one shingle. Rows with the same id are documents of their own. Long texts count whole. Other columns are not looked at, and an
+    empty table gives an empty table.
     """
     return _joined(docs, text, doc_id, k, threshold, tolerance, block).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -282,7 +283,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
     """The rows of `docs`, in their own columns, without all but one of each class: one of its smallest id.
 
     An id that no other row has tells its row. Rows of repeated ids and without an id are told by their shingle sets
-    too, so each is judged by its own class; of rows with the class's smallest id, one of the least set stays.
+    too, so each is judged by its own class; of rows with the class's smallest id, one of the least set stays. Texts without
+    words, null ones among them, all stay; an empty table gives an empty table, and columns of any name stay the caller's.
     """
     classes = cut(_joined(docs, text, doc_id, k, threshold, tolerance, block))
     linked = classes.where("n_links > 0")

@@ -93,5 +93,8 @@ def measure(docs: DataFrame, text: str = "text", thresholds=None) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", thresholds=None) -> DataFrame:
-    """The rows of `docs`, in their own columns, that keep all rules."""
+    """The rows of `docs`, in their own columns, that keep all rules.
+
+    Null, empty and blank texts have no words and so never keep them, repeated rows stay repeated, an empty table gives an
+    empty table, and columns of any name stay the caller's."""
     return measure(docs, text, thresholds).where("kept").select(*unpacked(docs, docs.columns))

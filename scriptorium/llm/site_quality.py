@@ -100,5 +100,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, label: str = "quality", site: s
 
 
 def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", site: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of `docs`, in their own columns, that are kept. The classifier runs twice, so that no text is written."""
+    """The rows of `docs`, in their own columns, that are kept. The classifier runs twice, so that no text is written.
+
+    Null and empty texts have the score of a text without words, null sites and paths are such, repeated rows are judged each,
+    an empty table gives an empty table, and columns of any name stay the caller's."""
     return judge(_scored(docs, labels, label, site, path, text)).where("kept").select(*unpacked(docs, docs.columns))

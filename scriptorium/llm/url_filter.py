@@ -138,5 +138,8 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -
 
 
 def keep(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -> DataFrame:
-    """The rows of `pages`, in their own columns, that aren't blocked."""
+    """The rows of `pages`, in their own columns, that aren't blocked.
+
+    A null url has an empty host and path and is judged as such, a null html has no links, repeated rows are judged alike,
+    an empty table gives an empty table, and columns of any name stay the caller's."""
     return judge(pages, rules, url, html).where("verdict = 'allow'").select(*[F.col("row").getField(c).alias(c) for c in pages.columns])

@@ -193,7 +193,8 @@ def search(table: DataFrame, is_query: Column, k: int = K, block: int = BLOCK) -
     `table` is a pivot table, best written before; its rows where `is_query` holds ask. Fewer rows than k give all of
     them; ties go to the smaller id; of rows with one id, all are candidates and the one of the least vector asks.
     Queries go in blocks of a fixed size, each broadcast to all candidates, which stay where they are; a task hands on k
-    rows for each query at most. Ranks follow the exact scores; a score beyond 64 bits is given as the nearest long.
+    rows for each query at most. Ranks follow the exact scores; a score beyond 64 bits is given as the nearest long. An empty
+    table, or one where nothing asks, gives an empty table.
     """
     spark = table.sparkSession
     asking = cut(table.where(is_query).groupBy("vec_id").agg(F.min(F.struct("vector", "distances")).alias("x")).select("vec_id", "x.vector", "x.distances"))

@@ -202,18 +202,34 @@ def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = """select l_orderkey as doc, l_partkey % 2 as page, l_partkey * 10 + l_linenumber as block, round(l_discount * 100)::int as y0, round(l_tax * 100)::int as x0, case when l_suppkey % 3 = 0 then 'image' else 'text' end as kind, l_returnflag || l_linestatus as text, case when l_suppkey % 3 = 0 and l_quantity > 20 then l_linenumber % 2 end as xref from lineitem"""
 
 
-@query(f"""with b as (select *, row_number() over (partition by doc, page order by round(y0, 2), round(x0, 2), block) as place from ({_BLOCKS})),
+def _pages(source: str) -> str:
+    return f"""with b as (select *, row_number() over (partition by doc, page order by round(y0, 2), round(x0, 2), block) as place from ({source})),
     f as (select *, kind = 'image' and (xref is null or row_number() over (partition by doc, page, kind, xref order by place) = 1) as new from b),
     n as (select *, count(*) filter (where new) over (partition by doc order by page, place) as n from f),
     p as (select *, case when kind = 'image' then '[IMG_REF:img_' || lpad((case when xref is null then n else min(n) over (partition by doc, page, kind, xref) end)::varchar, 3, '0') || ']' else text end as part from n)
-    select doc, page, md5(string_agg(part, chr(10) || chr(10) order by place)) as digest from p group by doc, page""")
-def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    select doc, page, md5(string_agg(part, chr(10) || chr(10) order by place)) as digest from p group by doc, page"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as blocks of pages."""
     image = F.col("l_suppkey") % 3 == 0
-    blocks = load(spark, sf_dir, "lineitem").select(
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 2).alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("block"), F.round(F.col("l_discount") * 100).cast("int").alias("y0"), F.round(F.col("l_tax") * 100).cast("int").alias("x0"),
         F.when(image, "image").otherwise("text").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.when(image & (F.col("l_quantity") > 20), F.col("l_linenumber") % 2).alias("xref"))
-    return layout.numbered_pages(blocks).select("doc", "page", _digest(F.col("body")).alias("digest"))
+
+
+@query(_pages(_BLOCKS))
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.numbered_pages(_blocks(spark, sf_dir)).select("doc", "page", _digest(F.col("body")).alias("digest"))
+
+
+@query(_pages(f"""{_BLOCKS} union all select doc, page, min(ord), 1000000000, 1000000000, 'image', null, xref from (select l_orderkey as doc, l_partkey % 2 as page, l_partkey * 10 + l_linenumber as ord, l_linenumber % 4 as xref from lineitem where l_suppkey % 3 = 1)
+    where (doc, page, xref) not in (select (doc, page, xref) from ({_BLOCKS}) where kind = 'image' and xref is not null) group by doc, page, xref"""))
+def all_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the images that none of their blocks shows behind their bodies."""
+    rows = load(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 1")
+    images = rows.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 2).alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_linenumber") % 4).alias("xref"))
+    return layout.numbered_pages(layout.with_unreferenced(_blocks(spark, sf_dir), images)).select("doc", "page", _digest(F.col("body")).alias("digest"))
 
 
 @query("""with b as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as block, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 3 as x1, y0 + 3 as y1 from lineitem where l_suppkey % 2 = 0), i as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as ord, l_partkey as xref, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 5 as x1, y0 + 2 as y1 from lineitem where l_suppkey % 2 = 1)

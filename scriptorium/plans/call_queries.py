@@ -317,3 +317,18 @@ def gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What signatures are made of; blank texts give their names."""
     return load(spark, sf_dir, "documents").select("doc_id", _digest(dedup.signed_text(F.concat(F.lit("Doc  "), F.col("doc_id").cast("string")), F.col("text"))).alias("digest"))
+
+
+_ASK = "'# Documento: `' || conv_id || '`' || chr(10) || '# Frammento ' || n || ' di ' || m || ': `' || label || '`' || chr(10) || {0} || '## Testo del frammento' || chr(10) || chr(10) || text"
+_BEFORE = "chr(10) || '---' || chr(10) || '**Contesto rolling (ultimi blocchi analizzati):**' || chr(10) || {0} || chr(10) || '---' || chr(10) || chr(10)"
+_ONE, _TWO = "'### Blocco precedente -1' || chr(10) || c1", "'### Blocco precedente -2' || chr(10) || c2 || chr(10) || '### Blocco precedente -1' || chr(10) || c1"
+
+
+@query(f"""with recursive t as (select conv_id, turn, coalesce(role, '') as label, coalesce(text, '') as text, row_number() over w as n, count(*) over (partition by conv_id) as m from conversations window w as (partition by conv_id order by turn)),
+    s as (select conv_id, turn, n, sha256({_ASK.format("''")}) as a, sha256(sha256({_ASK.format("''")})) as c, null::varchar as d from t where n = 1
+      union all select conv_id, turn, n, a, sha256(a), c1 from (select *, sha256({_ASK.format("case when c2 is null then " + _BEFORE.format(_ONE) + " else " + _BEFORE.format(_TWO) + " end")}) as a from (select t.*, s.c as c1, s.d as c2 from s join t on t.conv_id = s.conv_id and t.n = s.n + 1)))
+    select conv_id, turn, a as analysis, c as condensed from s""")
+def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns analysed one after another, each with the condensates of the two before it."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return workflows.sliding_window(rows, "conv_id", "turn", "role", "text").select("conv_id", "turn", "analysis", "condensed")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from scriptorium.functions import budgets
 from scriptorium.functions.text import language_of, missing_sections, parsed_reply, truncated_middle
 from scriptorium.operators.dedup import saved
+from scriptorium.operators.docmap import vision_prompts
 from scriptorium.operators.ingestion import batch
 from scriptorium.operators.layout import assembled, numbered_pages
 from scriptorium.operators.overlap import markdown_chunks
@@ -232,3 +233,69 @@ def extracted_and_remembered(blocks: DataFrame, max_tokens: int, extract: Callab
     texts = assembled(numbered_pages(blocks), F.col("doc").cast("string"))
     chunks = raw_extract_chunks(texts, max_tokens, key="doc")
     return chunks, remembered(chunks, "doc", "chunk", "text", extract)
+
+
+#: Condensates that a fragment is read with, code points of an analysis that are condensed, and those that stand for a condensate.
+RECENT, CONDENSED_FROM, CONDENSED_TO = 2, 3_000, 400
+
+
+def fragment_prompt(name: str, place: int, of: int, label: str, text: str, recent: list[str]) -> str:
+    """What is asked about one fragment of a document, after the condensates of those just before it; the wording is fixed."""
+    before = "".join(f"### Blocco precedente -{len(recent) - i}\n{c}" + ("\n" if i < len(recent) - 1 else "") for i, c in enumerate(recent))
+    context = f"\n---\n**Contesto rolling (ultimi blocchi analizzati):**\n{before}\n---\n\n" if recent else ""
+    return f"# Documento: `{name}`\n# Frammento {place + 1} di {of}: `{label}`\n{context}## Testo del frammento\n\n{text}"
+
+
+def condensate(analysis: str, complete: Complete) -> str:
+    """What stands under the heading CONDENSATO, if it has more than 30 code points; else what a further call makes of the start
+    of the analysis, and if that fails, its first code points."""
+    part = analysis.partition("## CONDENSATO")[2].strip().split("##")[0].strip()
+    if len(part) > 30:
+        return part
+    try:
+        return complete(analysis[:CONDENSED_FROM]).strip() or analysis[:CONDENSED_TO].strip() or "(condensato non disponibile)"
+    except Exception:  # noqa: BLE001  a failed call is a result here
+        return analysis[:CONDENSED_TO].strip() or "(condensato non disponibile)"
+
+
+def sliding_window(chunks: DataFrame, key: str, order: str, label: str, text: str, complete: Complete = stub, most_chars: int | None = None) -> DataFrame:
+    """key, order, analysis, condensed and error of each chunk: a document's chunks are read one after another, each with
+    the condensates of the two before it.
+
+    A prompt of more than `most_chars` is refused, and so is what fails; a document ends there, and its further chunks
+    have no row. Null texts and labels are empty. One group has one document's chunks.
+    """
+    kind, place = chunks.schema[key].dataType.simpleString(), chunks.schema[order].dataType.simpleString()
+
+    def group(table: pa.Table) -> pa.Table:
+        rows, recent, out = table.sort_by(order).to_pylist(), [], []
+        for i, r in enumerate(rows):
+            ask = fragment_prompt(str(r[key]), i, len(rows), r[label] or "", r[text] or "", recent[-RECENT:])
+            try:
+                if most_chars is not None and len(ask) > most_chars:
+                    raise ValueError(f"prompt of {len(ask)} code points")
+                analysis = complete(ask)
+            except Exception as e:  # noqa: BLE001  a failed call is a result here
+                out.append((r[key], r[order], None, None, str(e)[:500]))
+                break
+            recent.append(condensate(analysis, complete))
+            out.append((r[key], r[order], analysis, recent[-1], None))
+        columns = list(zip(*out))
+        types = [table.schema.field(key).type, table.schema.field(order).type, pa.string(), pa.string(), pa.string()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=[key, order, "analysis", "condensed", "error"])
+
+    return chunks.select(*dict.fromkeys([key, order, label, text])).groupBy(key).applyInArrow(group, f"{key} {kind}, {order} {place}, analysis string, condensed string, error string")
+
+
+def enriched(images: DataFrame, chunks: DataFrame, group: str, complete: Complete | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, memory): images that wait for a description are asked about with the texts of their linked chunks; those
+    answered are marked, others go on waiting. memory (group, bucket, items) has the insights, one string of JSON for each image."""
+    asks = vision_prompts(images, chunks, group)
+    task = "Spiega in dettaglio questa immagine nel contesto del documento fornito."
+    prompts = asks.select(group, "id", F.concat(F.col("context"), F.lit("\n" + task)).alias("prompt"))
+    answers = saved(completed(prompts, complete=complete).where("error is null").select(group, "id", "answer"))
+    done = images.join(answers.select(group, "id", F.lit(True).alias("_done")), [group, "id"], "left")
+    marked = done.withColumn("vision_processed", F.coalesce("_done", "vision_processed", F.lit(False))).select(*images.columns)
+    insight = F.to_json(F.struct(F.col("id").alias("image_id"), F.col("answer").alias("insight")))
+    lists = answers.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("id", insight.alias("x")))).alias("xs"))
+    return marked, lists.select(group, F.lit("vision_insights").alias("bucket"), F.transform("xs", lambda x: x["x"]).alias("items"))

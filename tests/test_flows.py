@@ -183,6 +183,41 @@ def test_a_search_answers_if_it_has_a_hit(spark):
     assert retrieval.answers(spark.range(3)) and not retrieval.answers(spark.range(0))
 
 
+def test_a_document_is_read_with_two_condensates_and_ends_at_a_failure(spark):
+    chunks = [(1, i, "l", f"text {i}") for i in range(4)] + [(2, 0, None, None), (2, 1, "bad", "x"), (2, 2, "l", "never")]
+    asked = {}
+
+    def complete(prompt):
+        if "`bad`" in prompt:
+            raise RuntimeError("no answer")
+        return f"## CONDENSATO\n{'long enough a condensate of ' + sha(prompt)[:8]}\n## End" if "text 1" in prompt else sha(prompt)
+
+    recent, want = [], []
+    for i in range(4):
+        before = "\n".join(f"### Blocco precedente -{len(recent[-2:]) - k}\n{c}" for k, c in enumerate(recent[-2:]))
+        context = f"\n---\n**Contesto rolling (ultimi blocchi analizzati):**\n{before}\n---\n\n" if recent else ""
+        asked = complete(f"# Documento: `1`\n# Frammento {i + 1} di 4: `l`\n{context}## Testo del frammento\n\ntext {i}")
+        recent.append("long enough a condensate of " + asked.split("condensate of ")[1][:8] if "CONDENSATO" in asked else sha(asked))
+        want.append((1, i, asked, recent[-1], None))
+    rows = spark.createDataFrame(chunks, "doc long, n int, label string, text string")
+    found = sorted(map(tuple, workflows.sliding_window(rows, "doc", "n", "label", "text", complete).collect()))
+    assert found[:4] == want and [(r[1], r[4]) for r in found[4:]] == [(0, None), (1, "no answer")]
+    refused = workflows.sliding_window(rows, "doc", "n", "label", "text", most_chars=5).collect()
+    assert len(refused) == 2 and all(r["error"].startswith("prompt of ") and r["analysis"] is None for r in refused)
+
+
+def test_images_are_described_and_failures_wait(spark):
+    images = spark.createDataFrame([(1, "a", False, ["c1", "c2"]), (1, "b", True, ["c1"]), (1, "bad", None, ["c3"]), (2, "e", False, None)], "doc long, id string, vision_processed boolean, linked_chunks array<string>")
+    chunks = spark.createDataFrame([(1, "c1", "one"), (1, "c2", "two"), (1, "c3", "fail"), (2, "c1", "other")], "doc long, id string, text string")
+    def complete(prompt):
+        if "fail" in prompt:
+            raise RuntimeError("no")
+        return prompt[:8]
+    marked, memory = workflows.enriched(images, chunks, "doc", complete)
+    assert {(r["doc"], r["id"]): r["vision_processed"] for r in marked.collect()} == {(1, "a"): True, (1, "b"): True, (1, "bad"): False, (2, "e"): True}
+    assert {r["doc"]: (r["bucket"], [json.loads(x) for x in r["items"]]) for r in memory.collect()} == {1: ("vision_insights", [{"image_id": "a", "insight": "one\ntwo\n"}]), 2: ("vision_insights", [{"image_id": "e", "insight": "\nSpiega "}])}
+
+
 def test_sinks_replace_ignore_and_index(spark, tmp_path):
     one = spark.createDataFrame([("w", "a.md", "body"), ("v", "b.md", "é")], "workflow string, path string, body string")
     sinks.written(one, f"{tmp_path}/t")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import redacted_json
+
 STATUSES = ["pending", "processing", "completed", "failed", "skipped"]
 RESUMABLE = ["pending", "processing", "failed"]
 
@@ -76,3 +78,15 @@ def resume_index(status: Column, done: Column) -> Column:
 def failed(state: DataFrame, is_failed: Column, error: Column) -> DataFrame:
     """State with some rows marked as failed, and the first 500 code points of their error."""
     return state.withColumn("error", F.when(is_failed, F.substring(error, 1, 500))).withColumn("status", F.when(is_failed, "failed").otherwise(F.col("status")))
+
+
+def recorded(calls: DataFrame, key: str, newest: list[Column], payloads: list[str], most: int = 5) -> DataFrame:
+    """The newest calls of each key with their rank; secrets in their payloads (JSON) are masked, and what is too long is cut.
+    Only what stays is read by the masking function."""
+    kept = last_of_each(calls, key, newest, most)
+    return kept.withColumns({p: redacted_json(F.col(p)) for p in payloads})
+
+
+def kept_facts(facts: DataFrame, key: str, newest: list[Column], kept=("high", "medium"), most: int = 20) -> DataFrame:
+    """The last facts of some confidence that a key's memory keeps, with their rank from the newest."""
+    return last_of_each(facts.where(F.col("confidence").isin(*kept)), key, newest, most)

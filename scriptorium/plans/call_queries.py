@@ -313,6 +313,15 @@ def gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_parts", _digest(F.col("report")).alias("digest"))
 
 
+@query()
+def project_gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One language's documents as a project: those labelled good are its canon; a test holds the choice of the canon."""
+    roles = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", F.when(F.col("quality") == 1, "SOT").alias("role"))
+    files = load(spark, sf_dir, "documents").select(F.col("lang").alias("project"), "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), "text").join(roles, "doc_id", "left")
+    found = workflows.project_gap(files, "en", 1200)
+    return found.select("doc_id", "n_parts", _digest(F.col("report")).alias("digest"))
+
+
 @query(f"""select doc_id, md5(case when {sql.normalised('text')} = '' then 'doc ' || doc_id else {sql.normalised("text[:500000]")} end) as digest from documents""")
 def signed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What signatures are made of; blank texts give their names."""

@@ -143,3 +143,19 @@ def rolling_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").parquet(f"{root}/in")
         stateful.drain(spark, stateful.memory(spark.readStream.schema(turns.schema).parquet(f"{root}/in"), lambda text, history: ([workflows.stub(text)[:8]], workflows.stub(history + text))), f"{root}/out", f"{root}/progress", "append")
     return spark.read.parquet(f"{root}/out").select(F.col("key").alias("conv_id"), F.col("place").alias("turn"), F.col("facts")[0].alias("fact"), "history")
+
+
+@query("""select event_type, event_id, rank, '{"token": "[REDACTED]", "n": ' || event_id || ', "kind": "' || event_type || '"}' as request from (select event_type, event_id, row_number() over (partition by event_type order by ts desc, event_id desc)::int as rank from events) where rank <= 5""")
+def recorded_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five calls of each service, their payloads without secrets."""
+    payload = F.to_json(F.struct(F.lit("abc").alias("token"), F.col("event_id").alias("n"), F.col("event_type").alias("kind")))
+    rows = load(spark, sf_dir, "events").select("event_type", "event_id", "ts", payload.alias("request"))
+    return state.recorded(rows, "event_type", [F.desc("ts"), F.desc("event_id")], ["request"]).select("event_type", "event_id", "rank", "request")
+
+
+@query("""select conv_id, turn, claim, row_number() over (partition by conv_id order by turn desc)::int as rank from (select conv_id, turn, coalesce(text, '')[1:40] as claim from conversations where role <> 'system') qualify rank <= 20""")
+def kept_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty facts of each conversation that are sure enough."""
+    confidence = F.when(F.col("role") == "system", "low").otherwise("high")
+    rows = load(spark, sf_dir, "conversations").where("role is not null").select("conv_id", "turn", confidence.alias("confidence"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("claim"))
+    return state.kept_facts(rows, "conv_id", [F.desc("turn")]).select("conv_id", "turn", "claim", "rank")

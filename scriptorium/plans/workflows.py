@@ -210,6 +210,16 @@ def gap_report(docs: DataFrame, canon: DataFrame, max_tokens: int, complete: Com
     return merged_parts(asked.withColumn("body", F.coalesce("answer", F.lit(""))), "doc_id", "section", "title", "body")
 
 
+def project_gap(files: DataFrame, project: str, max_tokens: int, complete: Complete | None = None, limit: int | None = None, sure: str = "SOT") -> DataFrame:
+    """gap_report() of one project's files (project, doc_id, rel, text, role): those of the role `sure` are the canon, all
+    others are compared with it, at most `limit` of them in order of rel. Files without a role are compared."""
+    own = files.where(F.col("project") == project)
+    canon = own.where(F.col("role") == sure).select(F.lit(1).alias("tier"), "rel", "text")
+    raw = own.where(F.coalesce(F.col("role") != sure, F.lit(True))).where("text is not null")
+    raw = raw.orderBy("rel", "doc_id").limit(limit) if limit is not None else raw
+    return gap_report(raw.select("doc_id", "text"), canon, max_tokens, complete)
+
+
 def run_rounds(state: DataFrame, files: DataFrame, n: int, order: list[str], most_rounds: int = 1_000, idle_rounds: int = 3, key: str = "key") -> DataFrame:
     """The state after batches of n until nothing waits, no batch completed anything for some rounds, or so many rounds.
 

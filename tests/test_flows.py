@@ -183,6 +183,14 @@ def test_a_search_answers_if_it_has_a_hit(spark):
     assert retrieval.answers(spark.range(3)) and not retrieval.answers(spark.range(0))
 
 
+def test_roles_choose_the_canon_of_a_project(spark):
+    files = [("p", 1, "b", "raw one", None), ("p", 2, "a", "canon text", "SOT"), ("p", 3, "c", "raw two", "Raw"), ("q", 4, "d", "other", "SOT"), ("p", 5, "e", None, None)]
+    rows = spark.createDataFrame(files, "project string, doc_id long, rel string, text string, role string")
+    seen = {r["doc_id"]: r["report"] for r in workflows.project_gap(rows, "p", 400, complete=lambda p: f"canon text in it: {'canon text' in p}, other: {'other' in p}").collect()}
+    assert sorted(seen) == [1, 3] and all("canon text in it: True, other: False" in x for x in seen.values())
+    assert [r["doc_id"] for r in workflows.project_gap(rows, "p", 400, limit=1).collect()] == [1]
+
+
 def test_a_document_is_read_with_two_condensates_and_ends_at_a_failure(spark):
     chunks = [(1, i, "l", f"text {i}") for i in range(4)] + [(2, 0, None, None), (2, 1, "bad", "x"), (2, 2, "l", "never")]
     asked = {}

@@ -88,8 +88,11 @@ def _grouped(items: Column, starts: Column, glue: str) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a collapsed text."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    """Sentences of a collapsed text.
+
+    F.trim takes a second argument, what it trims; given to F.transform by name it would trim a sentence's own index.
+    """
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:

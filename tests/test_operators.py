@@ -244,3 +244,8 @@ def test_classes_of_signatures_stand_for_all_pairs(spark):
         for b in range(a):
             alike = sum(x == y for x, y in zip(signs[a], signs[b])) / 128 >= 0.95
             assert alike == (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in linked)
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    rows = spark.createDataFrame([("0 a. 1b. 2c 2! 33.3?  4",), ("A. 19.37.233.111",)], "t string").select(chunking.sentences(chunking.collapsed(F.col("t"))).alias("s"))
+    assert [r["s"] for r in rows.collect()] == [["0 a.", "1b.", "2c 2!", "33.3?", "4"], ["A.", "19.37.233.111"]]

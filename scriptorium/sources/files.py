@@ -61,23 +61,27 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def html_text(html: str | None) -> str | None:
-    """Text nodes outside of scripts and styles, one to a line."""
+#: The & of a character reference that lacks its semicolon, or that is none.
+BARE = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
+
+
+def html_text(html: str | None, bare: bool = True) -> str | None:
+    """Text nodes outside of scripts and styles, one to a line; without `bare`, references lacking their semicolon are plain text."""
     if html is None:
         return None
     parser = _Text()
-    parser.feed(html)
+    parser.feed(html if bare else BARE.sub("&amp;", html))
     parser.close()
     return "\n".join(parser.parts)
 
 
-def html_to_text(rows: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """Rows with the collapsed text of their HTML in place of it."""
+def html_to_text(rows: DataFrame, html: str = "html", text: str = "text", bare: bool = True) -> DataFrame:
+    """Rows with the collapsed text of their HTML in place of it; `bare` as for html_text."""
     names = [c for c in rows.columns if c not in (html, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([html_text(x) for x in batch.column(html).to_pylist()], pa.string())], names=[*names, text])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([html_text(x, bare) for x in batch.column(html).to_pylist()], pa.string())], names=[*names, text])
 
     found = rows.select(*names, html).mapInArrow(run, T.StructType([*[rows.schema[c] for c in names], T.StructField(text, T.StringType())]))
     return found.withColumn(text, collapsed(F.col(text)))

@@ -3,13 +3,17 @@ import random
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import duckdb
 from pyspark.sql import functions as F
 
 from scriptorium.operators import chunking, dedup, retrieval, state
 from scriptorium.plans import dedup_queries, workflows
+from scriptorium.plans.registry import ORACLES, QUERIES, load_all
 from scriptorium.sources import files
 from scriptorium.streaming import ingest
 
+load_all()
+
 
 def signature(text, n=128, k=5):
     grams = {text[i : i + k] for i in range(len(text) - k + 1)} if len(text) > k else ({text} if text else set())
@@ -249,3 +253,17 @@ def test_classes_of_signatures_stand_for_all_pairs(spark):
 def test_sentences_keep_digits_at_their_ends(spark):
     rows = spark.createDataFrame([("0 a. 1b. 2c 2! 33.3?  4",), ("A. 19.37.233.111",)], "t string").select(chunking.sentences(chunking.collapsed(F.col("t"))).alias("s"))
     assert [r["s"] for r in rows.collect()] == [["0 a.", "1b.", "2c 2!", "33.3?", "4"], ["A.", "19.37.233.111"]]
+
+
+def test_references_without_semicolon(spark):
+    rows = spark.createDataFrame([("<h1>a&amp;&amp</h1>b &am <p title='&amp'>&amp;copy; &copy;&#65;</p>&",), (None,)], "html string")
+    read = lambda bare: [r["text"] for r in files.html_to_text(rows, bare=bare).collect()]
+    assert read(True) == ["a&& b &am &copy; ©A &", None]
+    assert read(False) == ["a&&amp b &am &copy; ©A &", None]
+
+
+def test_html_to_text_pages_match_their_sql(spark, tmp_path):
+    pages = ["<title>x &amp;&amp</title><h1>x &amp;&amp</h1>y &quot;&copy;", "<p>a&amp;amp;</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    sql = ORACLES["html_to_text_pages"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in QUERIES["html_to_text_pages"](spark, str(tmp_path)).collect()) == sorted(duckdb.sql(sql).fetchall())

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.operators.dedup import PERMUTATIONS, REMEMBERED, RUNS, SHINGLE, SIMILAR, SKETCH, least_common, run_hashes, shingle_hashes
+from scriptorium.operators.dedup import PERMUTATIONS, REMEMBERED, RUNS, SHINGLE, SIMILAR, SKETCH, STEP, hashes_of, least_common, run_hashes, shingle_hashes, shingles_of
 
 #: Buckets of the counts of runs of a text, for all lengths of runs.
 WIDE = sum(wide for _, wide in SKETCH)
@@ -40,15 +40,10 @@ class Kept:
     def _signature(self, grams: set[str]) -> np.ndarray:
         if not grams:
             return np.zeros(PERMUTATIONS, np.uint32)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         for g in grams:
             if g not in self.known:
                 self.known[g] = shingle_hashes(g, PERMUTATIONS)
-        least = None
-        for g in grams:
-            least = self.known[g] if least is None else np.minimum(least, self.known[g])
-        return least
+        return np.array([self.known[g] for g in grams]).min(axis=0)
 
     def _rarest(self, grams: set[str]) -> list[str]:
         order = sorted(grams, key=lambda g: (self.frequency[g], g))
@@ -56,7 +51,7 @@ class Kept:
 
     def add(self, text: str) -> bool:
         """Whether a normalised text is like no kept one; then it is kept."""
-        grams = {text} if text and len(text) <= SHINGLE else {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
+        grams = shingles_of(text)
         signature = self._signature(grams)
         keys = [(b, signature[b : b + self.wide].tobytes()) for b in range(0, PERMUTATIONS, self.wide)]
         own = sketch(text) if text else np.zeros(WIDE, np.int32)
@@ -103,6 +98,22 @@ class Kept:
         return SequenceMatcher(None, text, before).ratio() >= least
 
 
+#: Hashes of the shingles that this process has met, at most so many between two groups; groups of a worker share them.
+_known: dict[str, np.ndarray] = {}
+
+
+def hashed(texts: list[str]) -> dict[str, np.ndarray]:
+    """Hashes of shingles, those of the texts among them; the new ones are made side by side."""
+    new = list(set().union(*map(shingles_of, texts)).difference(_known))
+    if len(_known) + len(new) > REMEMBERED:
+        _known.clear()
+        new = list(set().union(*map(shingles_of, texts)))
+    for at in range(0, len(new), STEP):
+        some = new[at : at + STEP]
+        _known.update(zip(some, hashes_of(some, PERMUTATIONS)))
+    return _known
+
+
 def first_of_alike(chunks: DataFrame, key: str = "doc_id", order: str = "chunk", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """The rows of `chunks` whose text is like no kept one before it in the same document, by the largest of signature,
     Jaccard, overlap and sequence ratio. Null texts are like blank ones; of equal places the smaller text is first.
@@ -115,7 +126,7 @@ def first_of_alike(chunks: DataFrame, key: str = "doc_id", order: str = "chunk",
         places = table.column(order).to_pylist()
         turn = sorted(range(len(texts)), key=lambda i: (places[i] is None, places[i] or 0, texts[i]))
         frequency = Counter(x[i : i + SHINGLE] for x in texts for i in range(max(1, len(x) - SHINGLE + 1)))
-        kept = Kept(frequency, {}, threshold)
+        kept = Kept(frequency, hashed(texts), threshold)
         return table.take(pa.array([i for i in turn if kept.add(texts[i])], pa.int64()))
 
     return chunks.select(*names).groupBy(key).applyInArrow(group, chunks.schema)

@@ -267,3 +267,20 @@ def test_html_to_text_pages_match_their_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     sql = ORACLES["html_to_text_pages"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(tuple(r) for r in QUERIES["html_to_text_pages"](spark, str(tmp_path)).collect()) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_hashes_of_many_shingles_are_those_of_each():
+    shingles = ["", "a", "é🙂", "\ud800x", *(f"{i:05}" for i in range(300))]
+    for n in (128, 7, 1001):
+        assert dedup.hashes_of(shingles, n).tolist() == [dedup.shingle_hashes(g, n).tolist() for g in shingles]
+    assert dedup.hashes_of([], 4).shape == (0, 4)
+
+
+def test_a_worker_hashes_a_shingle_once(monkeypatch):
+    made, hashes_of = [], dedup.hashes_of
+    monkeypatch.setattr(dedup, "hashes_of", lambda some, n: made.extend(some) or hashes_of(some, n))
+    monkeypatch.setattr(dedup, "REMEMBERED", 60)
+    monkeypatch.setattr(dedup, "_hashed", {})
+    texts = ["abcdefgh" * 3, "abcdefgh" * 3, "the quick brown fox", "".join(chr(97 + i % 23) + str(i) for i in range(90)), "", "abc", "abcdefgh" * 3]
+    assert [dedup.least_hashes(dedup.shingles_of(t)).tolist() for t in texts] == [signature(t) for t in texts]
+    assert all(made.count(g) == 1 for g in dedup.shingles_of(texts[0]))

@@ -284,3 +284,29 @@ def test_a_worker_hashes_a_shingle_once(monkeypatch):
     texts = ["abcdefgh" * 3, "abcdefgh" * 3, "the quick brown fox", "".join(chr(97 + i % 23) + str(i) for i in range(90)), "", "abc", "abcdefgh" * 3]
     assert [dedup.least_hashes(dedup.shingles_of(t)).tolist() for t in texts] == [signature(t) for t in texts]
     assert all(made.count(g) == 1 for g in dedup.shingles_of(texts[0]))
+
+
+def test_pairs_by_shingles_in_small_cells_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PROBED", 4_000)
+    monkeypatch.setattr(dedup, "CELL", 32_000)
+    monkeypatch.setattr(dedup, "MANY", 3)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(60)]
+    texts += [t[rng.randrange(9) :] + " x" * rng.randrange(2) for t in texts] + [" ".join(texts), " ".join(texts[5:30]), "ab", "abcde", ""]
+    texts = sorted({" ".join(t.split()) for t in texts})
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    sets = [dedup.shingles_of(t) for t in texts]
+    overlap = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.95 * min(len(sets[i]), len(sets[j]))}
+    found = dedup.overlap_candidates(rows)
+    assert len(overlap) > 150 and overlap <= {tuple(r) for r in found.collect()}
+    left = [tuple(r) for r in dedup.verified(found, rows).collect()]
+    assert len(left) == len(set(left)) and overlap <= set(left)
+    near = lambda x, y: 2 * min(len(x), len(y)) >= 0.95 * (len(x) + len(y))
+    assert all(near(texts[i], texts[j]) for i, j in set(left) - overlap)
+
+
+def test_sets_of_shingles_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(0, "a text of some words"), (1, "a text of some words more")], "id long, norm string")
+    pairs = spark.createDataFrame([(0, 1, 0.9)], "a long, b long, similarity double")
+    assert "array_distinct" not in dedup.text_similarity(pairs, rows)._jdf.queryExecution().optimizedPlan().toString()

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,6 +57,16 @@ def char_shingles(text: Column, k: int = 5) -> Column:
     return F.transform(F.array(points), lambda p: F.when(F.size(p) == 0, p).when(F.size(p) <= k, F.array(F.array_join(p, ""))).otherwise(cut(p)))[0]
 
 
+@F.pandas_udf(T.IntegerType())
+def _n_runs(text: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([len({x[i : i + n] for i in range(len(x) - n + 1)}) if len(x) > n else min(1, len(x)) for x, n in zip(text, k)], dtype="int32")
+
+
+def n_char_shingles(text: Column, k: int = 5) -> Column:
+    """Number of char_shingles; only counted, they need not be laid out as an array."""
+    return _n_runs(normalised(text), F.lit(k))
+
+
 def word_shingles(text: Column, k: int = 3) -> Column:
     """Distinct runs of k words of the normalised text; of fewer words, all of them together."""
     words = F.array_remove(F.split(normalised(text), " "), "")

@@ -63,3 +63,10 @@ def test_budgets(spark):
     assert (fits["projected"], fits["usable"], fits["fits"]) == (4048, 1228, False)
     errors = spark.range(1).select(*[budgets.error_class(F.lit(m)).alias(str(i)) for i, m in enumerate(["no room", "context too long: length", "request timed out", "x"])]).first()
     assert tuple(errors) == ("oom", "context", "recoverable", "fatal")
+
+
+def test_shingles_are_counted_without_an_array(rows):
+    counted = rows.select(text.n_char_shingles(F.col("t")).alias("n"), F.size(text.char_shingles(F.col("t"))).alias("m"))
+    assert all(r["n"] == r["m"] for r in counted.collect())
+    alone = rows.select(text.n_char_shingles(F.col("t")))
+    assert "array_distinct" not in alone._jdf.queryExecution().optimizedPlan().toString()

@@ -14,8 +14,8 @@ from scriptorium.operators.dedup import saved
 
 #: Queries of one block, which is broadcast: 64 components take 2 MB.
 BLOCK = 4_096
-#: Candidates compared in one step.
-ROWS = 2_048
+#: Candidates and queries compared in one step: scores, their ids and order take some 50 bytes for each pair.
+ROWS, ASKED = 2_048, 256
 
 
 def _better(best: tuple | None, names: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +61,13 @@ def vector_topk(table: DataFrame, is_query: Column, k: int = 12, least: float =
                     fit = batch.filter(pa.array(sizes == n))
                     for at in range(0, fit.num_rows, ROWS):
                         part = fit.slice(at, ROWS)
-                        best[n] = _better(best.get(n), np.asarray(part.column("vec_id")), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n), own, q, k)
-            for n, (ids, scores) in best.items():
+                        names, x = np.asarray(part.column("vec_id")), part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n)
+                        for first in range(0, len(own), ASKED):
+                            some = slice(first, first + ASKED)
+                            best[n, first] = _better(best.get((n, first)), names, x, own[some], q[some], k)
+            for (n, first), (ids, scores) in best.items():
                 i, j = np.nonzero(scores >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][i]), pa.array(ids[i, j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][first + i]), pa.array(ids[i, j]), pa.array(scores[i, j])], names=["query_id", "vec_id", "score"])
 
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
         hits = rows.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

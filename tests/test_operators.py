@@ -310,3 +310,12 @@ def test_sets_of_shingles_are_not_shuffled(spark):
     rows = spark.createDataFrame([(0, "a text of some words"), (1, "a text of some words more")], "id long, norm string")
     pairs = spark.createDataFrame([(0, 1, 0.9)], "a long, b long, similarity double")
     assert "array_distinct" not in dedup.text_similarity(pairs, rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_in_steps_of_few_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)], "vec_id long, embedding array<double>").repartition(3).cache()
+    found = lambda: sorted(tuple(r) for r in retrieval.vector_topk(rows, F.col("vec_id") % 2 == 0, k=5).collect())
+    whole = found()
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    assert len(whole) == 45 * 5 and found() == whole

@@ -69,3 +69,15 @@ def test_spans_after_deduplication(spark):
         assert (r["char_start"], r["char_end"]) == (begin, min(len(text), begin + len(raw)))
         end = max(end, r["char_end"])
     assert [(r["doc_id"], r["label"], r["char_end"]) for r in rows if r["doc_id"] != 1] == [(2, "full", 0)]
+
+
+def test_documents_of_a_worker_share_hashes(monkeypatch):
+    made, hashes_of = [], alike.hashes_of
+    monkeypatch.setattr(alike, "hashes_of", lambda some, n: made.extend(some) or hashes_of(some, n))
+    monkeypatch.setattr(alike, "_known", {})
+    for texts in (["some words of a text", "more words of it"], ["some words of a text, and others", ""], ["abc"]):
+        known = alike.hashed(texts)
+        assert all((known[g] == shingle_hashes(g, 128)).all() for t in texts for g in alike.shingles_of(t))
+    assert len(made) == len(set(made))
+    monkeypatch.setattr(alike, "REMEMBERED", 10)
+    assert set(alike.hashed(["defghijk"])) == alike.shingles_of("defghijk")

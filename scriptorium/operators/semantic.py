@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from scriptorium.functions.text import cross_refs, first_heading, image_refs, page_numbers, tokens
 from scriptorium.operators.alike import first_of_alike
 from scriptorium.operators.chunking import linked, slices
+from scriptorium.operators.dedup import saved
 
 #: Stand around a fence while lines are told apart; texts lose these two control characters.
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -159,7 +160,7 @@ def deduped_spans(docs: DataFrame, max_tokens: int, min_tokens: int = 100, key:
     """Semantic chunks of each document without those that are like an earlier one of it, with their places in the text.
 
     A text without any chunk is one chunk, named full."""
-    chunks = first_of_alike(semantic_chunks(docs, max_tokens, min_tokens, key, text), key, "chunk", text)
+    chunks = saved(first_of_alike(semantic_chunks(docs, max_tokens, min_tokens, key, text), key, "chunk", text))
     bare = docs.where(F.col(text).isNotNull()).join(chunks.select(key), key, "left_anti").select(key, F.lit(0).alias("chunk"), F.col(text), F.lit("full").alias("label"), F.lit(0).alias("prefix"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"))
     return located(chunks, docs, key, "chunk", text).select(*bare.columns).unionByName(bare)
 

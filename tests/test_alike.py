@@ -81,3 +81,33 @@ def test_documents_of_a_worker_share_hashes(monkeypatch):
     assert len(made) == len(set(made))
     monkeypatch.setattr(alike, "REMEMBERED", 10)
     assert set(alike.hashed(["defghijk"])) == alike.shingles_of("defghijk")
+
+
+def test_unlike_chunks_need_no_hashes(monkeypatch):
+    def none(*_):
+        raise AssertionError("hashed")
+
+    monkeypatch.setattr(alike, "shingle_hashes", none)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(30)]
+    kept = alike.Kept(alike.Counter(t[i : i + 5] for t in texts + texts for i in range(196)), {}, 0.95)
+    assert [kept.add(t) for t in [*texts, *texts]] == [True] * 30 + [False] * 30
+
+
+def test_signatures_decide_where_sets_do_not():
+    rng = random.Random(2)
+    found = set()
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(300))
+        at = rng.randrange(1, 280)
+        b = a[:at] + "XYZ" + a[at + 3 :] + "tail"[: rng.randrange(5)]
+        kept = alike.Kept(alike.Counter(t[i : i + 5] for t in (a, b) for i in range(len(t) - 4)), {}, 0.9999)
+        signs = [[min(c) for c in zip(*(shingle_hashes(g, 128).tolist() for g in alike.shingles_of(t)))] for t in (a, b)]
+        assert kept.add(a) and kept.add(b) == (signs[0] != signs[1])
+        found.add(signs[0] == signs[1])
+    assert False in found
+
+
+def test_chunks_are_compared_once(spark):
+    docs = spark.createDataFrame([(1, "# T\n\nsome text\n\n## U\n\nother text")], "doc_id long, text string")
+    assert "FlatMapGroupsInArrow" not in semantic.deduped_spans(docs, 60, 20)._jdf.queryExecution().optimizedPlan().toString()

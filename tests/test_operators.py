@@ -319,3 +319,29 @@ def test_hits_in_steps_of_few_queries(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(retrieval, "ASKED", 7)
     assert len(whole) == 45 * 5 and found() == whole
+
+
+def test_long_texts_of_one_vocabulary_are_no_candidates(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=1_500)) for _ in range(30)]
+    texts += [texts[0][:-40] + "the end", "".join(rng.choice("abc") for _ in range(100_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    assert [tuple(r) for r in dedup.ratio_candidates(rows).collect()] == [(0, 30)]
+    assert [tuple(r) for r in dedup.overlap_candidates(rows).collect()] == [(0, 30)]
+
+
+def test_ratio_candidates_of_all_lengths_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    rng, texts = random.Random(9), set()
+    for n in (1, 2, 4, 7, 12, 20, 28, 33, 60, 118, 125, 300):
+        for _ in range(5):
+            base = [rng.choice("abcde ") for _ in range(n)]
+            for _ in range(4):
+                texts.add("".join(base).strip())
+                base[rng.randrange(n)] = rng.choice(["", "x", "ab"])
+    texts = sorted(texts - {""})
+    found = [tuple(r) for r in dedup.ratio_candidates(spark.createDataFrame(list(enumerate(texts)), "id long, norm string")).collect()]
+    near = lambda a, b: 2 * min(len(a), len(b)) >= 0.95 * (len(a) + len(b)) and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.95
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(texts[i], texts[j])}
+    assert len(found) == len(set(found)) and len(want) > 20 and want <= set(found)

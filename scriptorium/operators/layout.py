@@ -13,6 +13,8 @@ LEAST_CHARS, LEAST_BYTES = 50, 4096
 MARK = "[IMG_REF:"
 #: Stands below and right of every box.
 LAST = 1e300
+#: Blocks that a task puts in order, on average; documents stay whole.
+BLOCKS = 250_000
 
 
 def shown_image(blocks: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,12 +27,19 @@ def shown_image(blocks: DataFrame, images: DataFrame, keys: list[str]) -> DataFr
     return blocks.join(common, [*keys, "block"], "left")
 
 
+def spread(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows dealt out by document to so many tasks that a task's share doesn't grow with the table."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(max(tasks, -(-blocks.count() // BLOCKS)), doc)
+
+
 def numbered_pages(blocks: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """doc, page and body: blocks (block, x0, y0, kind text or image, text, xref) in reading order, images as numbered marks.
 
     An image without an xref has a number of its own, one with an xref keeps its first number on the page; numbers go on
-    from page to page.
+    from page to page. All is ordered inside documents, so rows are shuffled once, by document.
     """
+    blocks = spread(blocks, doc)
     reading = [F.round("y0", 2), F.round("x0", 2), F.col("block")]
     rows = blocks.withColumn("_place", F.row_number().over(Window.partitionBy(doc, page).orderBy(*reading)))
     is_image = F.col("kind") == "image"

@@ -310,3 +310,12 @@ def test_bpe_counts_match_the_library(spark):
     count = text.bpe_counter(path, public_tokenizers.PATTERN, spark)
     found = [r["n"] for r in spark.createDataFrame(rows, "i int, t string").orderBy("i").select(count(F.col("t")).alias("n")).collect()]
     assert found == [len(own.encode_ordinary(rows[0][1])), 0, None]
+
+
+def test_pages_are_ordered_by_more_tasks_as_blocks_grow(spark, monkeypatch):
+    rows = [(doc, page, b, float(b % 3), 0.0, "image" if b % 2 else "text", f"t{b}", b % 4 if b % 3 else None) for doc in range(20) for page in range(2) for b in range(5)]
+    table = spark.createDataFrame(rows, "doc long, page int, block long, y0 double, x0 double, kind string, text string, xref long")
+    whole = sorted(tuple(r) for r in layout.numbered_pages(table).collect())
+    monkeypatch.setattr(layout, "BLOCKS", 10)
+    spread = layout.numbered_pages(table)
+    assert spread.rdd.getNumPartitions() == 20 and sorted(tuple(r) for r in spread.collect()) == whole and len(whole) == 40

@@ -345,3 +345,28 @@ def test_ratio_candidates_of_all_lengths_in_several_blocks(spark, monkeypatch):
     near = lambda a, b: 2 * min(len(a), len(b)) >= 0.95 * (len(a) + len(b)) and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.95
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(texts[i], texts[j])}
     assert len(found) == len(set(found)) and len(want) > 20 and want <= set(found)
+
+
+def test_matching_blocks_are_those_of_difflib(monkeypatch):
+    rng = random.Random(11)
+    for places in (0, 40, 1024):
+        monkeypatch.setattr(dedup, "PLACES", places)
+        for _ in range(120):
+            alphabet = rng.choice(["ab", "abcdefgh ", "etaoin shrdlu" * 9 + "bcfgjkmpqvwxyz.,", "".join(map(chr, range(32, 900)))])
+            x = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 120, 199, 200, 600])))
+            cut = rng.randrange(len(x) + 1)
+            y = rng.choice([x[cut:] + x[:cut], x[:cut] + rng.choice(alphabet) + x[cut + 2 :], "".join(rng.choice(alphabet) for _ in range(250))])
+            want = sum(b.size for b in SequenceMatcher(None, x, y).get_matching_blocks())
+            assert dedup.matched_points(x, y) == want and dedup.matched_points(x, y, want) == want and dedup.matched_points(x, y, want + 1) <= want
+
+
+def test_signatures_are_whole_only_for_pairs_that_the_first_places_leave_open(spark, monkeypatch):
+    made, plain = [], dedup.signatures
+    monkeypatch.setattr(dedup, "signatures", lambda rows, permutations=dedup.PERMUTATIONS, k=dedup.SHINGLE: made.append((permutations, rows.count())) or plain(rows, permutations, k))
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    texts = [*("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(20)), base, base[:1500] + "x" + base[1500:], base + "y" * 3]
+    rows = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "id long, norm string, n long")
+    edges = {(r["a"], r["b"]) for r in dedup.similar_edges(rows).collect()}
+    assert edges == {(20, 21), (20, 22), (21, 22)}
+    assert all(n <= 3 for permutations, n in made if permutations == dedup.PERMUTATIONS) and any(permutations < dedup.PERMUTATIONS for permutations, _ in made)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import is_canon, match_name
+from scriptorium.llm.components import components
 from scriptorium.operators.dedup import saved
 from scriptorium.operators.state import queue
 
@@ -66,42 +70,56 @@ def decisions(files: DataFrame, manifest: DataFrame, similar: DataFrame, complet
     return rows.select("name", "md5", status.alias("status"), F.when(other, F.col("owner")).when(like, F.col("duplicate_of")).alias("duplicate_of"))
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries after new ones are put in: rows (root, new, place, name, md5, status), entries of a root first, then its new ones in their order.
+
+    Of each name and digest the places are kept, the first at hand; those that have got another one since are passed over."""
+    there, places, last = {}, {}, None
+
+    def first(side: int, key: str) -> int | None:
+        found = places.get((side, key), [])
+        while found and there[found[0]][side] != key:
+            heapq.heappop(found)
+        return found[0] if found else None
+
+    def rows(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [()] * 4, [pa.int64(), *[pa.string()] * 3])], names=["place", "name", "md5", "status"])
+
+    for batch in batches:
+        done = []
+        for root, new, place, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+            if root != last:
+                done += [(at, *x) for at, x in there.items()]
+                there, places, last = {}, {}, root
+            keys = [(side, key) for side, key in enumerate(entry[:2]) if key is not None]
+            at = min((x for x in (first(*k) for k in keys) if x is not None), default=place) if new else place
+            there[at] = entry
+            for k in keys:
+                heapq.heappush(places.setdefault(k, []), at)
+        yield rows(done)
+    yield rows([(at, *x) for at, x in there.items()])
+
+
 def registered_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
     """Entries (place, name, md5, status) after new ones (name, md5, status) have been put in, one by one in order of name.
 
     Each renews the first entry that has its name or its digest at that time, else it is added after the last place, by
-    its own order. A file waits only for earlier ones that could change what it finds: those with a name or digest of
-    its own or of the first entries that it matches. A round settles all that wait for none, so rounds grow with the longest chain of
-    such files, not with their number; files of one digest whose names nothing else has follow each other at once and
-    are one link. Repeated rows of `new` are one.
+    its own order. Only rows that hang together by names and digests can change what another one finds, so these are the components of
+    a graph, whose rounds grow with the logarithm of the longest chain; inside of one, rows are taken in turn, in sorted partitions. Memory is that of one
+    component. Repeated rows of `new` are one.
     """
     order = ["name", "md5", "status"]
     files = ordered(new.select(*order).distinct(), order, "ord")
     last = entries.agg(F.max("place").alias("p")).first()["p"]
     base = -1 if last is None else last
-    now = saved(entries.select("place", "name", "md5", "status"))
-    taken = now.select("name").distinct().withColumn("taken", F.lit(True))
-    names = files.groupBy("name").agg((F.count("*") > 1).alias("twice"))
-    marked = files.join(taken, "name", "left").join(names, "name").withColumn("own", F.col("taken").isNotNull() | F.col("twice"))
-    # runs of files of a digest that only their digest can match: the first says where, the last says what
-    by_digest = Window.partitionBy("md5").orderBy("ord")
-    run = F.count_if("own").over(by_digest.rowsBetween(Window.unboundedPreceding, 0))
-    links = marked.withColumn("run", F.when(F.col("own"), F.concat(F.lit("o"), F.col("ord").cast("string"))).otherwise(F.concat(F.lit("r"), run.cast("string"))))
-    links = links.groupBy("md5", "run").agg(F.max_by(F.struct("name", "status"), "ord").alias("x"), F.min("ord").alias("ord"))
-    left = saved(links.select("ord", F.col("x.name").alias("name"), "md5", F.col("x.status").alias("status")))
-    while not left.isEmpty():
-        first_name = now.groupBy("name").agg(F.min("place").alias("n_place"))
-        first_md5 = now.groupBy("md5").agg(F.min("place").alias("d_place"))
-        asked = left.join(first_name, "name", "left").join(first_md5, "md5", "left")
-        keys = asked.select("ord", F.explode(F.array(F.struct(F.lit("n").alias("t"), F.col("name").alias("k")), F.struct(F.lit("d").alias("t"), F.col("md5").alias("k")))).alias("x")).select("ord", "x.t", "x.k")
-        places = asked.select("ord", F.explode(F.array_compact(F.array("n_place", "d_place"))).alias("place")).distinct().join(now, "place")
-        keys = keys.unionByName(places.select("ord", F.lit("n").alias("t"), F.col("name").alias("k"))).unionByName(places.select("ord", F.lit("d").alias("t"), F.col("md5").alias("k")))
-        earliest = left.select(F.lit("n").alias("t"), F.col("name").alias("k"), "ord").unionByName(left.select(F.lit("d").alias("t"), F.col("md5").alias("k"), "ord")).groupBy("t", "k").agg(F.min("ord").alias("first"))
-        waits = keys.join(earliest, ["t", "k"]).where("first < ord").select("ord").distinct()
-        ready = saved(asked.join(waits, "ord", "left_anti").withColumn("place", F.coalesce(F.least("n_place", "d_place"), base + F.col("ord"))).select("ord", "place", "name", "md5", "status"))
-        now = saved(now.join(ready.select("place"), "place", "left_anti").unionByName(ready.drop("ord")))
-        left = saved(left.join(ready.select("ord"), "ord", "left_anti"))
-    return now
+    own = entries.select(F.lit(False).alias("new"), F.col("place").cast("long").alias("place"), *order)
+    rows = saved(own.unionByName(files.select(F.lit(True).alias("new"), (F.col("ord") + base).alias("place"), *order)))
+    key = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c))
+    rows = rows.withColumns({"u": key("name"), "v": key("md5")})
+    roots = components(rows.where("u is not null and v is not null").select("u", "v"))
+    node = F.coalesce("u", "v", F.xxhash64(F.lit("place"), "place"))
+    placed = rows.withColumn("node", node).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "new", "place", *order)
+    return placed.repartition("root").sortWithinPartitions("root", "new", "place").mapInArrow(_in_turn, "place long, name string, md5 string, status string")
 
 
 def ordered(rows: DataFrame, by: list[str], name: str) -> DataFrame:

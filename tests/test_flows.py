@@ -319,3 +319,20 @@ def test_pages_are_ordered_by_more_tasks_as_blocks_grow(spark, monkeypatch):
     monkeypatch.setattr(layout, "BLOCKS", 10)
     spread = layout.numbered_pages(table)
     assert spread.rdd.getNumPartitions() == 20 and sorted(tuple(r) for r in spread.collect()) == whole and len(whole) == 40
+
+
+def test_a_digest_of_many_named_entries_is_registered_at_once(spark, monkeypatch):
+    written, plain = [], ingestion.saved
+    monkeypatch.setattr(ingestion, "saved", lambda df: written.append(1) or plain(df))
+    entries = [(i, f"f{i:02d}", "same", "pending") for i in range(0, 40, 2)]
+    new = [(f"f{i:02d}", "same", "done") for i in range(0, 40, 3)]
+    there = [list(e) for e in entries]
+    for k, (name, md5, status) in enumerate(sorted(new)):
+        at = next((e for e in there if name == e[1] or md5 == e[2]), None)
+        if at is None:
+            there.append([38 + k + 1, name, md5, status])
+        else:
+            at[1:] = name, md5, status
+    found = ingestion.registered_entries(spark.createDataFrame(entries, "place long, name string, md5 string, status string"), spark.createDataFrame(new, "name string, md5 string, status string"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, there))
+    assert len(written) <= 3

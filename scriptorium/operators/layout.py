@@ -33,13 +33,13 @@ def spread(blocks: DataFrame, doc: str = "doc") -> DataFrame:
     return blocks.repartition(max(tasks, -(-blocks.count() // BLOCKS)), doc)
 
 
-def numbered_pages(blocks: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
+def numbered_pages(blocks: DataFrame, doc: str = "doc", page: str = "page", dealt_out: bool = False) -> DataFrame:
     """doc, page and body: blocks (block, x0, y0, kind text or image, text, xref) in reading order, images as numbered marks.
 
     An image without an xref has a number of its own, one with an xref keeps its first number on the page; numbers go on
-    from page to page. All is ordered inside documents, so rows are shuffled once, by document.
+    from page to page. All is ordered inside documents, so rows are shuffled once, by document; not at all if they are dealt out so.
     """
-    blocks = spread(blocks, doc)
+    blocks = blocks if dealt_out else spread(blocks, doc)
     reading = [F.round("y0", 2), F.round("x0", 2), F.col("block")]
     rows = blocks.withColumn("_place", F.row_number().over(Window.partitionBy(doc, page).orderBy(*reading)))
     is_image = F.col("kind") == "image"
@@ -55,12 +55,19 @@ def numbered_pages(blocks: DataFrame, doc: str = "doc", page: str = "page") -> D
 
 def with_unreferenced(blocks: DataFrame, images: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:
     """Blocks as numbered_pages takes them, and behind a page's last one a block for each image placed on it (doc, page, ord, xref)
-    that none of its blocks shows, once each, in order of ord. Pages without blocks get theirs too."""
-    shown = blocks.where("kind = 'image' and xref is not null").select(doc, page, "xref").distinct()
-    rest = images.where("xref is not null").groupBy(doc, page, "xref").agg(F.min("ord").alias("ord")).join(shown, [doc, page, "xref"], "left_anti")
+    that none of its blocks shows, once each, in order of ord. Pages without blocks get theirs too.
+
+    Blocks and images are dealt out together, by document, and an image's rows are compared where they are: nothing is joined,
+    and pages are numbered in the same tasks."""
+    double = {"y0": F.col("y0").cast("double"), "x0": F.col("x0").cast("double")}
     own = {doc: F.col(doc), page: F.col(page), "block": F.col("ord"), "y0": F.lit(LAST), "x0": F.lit(LAST), "kind": F.lit("image"), "xref": F.col("xref")}
-    more = rest.select(*[(own[c] if c in own else F.lit(None)).cast(blocks.schema[c].dataType).alias(c) for c in blocks.columns])
-    return blocks.withColumns({c: F.col(c).cast("double") for c in ("y0", "x0")}).unionByName(more.withColumns({c: F.lit(LAST) for c in ("y0", "x0")}))
+    wanted = blocks.withColumns(double)
+    more = images.where("xref is not null").select(*[(own[c] if c in own else F.lit(None)).cast(wanted.schema[c].dataType).alias(c) for c in blocks.columns], F.lit(True).alias("_placed"))
+    rows = spread(wanted.withColumn("_placed", F.lit(False)).unionByName(more), doc)
+    shows = F.col("kind").eqNullSafe("image") & F.col("xref").isNotNull()
+    each = Window.partitionBy(doc, page, F.when(shows, F.col("xref")), F.when(~shows, F.col("block")))
+    first = F.row_number().over(each.orderBy("_placed", "block")) == 1
+    return rows.withColumn("_first", first).where(~F.col("_placed") | F.col("_first")).drop("_first", "_placed")
 
 
 def with_recognised(pages: DataFrame, recognised: DataFrame, doc: str = "doc", page: str = "page") -> DataFrame:

@@ -229,7 +229,7 @@ def all_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the images that none of their blocks shows behind their bodies."""
     rows = load(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 1")
     images = rows.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 2).alias("page"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"), (F.col("l_linenumber") % 4).alias("xref"))
-    return layout.numbered_pages(layout.with_unreferenced(_blocks(spark, sf_dir), images)).select("doc", "page", _digest(F.col("body")).alias("digest"))
+    return layout.numbered_pages(layout.with_unreferenced(_blocks(spark, sf_dir), images), dealt_out=True).select("doc", "page", _digest(F.col("body")).alias("digest"))
 
 
 @query("""with b as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as block, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 3 as x1, y0 + 3 as y1 from lineitem where l_suppkey % 2 = 0), i as (select l_orderkey as doc, round(l_extendedprice * 100)::bigint as ord, l_partkey as xref, round(l_discount * 100)::int as x0, round(l_tax * 100)::int as y0, x0 + 5 as x1, y0 + 2 as y1 from lineitem where l_suppkey % 2 = 1)

@@ -336,3 +336,13 @@ def test_a_digest_of_many_named_entries_is_registered_at_once(spark, monkeypatch
     found = ingestion.registered_entries(spark.createDataFrame(entries, "place long, name string, md5 string, status string"), spark.createDataFrame(new, "name string, md5 string, status string"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, there))
     assert len(written) <= 3
+
+
+def test_images_that_no_block_shows_are_dealt_out_with_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCKS", 20)
+    table = spark.createDataFrame([(d, 0, b, float(b), 0.0, "image" if b % 2 else "text", f"t{b}", b if b % 2 else None) for d in range(60) for b in range(4)], "doc long, page int, block long, y0 double, x0 double, kind string, text string, xref int")
+    images = spark.createDataFrame([(d, 0, x * 10 + y, x) for d in range(60) for x in (1, 2, 7) for y in (1, 0)], "doc long, page int, ord long, xref int")
+    pages = layout.numbered_pages(layout.with_unreferenced(table, images), dealt_out=True)
+    mark = lambda n: f"[IMG_REF:img_{n:03d}]"
+    assert {r["body"] for r in pages.collect()} == {"\n\n".join(["t0", mark(1), "t2", mark(2), mark(3), mark(4)])} and pages.count() == 60
+    assert pages.rdd.getNumPartitions() == 30 and "Join" not in pages._jdf.queryExecution().optimizedPlan().toString()

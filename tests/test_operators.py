@@ -370,3 +370,29 @@ def test_signatures_are_whole_only_for_pairs_that_the_first_places_leave_open(sp
     edges = {(r["a"], r["b"]) for r in dedup.similar_edges(rows).collect()}
     assert edges == {(20, 21), (20, 22), (21, 22)}
     assert all(n <= 3 for permutations, n in made if permutations == dedup.PERMUTATIONS) and any(permutations < dedup.PERMUTATIONS for permutations, _ in made)
+
+
+def test_blocks_of_texts_meet_without_being_dealt_out_again(spark, monkeypatch):
+    for name, n in (("PROBED", 2_000), ("CELL", 4_000), ("BLOCK", 3)):
+        monkeypatch.setattr(dedup, name, n)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(12)]
+    texts += [t[:-1] for t in texts[:4]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    for found in (dedup.overlap_candidates(rows), dedup.ratio_candidates(rows)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        assert sorted(tuple(r) for r in found.collect()) == [(i, i + 12) for i in range(4)]
+
+
+def test_texts_that_share_rare_shingles_alone_are_no_candidates(spark):
+    rng = random.Random(6)
+    common, rare = (["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)] for letters in ("abcdefg", "stuvwxyz"))
+    texts = [" ".join(rng.sample(common, 100)) for _ in range(40)]
+    texts += [" ".join([*rare[:30], *rng.sample(common, 100)]), " ".join([*rare[:30], *rng.sample(common, 120)])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    assert not dedup.overlap_candidates(rows).collect()
+    for n in (0, 1, 40, 5000):
+        grams = dedup.distinct(dedup.run_hashes("".join(rng.choice("abcdefgh ") for _ in range(n)), 5))
+        some = grams if len(grams) <= dedup.ALL_MARKED else grams[grams < 1 << 63]
+        assert dedup._marked(dedup._marks(grams)).tolist() == sorted({int(g) % dedup.MARKED_PLACES for g in some})

@@ -396,3 +396,34 @@ def test_texts_that_share_rare_shingles_alone_are_no_candidates(spark):
         grams = dedup.distinct(dedup.run_hashes("".join(rng.choice("abcdefgh ") for _ in range(n)), 5))
         some = grams if len(grams) <= dedup.ALL_MARKED else grams[grams < 1 << 63]
         assert dedup._marked(dedup._marks(grams)).tolist() == sorted({int(g) % dedup.MARKED_PLACES for g in some})
+
+
+def test_pairs_that_reach_no_measure_are_no_candidates(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    base = rng.choices(words, k=450)
+    near = [w if i % 12 else "eta" for i, w in enumerate(base)]
+    texts = [" ".join(base), " ".join(near), " ".join(base[:-1]), " ".join(rng.choices(words, k=450))]
+    measures = {(a, b): alike(texts[a], texts[b]) + alike(texts[b], texts[a]) for a in range(4) for b in range(a + 1, 4)}
+    want = {p for p, m in measures.items() if max(m) >= 0.95}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    assert {tuple(r)[:2] for r in dedup.candidate_pairs(rows).collect()} == want == {(0, 2)}
+    assert (0, 1) in {tuple(r) for r in dedup.ratio_candidates(rows).collect()}
+
+
+def test_sets_of_pairs_are_counted_where_they_are_verified(spark, monkeypatch):
+    monkeypatch.delattr(dedup, "with_shared")
+    texts = likely_texts()
+    found = dedup.shingle_similar(spark.createDataFrame(list(enumerate(texts)), "id long, norm string")).collect()
+    assert found and all((r["similarity"], r["jaccard"], r["overlap"]) == tuple(round(x, 6) if i else x for i, x in enumerate(alike(texts[r["a"]], texts[r["b"]])[:3])) for r in found)
+
+
+def test_more_shingles_are_remembered_of_fewer_permutations(monkeypatch):
+    made, hashes_of = [], dedup.hashes_of
+    monkeypatch.setattr(dedup, "hashes_of", lambda some, n: made.extend(some) or hashes_of(some, n))
+    monkeypatch.setattr(dedup, "REMEMBERED", 12)
+    monkeypatch.setattr(dedup, "_hashed", {})
+    texts = ["".join(chr(97 + i % 23) + str(i) for i in range(60)), "é🙂 and some", None, "", "abc"]
+    for _ in range(2):
+        assert [x[:8] for x in dedup.least_of_each(texts, 8).tolist()] == [signature(t or "")[:8] for t in texts]
+    assert len(made) == len(set(made)) == len(set().union(*map(dedup.shingles_of, texts)))

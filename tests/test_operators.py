@@ -427,3 +427,32 @@ def test_more_shingles_are_remembered_of_fewer_permutations(monkeypatch):
     for _ in range(2):
         assert [x[:8] for x in dedup.least_of_each(texts, 8).tolist()] == [signature(t or "")[:8] for t in texts]
     assert len(made) == len(set(made)) == len(set().union(*map(dedup.shingles_of, texts)))
+
+
+def test_of_a_long_text_only_rare_code_points_are_gone_through():
+    class Text(str):
+        read = 0
+
+        def __getitem__(self, at):
+            Text.read += not isinstance(at, slice)
+            return super().__getitem__(at)
+
+        def __iter__(self):
+            Text.read += len(self)
+            return super().__iter__()
+
+    rng = random.Random(12)
+    long = Text("".join(rng.choice("etaoinshr ") if i % 200 else "x" for i in range(20_000)))
+    for short in ("", str(long)[700:900], "x" * 50, "".join(map(chr, range(0xD7F0, 0xD810))) + "\U0010ffffx"):
+        for a, b in ((short, long), (long, short)):
+            assert dedup.matched_points(a, b) == sum(x.size for x in SequenceMatcher(None, str(a), str(b)).get_matching_blocks())
+    assert 0 < Text.read < 3_000
+
+
+def test_runs_of_different_texts_have_different_hashes(monkeypatch):
+    calls, plain = [], dedup._longest_by_place
+    monkeypatch.setattr(dedup, "_longest_by_place", lambda a, places, own, b_at, b_end: calls.append(len(own)) or plain(a, places, own, b_at, b_end))
+    rng = random.Random(13)
+    long, short = ("".join(rng.choice("etaoinshr ") for _ in range(n)) for n in (20_000, 150))
+    assert dedup.matched_points(long, short) == sum(x.size for x in SequenceMatcher(None, long, short).get_matching_blocks())
+    assert max(calls, default=0) <= dedup.PLACES
